@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import fair_mix
+from lathe.llm import fair_mix, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +55,13 @@ FROM queued q LEFT JOIN taken t
   ON q.source IS NOT DISTINCT FROM t.source AND q.h = t.h AND q.doc_id IS NOT DISTINCT FROM t.doc_id AND q.cum = t.cum
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_fair_mix": op5_fair_mix}
+
+def op10_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_fair_mix": op5_fair_mix,
+    "op10_simhash_variants": op10_simhash_variants,
+}
 ORACLES: dict[str, str] = {"op5_fair_mix": OP5_SQL}
