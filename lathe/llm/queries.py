@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import fair_mix, simhash
+from lathe.llm import fair_mix, feistel, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,20 @@ def op10_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+
+def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op7_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fair_mix": op5_fair_mix,
+    "op7_concat_pack": op7_concat_pack,
+    "op8_feistel_shards": op8_feistel_shards,
     "op10_simhash_variants": op10_simhash_variants,
 }
 ORACLES: dict[str, str] = {"op5_fair_mix": OP5_SQL}
