@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lathe.llm import fair_mix, feistel, packing, simhash
+from lathe.llm import fair_mix, feistel, ngram_rules, packing, passage_mil, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = passage_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
+def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = ngram_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
+
+
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.fair_queue(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -71,7 +81,9 @@ def op7_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_attention_mil": op2_attention_mil,
     "op5_fair_mix": op5_fair_mix,
+    "op6_ngram_ratio": op6_ngram_ratio,
     "op7_concat_pack": op7_concat_pack,
     "op8_feistel_shards": op8_feistel_shards,
     "op10_simhash_variants": op10_simhash_variants,
