@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lathe.llm import fair_mix, feistel, ngram_rules, packing, passage_mil, simhash
+from lathe.llm import bit_sliced, fair_mix, feistel, ngram_rules, packing, passage_mil, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,26 @@ def op6_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
 
 
+def op4_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP4_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM whole q, whole c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+WHERE rank <= 10
+"""
+
+
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fair_mix.fair_queue(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -82,10 +103,11 @@ def op7_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_attention_mil": op2_attention_mil,
+    "op4_bit_sliced_top_k": op4_bit_sliced_top_k,
     "op5_fair_mix": op5_fair_mix,
     "op6_ngram_ratio": op6_ngram_ratio,
     "op7_concat_pack": op7_concat_pack,
     "op8_feistel_shards": op8_feistel_shards,
     "op10_simhash_variants": op10_simhash_variants,
 }
-ORACLES: dict[str, str] = {"op5_fair_mix": OP5_SQL}
+ORACLES: dict[str, str] = {"op4_bit_sliced_top_k": OP4_SQL, "op5_fair_mix": OP5_SQL}
