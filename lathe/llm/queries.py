@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm import bit_sliced, fair_mix, feistel, ngram_rules, packing, passage_mil, simhash
+from lathe.llm import bit_sliced, fair_mix, feistel, ngram_rules, packing, passage_mil, role_repair, simhash, warc, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages"))).drop("html", "url")
+
+
+def op9_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op2_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = passage_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "held_out", "score", "predicted")
@@ -102,12 +114,15 @@ def op7_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_wrapper_text": op1_wrapper_text,
     "op2_attention_mil": op2_attention_mil,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_bit_sliced_top_k": op4_bit_sliced_top_k,
     "op5_fair_mix": op5_fair_mix,
     "op6_ngram_ratio": op6_ngram_ratio,
     "op7_concat_pack": op7_concat_pack,
     "op8_feistel_shards": op8_feistel_shards,
+    "op9_role_repair": op9_role_repair,
     "op10_simhash_variants": op10_simhash_variants,
 }
 ORACLES: dict[str, str] = {"op4_bit_sliced_top_k": OP4_SQL, "op5_fair_mix": OP5_SQL}
