@@ -14,6 +14,8 @@ from lathe.session import materialise
 #: Bytes counted for a document besides those of its text.
 OVERHEAD = 16
 ROUNDS = 6
+#: What rows are numbered by.
+ORDER = ("doc_id", "size", "text_crc32")
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -63,7 +65,7 @@ def row_numbers(df: DataFrame, by: list[str], column: str = "row") -> DataFrame:
     return placed.withColumn(part, F.shiftright(F.col(at), 33)).join(starts, part).withColumn(column, F.col(start) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, part, start)
 
 
-def shard(docs: DataFrame, shards: int = 40, seed: int = 0, order: tuple[str, ...] = ("doc_id", "size", "text_crc32")) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, seed: int = 0, order: tuple[str, ...] = ORDER) -> DataFrame:
     """docs (doc_id, text) with size, text_crc32, law, shard, slot and grown_shard; numbers of rows differ by one at most.
 
     Rows are numbered by doc_id (then size and checksum, so that a rerun over other files or partitions agrees), the number is
@@ -71,13 +73,16 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 0, order: tuple[str, ..
     alone. law is "rows"; grown_shard, which only the law "key" has, is null. Null text: size OVERHEAD, checksum 0. Null doc_ids come first. Repeated
     rows are rows like others. Empty input: empty result. Columns of docs named as those added are replaced.
     """
-    added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    return place(measured(docs.drop("law", "shard", "slot", "grown_shard")), shards, seed, order)
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """docs with size and text_crc32; drop text after it where only the places are wanted, and it is never shuffled."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.drop(*added).withColumn("size", F.octet_length(text).cast("long") + OVERHEAD).withColumn("text_crc32", F.crc32(text.cast("binary")))
-    return place(sized, shards, seed, order)
+    return docs.withColumn("size", F.octet_length(text).cast("long") + OVERHEAD).withColumn("text_crc32", F.crc32(text.cast("binary")))
 
 
-def place(sized: DataFrame, shards: int, seed: int, order: tuple[str, ...]) -> DataFrame:
+def place(sized: DataFrame, shards: int = 40, seed: int = 0, order: tuple[str, ...] = ORDER) -> DataFrame:
     """sized (with the columns of order) with law, shard, slot and grown_shard."""
     row = fresh(sized.columns, "global_row")
     numbered = row_numbers(sized, list(order), row)

@@ -105,7 +105,7 @@ def op10_simhash_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feistel.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return feistel.place(feistel.measured(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
 
 
 def op7_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
