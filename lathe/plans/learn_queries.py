@@ -1 +1,59 @@
+"""Splits and models over the feature mart."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lathe.operators import evaluate, learn
+from lathe.functions.scalars import platt
+from lathe.plans.adapters import LEGS_LINEITEM, legs_lineitem
+from lathe.plans.base import query
+from lathe.plans.feature_queries import features
+
+CUTS = {"fit": "1997-01-01", "validation": "1999-01-01"}
+NUMBERS, CATEGORIES = ["route_rate", "origin_rate", "dest_rate", "dep_hour"], ["carrier_name"]
+
+
+@query(f"""WITH {LEGS_LINEITEM}, s AS (SELECT service_date, CASE WHEN service_date < DATE '1997-01-01' THEN 'fit' WHEN service_date < DATE '1999-01-01' THEN 'validation' ELSE 'test' END AS part FROM flown)
+SELECT part, count(*) AS rows, min(service_date) AS first_day, max(service_date) AS last_day FROM s GROUP BY part""")
+def time_split(spark, d):
+    return learn.split_proof(learn.time_split(legs_lineitem(spark, d), "service_date", CUTS), "service_date")
+
+
+@query(f"""WITH {LEGS_LINEITEM}, s AS (SELECT * FROM flown WHERE del15 IS NOT NULL), c AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (del15)::DOUBLE AS l FROM s)
+SELECT del15, count(*) AS rows, round(any_value(n / (2 * CASE WHEN del15 THEN l ELSE n - l END)), 9) AS weight FROM s, c GROUP BY del15""")
+def class_weights(spark, d):
+    legs = legs_lineitem(spark, d).where("del15 IS NOT NULL").withColumn("label", F.col("del15").cast("int"))
+    return learn.balanced_weights(legs, "label").groupBy("del15").agg(F.count("*").alias("rows"), F.round(F.min("weight"), 9).alias("weight"))
+
+
+def _parts(spark, d):
+    mart = features(spark, d).withColumns({"label": F.col("del15").cast("double"), "carrier_name": F.col("carrier").cast("string")})
+    mart = learn.time_split(mart, "service_date", CUTS)
+    fit = learn.balanced_weights(mart.where("part = 'fit'"), "label").persist()
+    return fit, *(mart.where(f"part = '{p}'").withColumn("weight", F.lit(1.0)) for p in ("validation", "test"))
+
+
+@query()
+def logistic_scores(spark, d):
+    fit, _, test = _parts(spark, d)
+    model = learn.classifier("logistic", NUMBERS, CATEGORIES).fit(fit)
+    return learn.probabilities(model, test).select("flight_number", "line", "carrier", F.round("p", 6).alias("p"), "del15")
+
+
+@query()
+def calibrated_scores(spark, d):
+    fit, validation, test = _parts(spark, d)
+    model = learn.classifier("logistic", NUMBERS, CATEGORIES).fit(fit)
+    slope, intercept = learn.fit_platt(learn.probabilities(model, fit))
+    scored = learn.probabilities(model, test).withColumn("y", F.col("del15"))
+    raw = evaluate.calibration_errors(scored).withColumn("calibration", F.lit("raw"))
+    after = evaluate.calibration_errors(scored.withColumn("p", platt(F.col("p"), slope, intercept))).withColumn("calibration", F.lit("platt"))
+    return raw.unionByName(after)
+
+
+@query()
+def model_search(spark, d):
+    fit, validation, _ = _parts(spark, d)
+    candidates = {"logistic": learn.classifier("logistic", NUMBERS, CATEGORIES), "forest_8": learn.classifier("forest", NUMBERS, CATEGORIES, numTrees=8, maxDepth=4), "boosted_4": learn.classifier("boosted", NUMBERS, CATEGORIES, maxIter=4, maxDepth=3)}
+    return learn.search(fit, validation, candidates)

@@ -1 +1,55 @@
+"""Streams over the replayed events table, each run to its end."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lathe.operators.chain import link  # noqa: F401
+from lathe.plans.adapters import legs_events, table
+from lathe.plans.base import query
+from lathe.plans.chain_queries import CHAIN_SQL
+from lathe.streaming import replay, stateful
+
+
+def _stream(df, ts, files=4):
+    path = replay.write_replay(df, ts, files)
+    schema = df.withColumn(ts, F.col(ts).cast("timestamp")).schema
+    return replay.source(df.sparkSession, path, schema)
+
+
+@query(f"WITH {CHAIN_SQL} SELECT event_id, tail, link_class, turnaround_min FROM chain")
+def stream_chain(spark, d):
+    legs = legs_events(spark, d).select("event_id", "tail", "dep_ts", "origin", "dest", "elapsed_min")
+    return replay.run_once(stateful.chain_stream(_stream(legs, "dep_ts")), "chain").drop("dep_ts")
+
+
+@query("""WITH l AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
+SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events, l GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= any_value(mark)""")
+def stream_tumbling(spark, d):
+    events = _stream(table(spark, d, "events").select("ts", "event_type", "value"), "ts")
+    counted = events.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
+    out = replay.run_once(counted, "tumbling")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("total", 4).alias("total"))
+
+
+@query("SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, event_type FROM events WHERE event_type IN ('signup', 'purchase')")
+def stream_first_seen(spark, d):
+    events = _stream(table(spark, d, "events").where("event_type IN ('signup', 'purchase')").select("user_id", F.col("ts").cast("date").alias("day"), "event_type", "ts"), "ts")
+    once = events.withWatermark("ts", "2 days").dropDuplicatesWithinWatermark(["user_id", "day", "event_type"])
+    return replay.run_once(once, "first").drop("ts")
+
+
+@query("SELECT CASE WHEN event_id % 53 = 0 THEN 0 ELSE NULL END AS channel, count(*) AS legs FROM events WHERE event_id % 53 = 0 GROUP BY 1")
+def stream_channels(spark, d):
+    legs = replay.keyed(legs_events(spark, d), "tail")
+    return legs.where("tail IS NULL").groupBy("channel").agg(F.count("*").alias("legs"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup'), p AS (SELECT event_id AS outcome_id, user_id, ts AS outcome_ts FROM events WHERE event_type = 'purchase')
+SELECT s.event_id, p.outcome_id FROM s JOIN p ON s.user_id = p.user_id AND outcome_ts >= ts AND outcome_ts <= ts + INTERVAL 6 HOUR""")
+def stream_outcome_join(spark, d):
+    e = table(spark, d, "events")
+    risks = _stream(e.where("event_type = 'signup'").select("event_id", "user_id", "ts"), "ts", 3).withWatermark("ts", "1 hour")
+    outcomes = _stream(e.where("event_type = 'purchase'").select(F.col("event_id").alias("outcome_id"), F.col("user_id").alias("outcome_user"), F.col("ts").alias("outcome_ts")), "outcome_ts", 3).withWatermark("outcome_ts", "1 hour")
+    pairs = risks.join(outcomes, F.expr("user_id = outcome_user AND outcome_ts >= ts AND outcome_ts <= ts + INTERVAL 6 HOURS"))
+    return replay.run_once(pairs.select("event_id", "outcome_id"), "outcomes")
