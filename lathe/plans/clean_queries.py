@@ -149,3 +149,59 @@ def stratified_sample(spark, d):
 def composed_filters(spark, d):
     wanted = F.col("origin").isin(1, 2, 3) & (F.col("dest").isNull() | ~F.col("dest").isin(5, 6)) & F.col("dep_hour").between(6, 12) & F.col("flight_number").cast("string").startswith("1")
     return legs_lineitem(spark, d).where(wanted).groupBy("carrier", "service_date").agg(F.count("*").alias("legs")).where("legs > 1")
+
+
+@query("""SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) = 1996 GROUP BY ALL""")
+def string_round_trip(spark, d):
+    """Written as CSV folders by year and month, read back as strings, typed again."""
+    import uuid
+
+    from lathe.session import scratch_root
+    from lathe.sources import files
+
+    root = f"{scratch_root(spark)}/lathe-csv-{uuid.uuid4().hex}"
+    day = F.col("o_orderdate").cast("date")
+    orders = table(spark, d, "orders").where(F.year(day) == 1996).select("o_orderkey", F.col("o_totalprice").cast("decimal(18,4)").alias("o_totalprice"), F.year(day).alias("year"), F.month(day).alias("month"))
+    orders.repartition("year", "month").write.partitionBy("year", "month").option("header", True).csv(root)
+    raw = files.read_strings(spark, root, ["o_orderkey", "o_totalprice"])
+    typed = raw.select("year", "month", KINDS_NUMBER(F.col("o_totalprice")).alias("price"))
+    return typed.groupBy("year", "month").agg(F.count("*").alias("orders"), F.round(F.sum("price"), 2).alias("total"))
+
+
+KINDS_NUMBER = clean.KINDS["number"]
+
+
+@query("SELECT user_id, count(*) AS rows, count(*) FILTER (value > 5) AS large FROM events WHERE event_type = 'view' GROUP BY 1")
+def json_round_trip(spark, d):
+    """Written as gzipped JSON lines, read back as strings of which one key is missing."""
+    import uuid
+
+    from lathe.session import scratch_root
+    from lathe.sources import files
+
+    path = f"{scratch_root(spark)}/lathe-json-{uuid.uuid4().hex}"
+    table(spark, d, "events").where("event_type = 'view'").select("user_id", "value", "props").write.option("compression", "gzip").json(path)
+    raw = files.read_json_strings(spark, path, ["user_id", "value", "absent"]).where("absent IS NULL")
+    typed = clean.typed(raw, {"user_id": ("user_id", "whole"), "value": ("value", "number")})
+    return typed.groupBy("user_id").agg(F.count("*").alias("rows"), F.count_if(F.col("value") > 5).alias("large"))
+
+
+@query("SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_returnflag, count(*) AS rows, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-03-01' AND l_shipdate < TIMESTAMP '1997-06-01' GROUP BY ALL")
+def pruned_layout(spark, d):
+    """Written in month folders sorted by flag, then read by month: other folders are never opened."""
+    import uuid
+
+    from lathe.session import scratch_root
+    from lathe.sources import files
+
+    path = f"{scratch_root(spark)}/lathe-layout-{uuid.uuid4().hex}"
+    files.write_layout(table(spark, d, "lineitem").select("l_shipdate", "l_returnflag", "l_quantity"), path, "l_shipdate", ["l_returnflag"])
+    picked = spark.read.parquet(path).where("month >= DATE '1997-03-01' AND month < DATE '1997-06-01'")
+    return picked.groupBy(F.col("month").cast("date").alias("month"), "l_returnflag").agg(F.count("*").alias("rows"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT CAST(month AS DATE) AS month FROM (SELECT unnest(generate_series(DATE '2023-11-01', DATE '2024-06-01', INTERVAL 1 MONTH)) AS month)")
+def month_range(spark, d):
+    from lathe.sources import files
+
+    return files.months(spark, "2023-11-01", "2024-06-01")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lathe.operators.chain import link  # noqa: F401
 from lathe.plans.adapters import legs_events, table
 from lathe.plans.base import query
 from lathe.plans.chain_queries import CHAIN_SQL
@@ -23,8 +22,8 @@ def stream_chain(spark, d):
     return replay.run_once(stateful.chain_stream(_stream(legs, "dep_ts")), "chain").drop("dep_ts")
 
 
-@query("""WITH l AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
-SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events, l GROUP BY ALL HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= any_value(mark)""")
+@query("""WITH g AS (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+SELECT * FROM g WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_tumbling(spark, d):
     events = _stream(table(spark, d, "events").select("ts", "event_type", "value"), "ts")
     counted = events.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total"))
@@ -39,7 +38,7 @@ def stream_first_seen(spark, d):
     return replay.run_once(once, "first").drop("ts")
 
 
-@query("SELECT CASE WHEN event_id % 53 = 0 THEN 0 ELSE NULL END AS channel, count(*) AS legs FROM events WHERE event_id % 53 = 0 GROUP BY 1")
+@query("SELECT 0 AS channel, count(*) AS legs FROM events WHERE event_id % 53 = 0")
 def stream_channels(spark, d):
     legs = replay.keyed(legs_events(spark, d), "tail")
     return legs.where("tail IS NULL").groupBy("channel").agg(F.count("*").alias("legs"))
