@@ -89,7 +89,7 @@ def typicality(days: DataFrame, day: str, low: float = 0.1, high: float = 0.9) -
     """days (one row each, with z) with the band of usual z, whether each is inside and the share of days with a smaller z."""
     band = days.agg(F.expr(f"percentile(z, {low})").alias("lo"), F.expr(f"percentile(z, {high})").alias("hi"))
     marked = days.withColumns({"lo": F.round(band.select("lo").scalar(), 6), "hi": F.round(band.select("hi").scalar(), 6)})
-    share = rate(F.rank().over(W.Window.orderBy("z")) - 1, F.count("*").over(W.Window.partitionBy()))
+    share = rate(F.rank().over(W.Window.orderBy(F.col("z").asc_nulls_last())) - 1, F.count("*").over(W.Window.partitionBy()))
     return marked.select(day, "z", "lo", "hi", F.col("z").between(F.col("lo"), F.col("hi")).alias("in_band"), F.round(share, 9).alias("percentile"))
 
 

@@ -88,7 +88,7 @@ def hourly_banks(spark, d):
 
 
 _BAND = f"""{_DAYS}, q AS (SELECT round(quantile_cont(z, 0.1), 6) AS lo, round(quantile_cont(z, 0.9), 6) AS hi FROM days),
-typ AS (SELECT service_date, z, lo, hi, z BETWEEN lo AND hi AS in_band, round((rank() OVER (ORDER BY z) - 1)::DOUBLE / count(*) OVER (), 9) AS percentile FROM days, q)"""
+typ AS (SELECT service_date, z, lo, hi, z BETWEEN lo AND hi AS in_band, round((rank() OVER (ORDER BY z NULLS LAST) - 1)::DOUBLE / count(*) OVER (), 9) AS percentile FROM days, q)"""
 
 
 @query(f"WITH {_BAND} SELECT * FROM typ")
