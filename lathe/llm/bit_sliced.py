@@ -29,7 +29,7 @@ def slices(values: np.ndarray) -> tuple[np.ndarray, int]:
     bits = max(1, int(values.max()).bit_length()) if values.size else 1
     out = np.stack([np.packbits((values.T >> b) & 1, axis=1, bitorder="little") for b in range(bits)], axis=1)
     words = -(-out.shape[2] // 8) * 8
-    return np.pad(out, ((0, 0), (0, 0), (0, words - out.shape[2]))).view(np.uint64), len(values)
+    return np.ascontiguousarray(np.pad(out, ((0, 0), (0, 0), (0, words - out.shape[2])))).view(np.uint64), len(values)
 
 
 def digits(weights: np.ndarray) -> list[list[tuple[int, bool]]]:

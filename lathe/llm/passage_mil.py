@@ -91,13 +91,14 @@ def _encode(parts: list[tuple[int, bytes]], counts: np.ndarray) -> np.ndarray:
 
     upper, lower, digit, high, mark, prose = (of(t) for t in (_UPPER, _LOWER, _DIGIT, _HIGH, _MARK, _PROSE))
     per = lambda w: np.bincount(passage, weights=w, minlength=len(out))
-    chars = np.maximum(per(length), 1)
+    held = per(length)
+    chars = np.maximum(held, 1)
     again = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (passage[1:] == passage[:-1])])
     order = np.lexsort((hashes, passage))
     new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (passage[order][1:] != passage[order][:-1])])
     distinct = np.bincount(passage[order], weights=new, minlength=len(out))
     odd = mark - prose
-    style = [per(upper) / chars, per(digit) / chars, per(odd) / chars, per(prose) / chars, per(high) / chars, chars / full / 10, per(again) / full, distinct / full, per((upper > 1) & (lower == 0)) / full, per((upper + lower + high) == 0) / full, per(odd > 0) / full, np.log1p(n) / 4]
+    style = [per(upper) / chars, per(digit) / chars, per(odd) / chars, per(prose) / chars, per(high) / chars, held / full / 10, per(again) / full, distinct / full, per((upper > 1) & (lower == 0)) / full, per((upper + lower + high) == 0) / full, per(odd > 0) / full, np.log1p(n) / 4]
     out[:, HASHED:] = np.stack(style, axis=1)
     return out
 
