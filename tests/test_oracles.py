@@ -7,7 +7,7 @@ from conftest import SF
 
 from lathe.plans.registry import ORACLES, QUERIES
 
-SLOW = {"logistic_scores", "calibrated_scores", "model_search"}
+SLOW = {"logistic_scores", "calibrated_scores", "model_search", "feature_importances", "delay_regression", "isotonic_scores"}
 
 
 def plain(value):
