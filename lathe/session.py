@@ -42,11 +42,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage durably (lost executors don't bring it back), fixes what depends on task order, and gives the planner
     true sizes, by which it may broadcast. release_scratch() removes the folders once results are written.
     """
+    return materialise_at(df, name)[0]
+
+
+def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """materialise() with the folder, for callers that discard() it themselves."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/lathe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _SCRATCH.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:
