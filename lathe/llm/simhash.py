@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lathe.llm.text import fresh
-from lathe.session import discard, materialise
+from lathe.session import discard, materialise, materialise_at
 
 #: Words in a shingle, seed of its hash, bits that linked fingerprints may differ in.
 SHINGLE, SEED, BITS_APART = 3, 42, 3
@@ -92,19 +92,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     mark = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
-    now = materialise(edges, "simhash-edges")
+    now, path = materialise_at(edges, "simhash-edges")
     was = None
     while (state := tuple(now.agg(*mark).first())) != was:
         was = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = materialise(both.join(least, "a").where("b > a AND b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "simhash-large")
+        large, between = materialise_at(both.join(least, "a").where("b > a AND b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "simhash-large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = materialise(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "simhash-small")
-        for done in (now, large):
-            discard(spark, done.inputFiles()[0].rsplit("/", 1)[0]) if done.inputFiles() else None
-        now = after
+        after, after_path = materialise_at(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "simhash-small")
+        for done in (path, between):
+            discard(spark, done)
+        now, path = after, after_path
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
