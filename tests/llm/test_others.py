@@ -34,6 +34,7 @@ def test_wrapper_drops_what_stays_the_same(spark):
 def test_known_names_are_left_out():
     html = '<body><header>H</header><nav>N</nav><div class="cookie-notice">C</div><main><article><header><h1>T</h1></header><p>One<p>Two <b>b</b>old<ul><li>a<li>b</ul><form>F</form><div class="ad">no</div><!-- x > y --></article><section id="comments"><p>R</section></main><aside>S</aside></body>'
     assert wrapper.extract(html) == "T\n\nOne\n\nTwo bold\n\na\n\nb"
+    assert wrapper.extract('<p>a<ol class="commentlist"><li>c</ol><div id=leftsidebar>s</div><div class="post-title header">t</div>') == "a\n\nt"
     assert wrapper.extract("<article><p>cut off <b>here &am") == "cut off here &am"
     assert wrapper.extract("<p>x" * 3000).count("x") == 3000
 
