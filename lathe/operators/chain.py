@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-#: Longest gap in minutes that is a turnaround and not a night; edges and names of the bands; shortest usual turnaround; last position told apart.
+# Longest gap in minutes that is a turnaround and not a night; edges and names of the bands; shortest usual turnaround; last position told apart.
 DUTY_MIN, EDGES, TIGHT_MIN, MOST_POSITION = 840, (35, 60, 120), 35, 6
 BANDS = ("no_inbound", "lt_35", "35_60", "60_120", "ge_120")
 

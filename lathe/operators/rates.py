@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lathe.operators.measures import rate
 
-#: Pseudo-observations of the global rate.
+# Fixed value: pseudo-observations of the global rate.
 PRIOR_WEIGHT = 50
 
 
