@@ -97,28 +97,38 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def nearest(points: DataFrame, sites: DataFrame, point: str, site: str, cell: float = 10.0) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, point: str, site: str, cell: float = 10.0, widenings: int = 2) -> DataFrame:
     """point, site, distance_km: each point's nearest site (ties to the smaller site); both have lat and lon.
 
     Sites are looked up by cells of `cell` degrees around the point. A find is final if it is nearer than anything outside the
-    cells searched can be; only points without one meet all sites, as a block. Coordinates that are null take no part.
+    cells searched can be; points without one look in cells three times as wide, and only those that are left after the
+    widenings (far from all sites, or at a pole) meet all sites, as a block. Coordinates that are null take no part.
     """
     known = sites.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(site), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    mine = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(point, "lat", "lon").distinct()
+    rest = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(point, "lat", "lon").distinct()
+    distance = haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+    best = F.min(F.when(F.col(site).isNotNull(), F.struct(distance.alias("km"), F.col(site).alias("site")))).alias("b")
+    found = []
+    for width in (cell * 3**i for i in range(widenings + 1)):
+        close = _in_cells(rest, known, width).groupBy(point, "lat", "lon").agg(best)
+        # Outside its 3 x 3 cells a site is a cell's width away at least, which narrows towards the poles.
+        sure_km = F.lit(math.radians(width) * 6371.0088 * 0.95) * F.cos(F.radians(F.least(F.abs("lat") + width, F.lit(90.0))))
+        sure = F.coalesce(F.col("b.km") <= sure_km, F.lit(False))
+        found.append(close.where(sure))
+        rest = close.where(~sure).drop("b")
+    out = rest.join(known, F.lit(True)).groupBy(point, "lat", "lon").agg(best)
+    for part in found:
+        out = out.unionByName(part)
+    return out.select(point, F.col("b.site").alias(site), F.round("b.km", 2).alias("distance_km"))
+
+
+def _in_cells(points: DataFrame, known: DataFrame, cell: float) -> DataFrame:
+    """points with the sites of their own and the eight neighbouring cells of `cell` degrees, or none."""
     columns = int(360 // cell)
     row, col = (lambda c: F.floor(F.col(c) / cell)), (lambda c: F.pmod(F.floor((F.col(c) + 180) / cell), F.lit(columns)))
     around = F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> struct(a AS a, b AS b))))"))
-    asked = mine.withColumn("_d", around).withColumns({"_r": row("lat") + F.col("_d.a"), "_c": F.pmod(col("lon") + F.col("_d.b"), F.lit(columns))}).drop("_d")
-    sited = known.withColumns({"_r": row("_lat"), "_c": col("_lon")})
-    distance = haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-    best = F.min(F.when(F.col(site).isNotNull(), F.struct(distance.alias("km"), F.col(site).alias("site"))))
-    close = asked.join(sited, ["_r", "_c"], "left").groupBy(point, "lat", "lon").agg(best.alias("b"))
-    # Outside its 3 x 3 cells a site is a cell's width away at least, which narrows towards the poles.
-    sure_km = F.lit(math.radians(cell) * 6371.0088 * 0.95) * F.cos(F.radians(F.least(F.abs("lat") + cell, F.lit(90.0))))
-    done = close.where(F.col("b.km") <= sure_km)
-    rest = close.join(done.select(F.col(point).alias("_done")), F.col(point) == F.col("_done"), "left_anti").select(point, "lat", "lon")
-    far = rest.join(known, F.lit(True)).groupBy(point, "lat", "lon").agg(best.alias("b"))
-    return done.unionByName(far).select(point, F.col("b.site").alias(site), F.round("b.km", 2).alias("distance_km"))
+    asked = points.withColumn("_d", around).withColumns({"_r": row("lat") + F.col("_d.a"), "_c": F.pmod(col("lon") + F.col("_d.b"), F.lit(columns))}).drop("_d")
+    return asked.join(known.withColumns({"_r": row("_lat"), "_c": col("_lon")}), ["_r", "_c"], "left")
 
 
 def band_join(df: DataFrame, value: Column, bands: Sequence[tuple[float, float, str]], name: str = "band") -> DataFrame:
