@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from lathe.session import materialise
+
 
 def role_playing(fact: DataFrame, dim: DataFrame, key: str, roles: Mapping[str, Mapping[str, str]]) -> DataFrame:
     """One dimension joined once for each role column of fact; the planner broadcasts it if its size allows."""
@@ -97,7 +99,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def nearest(points: DataFrame, sites: DataFrame, point: str, site: str, cell: float = 10.0, widenings: int = 2) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, point: str, site: str, cell: float = 10.0, widenings: int = 1) -> DataFrame:
     """point, site, distance_km: each point's nearest site (ties to the smaller site); both have lat and lon.
 
     Sites are looked up by cells of `cell` degrees around the point. A find is final if it is nearer than anything outside the
@@ -110,7 +112,7 @@ def nearest(points: DataFrame, sites: DataFrame, point: str, site: str, cell: fl
     best = F.min(F.when(F.col(site).isNotNull(), F.struct(distance.alias("km"), F.col(site).alias("site")))).alias("b")
     found = []
     for width in (cell * 3**i for i in range(widenings + 1)):
-        close = _in_cells(rest, known, width).groupBy(point, "lat", "lon").agg(best)
+        close = materialise(_in_cells(rest, known, width).groupBy(point, "lat", "lon").agg(best), "nearest")
         # Outside its 3 x 3 cells a site is a cell's width away at least, which narrows towards the poles.
         sure_km = F.lit(math.radians(width) * 6371.0088 * 0.95) * F.cos(F.radians(F.least(F.abs("lat") + width, F.lit(90.0))))
         sure = F.coalesce(F.col("b.km") <= sure_km, F.lit(False))
