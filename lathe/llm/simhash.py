@@ -129,14 +129,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each group the document with the smallest doc_id stays, with all its columns.
+    """docs without near-duplicates: exactly one row of each group stays, with all its columns.
 
-    Of rows that repeat the doc_id that stays, the one with the smallest text does. Groups whose ids are all null keep one row
-    between them, as null counts as one id here.
+    It is the row with the smallest doc_id, of those the one with the smallest text hash; a null doc_id comes last. Groups are
+    told apart by the smallest fingerprint they reach and rows by a number of their own, so null and repeated ids lose nothing.
+    Minima are taken by fingerprint first, then by group, so that copies are folded before rows meet.
     """
-    key, turn = fresh(docs.columns, "keep_key"), fresh(docs.columns, "keep_turn")
-    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(named.alias(key)).distinct()
-    found = docs.withColumn(key, named).join(materialise(kept, "simhash-kept"), key, "left_semi")
-    first = F.row_number().over(W.Window.partitionBy(key).orderBy("text"))
-    return found.withColumn(turn, first).where(F.col(turn) == 1).drop(key, turn)
+    row, fp = fresh(docs.columns, "keep_row"), fresh(docs.columns, "keep_fp")
+    numbered = materialise(with_fingerprint(docs, fp).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(row).alias("row"))
+    best = materialise(numbered.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("best")), "simhash-classes")
+    grouped = materialise(components(links(best.select("fp"))), "simhash-components")
+    rooted = best.join(grouped, best["fp"] == grouped["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best"))
+    kept = materialise(rooted.select(F.col("best.row").alias(row)), "simhash-kept")
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)

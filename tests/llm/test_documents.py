@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from edges import ROWS, documents, empty
+from edges import ROWS, documents, empty, prose
 from pyspark.sql import functions as F
 
 from lathe.llm import fair_mix, feistel, ngram_rules, packing, passage_mil, simhash
@@ -217,6 +217,20 @@ def test_near_duplicates_on_edges(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted({r.component_id or -1 for r in out})
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    one, two, three, four = (prose(s, 60) for s in (1, 4, 9, 16))
+    rows = [(None, one), (None, two), (None, two), (7, one + " tail"), (7, three), (7, three), (8, three), (9, four), (7, four), (None, None), (None, ""), (10, prose(25, 60)), (10, prose(36, 60))]
+    docs = spark.createDataFrame([(i, text, "en", "a", n) for n, (i, text) in enumerate(rows)], documents(spark).schema)
+    fps = {text: simhash.fingerprint(text) for _, text in rows}
+    groups = brute_components(fps.values())
+    kept = simhash.keep_one(docs.repartition(3)).collect()
+    assert sorted(groups[fps[r.text]] for r in kept) == sorted(set(groups.values()))
+    for r in kept:
+        ids = [i for i, text in rows if groups[fps[text]] == groups[fps[r.text]]]
+        assert r.doc_id == min((i for i in ids if i is not None), default=None) and (r.doc_id, r.text) == rows[r.n_chars]
+    assert len(kept) > 6 and sum(r.doc_id is None for r in kept) == 2
+
+
 # op7
 
 
