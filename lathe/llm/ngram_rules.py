@@ -12,8 +12,8 @@ from lathe.session import materialise
 SYMBOLS = "#*$%&|<>"
 #: Fewest words, words of a repeat window, largest share of repeated words (percent).
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
-#: Buckets of the hashed unigrams and bigrams, pseudo-count of each, and trusted documents that the target is estimated from.
-BUCKETS, SMOOTHING, TRUSTED_DOCS = 1 << 16, 0.5, 20_000
+#: Buckets of the hashed unigrams and bigrams, and pseudo-count of each.
+BUCKETS, SMOOTHING = 1 << 16, 0.5
 #: A document whose mean log-likelihood ratio is below this is rejected; allowance for the spread of small targets.
 LEAST_RATIO, MARGIN = -0.055, 0.3
 #: Ratios are summed as integers of this unit, so that no order of additions matters.
@@ -50,24 +50,22 @@ def _buckets(buckets: int) -> Column:
     return F.explode_outer(F.transform(F.concat("_h1", "_h2"), lambda h: F.pmod(h, F.lit(buckets))))
 
 
-def trusted(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
-    """The doc_ids (distinct, `most` at most) of the trusted target: rows of quality 1, those of the smallest hashes."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"))
-    n = max(1, good.count())
-    low = -(2**63) + min(2**64 - 1, int(2**64 * min(1.0, 1.2 * most / n)))
-    return good.where(F.col("h") <= low).distinct().orderBy("h", "doc_id").limit(most).select(F.col("doc_id").alias("trusted_id"))
+def trusted(labels: DataFrame) -> DataFrame:
+    """The doc_ids (distinct) of the trusted target: all rows of quality 1."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("trusted_id")).distinct()
 
 
-def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, most: int = TRUSTED_DOCS) -> DataFrame:
+def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """One row per bucket: ratio, ln of target by corpus probability in units of 1e-6.
 
-    The corpus multinomial counts the unigrams and bigrams of all docs; the target's those of the trusted docs, an id list of
-    at most `most` rows, which is why it may be broadcast. The target is smoothed with as many expected counts e of the
+    The corpus multinomial counts the unigrams and bigrams of all docs; the target's those of all trusted docs, which grow with
+    the input, so the planner chooses how their ids meet the docs. The target is smoothed with as many expected counts e of the
     corpus as it has of its own, so a bucket's ratio is ln((count + e) / 2e), from -0.69 up. Two corrections keep documents of the target's
-    kind that are not in the sample near zero at every size: 1 / (8e + 1.44) for the mean of that logarithm over Poisson
+    kind that have no label near zero at every size: 1 / (8e + 1.44) for the mean of that logarithm over Poisson
     counts, and MARGIN / (1 + target n-grams per bucket) for its spread. Without trusted docs all ratios are zero.
     """
-    known = docs.select("doc_id", "text").join(F.broadcast(trusted(labels, most)), F.col("doc_id") == F.col("trusted_id"), "left")
+    ids = materialise(trusted(labels), "ngram-trusted")
+    known = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
     grams = _hashed(known.select("text", F.col("trusted_id").isNotNull().cast("long").alias("_good"))).select(_buckets(buckets).alias("bucket"), "_good")
     counts = materialise(grams.where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_good").alias("good")), "ngram-counts")
     raw_sum, good_sum = counts.select(F.sum("raw")).scalar(), counts.select(F.sum("good")).scalar()

@@ -102,6 +102,20 @@ def test_ratio_against_plain_version(spark, labels):
             assert abs(value - np.mean([ratio[g] for g in grams(text)])) < 1e-5
 
 
+def test_target_counts_every_trusted_document(spark):
+    n = 24_000
+    labels = spark.range(2 * n).selectExpr("id AS doc_id", "CAST(id < %d AS INT) AS quality" % n)
+    assert ngram_rules.trusted(labels.unionByName(labels)).count() == n
+    docs = spark.range(2 * n).selectExpr("nullif(id, 0) AS doc_id", "'w' || id AS text")
+    got = {r.bucket: r.ratio for r in ngram_rules.ratios(docs, labels, buckets=2).collect()}
+    buckets = [(xxhash.xxh64_intdigest(f"w{i}", 42) + (1 << 63)) % 2 for i in range(2 * n)]
+    raw, good = np.bincount(buckets, minlength=2), np.bincount(buckets[1:n], minlength=2)
+    assert good.sum() == n - 1
+    e = good.sum() * (raw + 0.5) / (raw.sum() + 1)
+    want = np.log((good + e) / (2 * e)) + 1 / (8 * e + 1.44) + 0.3 / (1 + good.sum() / 2)
+    assert all(abs(got[b] - 1e6 * want[b]) <= 1 for b in (0, 1))
+
+
 def test_rules_keep_clean_and_drop_junk(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = ngram_rules.judge(docs, labels).where("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k"))
