@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,21 +36,24 @@ class _WordIds(dict):
         return ids
 
 
-def encoder(ranks_path: str, pattern: str, cached: int = CACHED) -> Callable[[str], bytes]:
+def encoder(ranks_path: str, pattern: str, cached: int = CACHED, added: Mapping[str, int] | None = None) -> Callable[[str], bytes]:
     """text to its ids as native 16-bit bytes, for a byte-level BPE vocabulary under 65,536 ids given as ranks.
 
     Pre-tokens never reach across a space between two non-space characters, except that they start with it. A text without
     two white spaces in a row is therefore the concatenation of its words' ids, each with its leading space; others are
-    encoded whole.
+    encoded whole. So are texts that hold one of the added tokens: it is its own id, and what is around it is encoded apart.
     """
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added or {}))
+    encode, names = encoding.encode_ordinary, tuple(added or ())
     ids = _WordIds(encode, cached)
 
     def of(text: str) -> bytes:
+        if any(name in text for name in names):
+            return array("H", encoding.encode(text, allowed_special="all")).tobytes()
         if _RUN.search(text):
             return array("H", encode(text)).tobytes()
         first, *rest = text.split(" ")
@@ -65,14 +69,22 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def tokenise(docs: DataFrame, vocabulary: tuple[str, str] | None = None, end: int = END) -> DataFrame:
+def public_added() -> dict[str, int]:
+    """The tokens that byte_bpe_50k.json adds to the ranks, which `tokenizers` finds in texts with add_special_tokens=False too."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as whole:
+        return {t["content"]: t["id"] for t in json.load(whole)["added_tokens"]}
+
+
+def tokenise(docs: DataFrame, vocabulary: tuple[str, str] | None = None, end: int = END, added: Mapping[str, int] | None = None) -> DataFrame:
     """docs (doc_id, text) to doc_id, ids (16-bit binary, with the end id), part (task) and at (ids of the task before it)."""
     path, pattern = vocabulary or public_vocabulary()
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("at", pa.int64())])
     last = array("H", [end]).tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, at = encoder(path, pattern), 0
+        of, at = encoder(path, pattern, added=added), 0
         for batch in batches:
             ids = [of(text or "") + last for text in batch.column("text").to_pylist()]
             starts = []
@@ -85,7 +97,7 @@ def tokenise(docs: DataFrame, vocabulary: tuple[str, str] | None = None, end: in
     return marked.mapInArrow(encoded, "doc_id long, ids binary, part int, at long")
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: tuple[str, str] | None = None, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: tuple[str, str] | None = None, end: int = END, added: Mapping[str, int] | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (16-bit binary), ids_crc32, doc_tokens, sequence_id, offset.
 
     First pass: each task encodes its documents and counts ids; the result is a table in the shared scratch folder, so that
@@ -93,10 +105,10 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: tuple[str, str] | No
     offset in the stream of all ids, and each document is cut where the stream passes a multiple of window; a document over a
     boundary gives a record on either side. Every id is in exactly one piece, and only the last sequence is not full.
 
-    Null and empty texts are the end id alone. A null doc_id and repeated rows are documents like others. No rows: no
-    pieces. Extra columns are left out. The order of documents is that of the input's partitions.
+    Null and empty texts are the end id alone. Names in added become its ids wherever a text holds them; without it they are
+    plain text. A null doc_id and repeated rows are documents like others. No rows: no pieces. Extra columns are left out. The order of documents is that of the input's partitions.
     """
-    encoded = materialise(tokenise(docs, vocabulary, end), "pack-ids")
+    encoded = materialise(tokenise(docs, vocabulary, end, added), "pack-ids")
     totals = encoded.groupBy("part").agg(F.max(F.col("at") + F.expr("octet_length(ids) div 2")).alias("tokens"))
     before = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = materialise(totals.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before")), "pack-offsets")

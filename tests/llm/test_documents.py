@@ -276,6 +276,28 @@ def test_packing_round_trip(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("stage", ["op7_concat_pack", "pipeline"])
+def test_added_tokens_are_found_as_the_tokenizer_finds_them(spark, tmp_path, stage):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lathe.llm import queries
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "it's  x\n<|endoftext|><|endoftext|>\t y", "<|endoftext|", "z " * 50 + "q<|endoftext|>é  ", "plain"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], documents(spark).schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    run = queries.QUERIES[stage](spark, str(tmp_path)) if stage in queries.QUERIES else corpus_pipeline.pack_sequences(spark, docs, str(tmp_path))
+    got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in run.collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert (50256 in ids) == ("<|endoftext|>" in t)
+        if got[i][0] == len(ids) < 2048:
+            assert got[i][1] == zlib.crc32(ids.tobytes())
+        assert got[i][0] == len(ids)
+
+
 # op8
 
 
