@@ -226,7 +226,7 @@ def _merge(into: list, tree: tuple, size: int) -> None:
     into[3] += 1
     if tree[0] == "#text":
         own = sum(len(n.text) for n in tree[2])
-        free = 2 * own < size and not any(n.inside for n in tree[2])
+        free = 2 * own < size or any(n.inside for n in tree[2])
         for key in {_key(n.text) for n in tree[2]} if free else ():
             into[2][key] = into[2].get(key, 0) + 1
         into[4] += own
@@ -254,7 +254,7 @@ def _template(tree: tuple, wrapper: list, dropped: set[int]) -> None:
     """Ids of the text nodes that the wrapper knows as template: constant text where it was constant, and menus."""
     if tree[0] == "#text":
         known = set(wrapper[2])
-        dropped.update(id(n) for n in tree[2] if not n.inside and (wrapper[3] or _key(n.text) in known))
+        dropped.update(id(n) for n in tree[2] if wrapper[3] or _key(n.text) in known)
         return
     for i, j in match(wrapper[1], tree[1])[1]:
         _template(tree[1][j], wrapper[1][i], dropped)
@@ -268,7 +268,10 @@ def _in_order(node: Node, out: list[Node]) -> None:
 
 
 def extract(page: str | None, wrapper: list | None = None) -> str:
-    """The article: text of the varying slots that no name marks as something else, only inside article or main if there."""
+    """The article: text of the varying slots that no name marks as something else, only inside article or main if there.
+
+    Inside these, the wrapper's template counts only if it is under half of the text, so that near copies keep their bodies.
+    """
     if not page:
         return ""
     tree = parse(page)
@@ -277,6 +280,9 @@ def extract(page: str | None, wrapper: list | None = None) -> str:
         _template(folded(tree), wrapper, dropped)
     blocks: list[Node] = []
     _in_order(tree, blocks)
+    body = [b for b in blocks if b.inside and not b.aside]
+    if 2 * sum(len(b.text) for b in body if id(b) in dropped) >= sum(len(b.text) for b in body):
+        dropped.difference_update(map(id, body))
     kept = [b for b in blocks if not b.aside and id(b) not in dropped]
     inner = [b for b in kept if b.inside]
     return "\n\n".join(b.text for b in inner or kept)

@@ -39,6 +39,26 @@ def test_known_names_are_left_out():
     assert wrapper.extract("<p>x" * 3000).count("x") == 3000
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_template_is_found_inside_the_article_too(tag):
+    def page(i):
+        body = f"<h1>Title {i}</h1><p>Text number {i} is here and is as long as texts are, {i * 7}<p>By the staff of this site<p>Last of {i}"
+        return f'<body><{tag}>{body}<div class="x7"><span>Send to a friend</span></div><ul><li><a href="/{i}">Item {i}</a><li><a href="/t">Top</a></ul></{tag}><p>Copyright</body>'
+
+    pages = [page(i) for i in range(6)]
+    got = [wrapper.extract(p, wrapper.induce(pages)) for p in pages]
+    for i, text in enumerate(got):
+        parts = text.split("\n\n")
+        assert parts[0] == f"Title {i}" and f"Last of {i}" in parts and "Send to a friend" not in parts and "Top" not in parts and f"Item {i}" not in parts
+        assert tag == "div" or "By the staff of this site" not in parts
+
+
+def test_near_copies_keep_their_bodies():
+    same = "".join(f"<p>Paragraph {n} that all of these copies share</p>" for n in range(9))
+    pages = [f"<article><h1>Copy {i}</h1>{same}</article>" for i in range(6)]
+    assert all(wrapper.extract(p, wrapper.induce(pages)) == wrapper.extract(p) for p in pages)
+
+
 def test_tree_matching_size():
     leaf = lambda n, *c: (n, list(c), [])
     a, b = [leaf("p"), leaf("ul", leaf("li"), leaf("li")), leaf("p")], [leaf("h1"), leaf("ul", leaf("li")), leaf("p"), leaf("p")]
