@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lathe.plans.adapters import legs_events, table
+from lathe.plans.adapters import LEGS_EVENTS, legs_events, table
 from lathe.plans.base import query
 from lathe.plans.chain_queries import CHAIN_SQL
 from lathe.streaming import replay, stateful
@@ -44,6 +44,17 @@ def stream_channels(spark, d):
     return legs.where("tail IS NULL").groupBy("channel").agg(F.count("*").alias("legs"))
 
 
+@query(f"""WITH {LEGS_EVENTS}, keys AS (SELECT tail, count(*) AS legs FROM legs GROUP BY 1),
+bytes AS (SELECT tail, legs, list_transform(range(1, len(CAST(tail AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(tail AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT)) AS b FROM keys),
+sums AS (SELECT tail, legs, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x:
+  list_reduce(list_prepend(xor(c, x), [0, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1))))) AS crc FROM bytes)
+SELECT CAST(CASE WHEN tail IS NULL THEN 0 ELSE 1 + crc % 5 END AS INTEGER) AS channel, CAST(sum(legs) AS BIGINT) AS legs FROM sums GROUP BY 1""")
+def stream_all_channels(spark, d):
+    """Legs per channel over all keys, each leg given its channel in the stream."""
+    legs = _stream(legs_events(spark, d).select("event_id", "tail", "dep_ts"), "dep_ts")
+    return replay.run_once(replay.keyed(legs, "tail"), "channels").groupBy("channel").agg(F.count("*").alias("legs"))
+
+
 @query("""WITH s AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup'), p AS (SELECT event_id AS outcome_id, user_id, ts AS outcome_ts FROM events WHERE event_type = 'purchase')
 SELECT s.event_id, p.outcome_id FROM s JOIN p ON s.user_id = p.user_id AND outcome_ts >= ts AND outcome_ts <= ts + INTERVAL 6 HOUR""")
 def stream_outcome_join(spark, d):
