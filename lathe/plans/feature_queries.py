@@ -9,6 +9,7 @@ from lathe.operators.joins import as_of
 from lathe.operators.measures import rate
 from lathe.plans.adapters import CUTOFF, LEGS_LINEITEM, legs_lineitem
 from lathe.plans.base import query
+from lathe.session import materialise
 
 
 def levels():
@@ -42,7 +43,7 @@ def global_prior(spark, d):
 
 def features(spark, d):
     """Completed legs with smoothed rates by carrier, route, origin and, from the origin-grain level, destination."""
-    known = _rates(spark, d).persist()
+    known = materialise(_rates(spark, d), "rates")
     fact = legs_lineitem(spark, d).where("del15 IS NOT NULL")
     prior = rates.global_rate(known, "carrier")
     fact = fact.withColumns({"global_rate": prior.select("global_rate").scalar(), "global_delay": prior.select("global_delay").scalar()})

@@ -9,6 +9,7 @@ from lathe.functions.scalars import platt
 from lathe.plans.adapters import LEGS_LINEITEM, legs_lineitem
 from lathe.plans.base import query
 from lathe.plans.feature_queries import features
+from lathe.session import materialise
 
 CUTS = {"fit": "1997-01-01", "validation": "1999-01-01"}
 NUMBERS, CATEGORIES = ["route_rate", "origin_rate", "dest_rate", "dep_hour"], ["carrier_name"]
@@ -30,7 +31,7 @@ def class_weights(spark, d):
 def _parts(spark, d):
     mart = features(spark, d).withColumns({"label": F.col("del15").cast("double"), "carrier_name": F.col("carrier").cast("string")})
     mart = learn.time_split(mart, "service_date", CUTS)
-    fit = learn.balanced_weights(mart.where("part = 'fit'"), "label").persist()
+    fit = materialise(learn.balanced_weights(mart.where("part = 'fit'"), "label"), "learn-fit")
     return fit, *(mart.where(f"part = '{p}'").withColumn("weight", F.lit(1.0)) for p in ("validation", "test"))
 
 

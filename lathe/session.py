@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,15 @@ def build_session(app: str = "lathe", master: str | None = None, **conf: str) ->
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a folder of our own where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share; where it is unset, a folder of our own on a local master only.
+
+    On a cluster each executor would write such a folder to its own disk, so there an unset folder is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         root = "file://" + tempfile.mkdtemp(prefix="spark-lathe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
