@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,36 +49,50 @@ def ending(state: int) -> list[int]:
     return {START: [USER, ASSISTANT], SYSTEM: [USER, ASSISTANT], USER: [ASSISTANT], ASSISTANT: []}[state]
 
 
-def solve(roles: list[int]) -> tuple[list[list[int]], dict[tuple[int, int], list[tuple[int, int, str, int, int]]]]:
-    """Least costs from each state to each over some turns, and the moves of each such way; roles are 1 to 3, 0 unknown.
+@lru_cache(maxsize=1 << 16)
+def _step(role: int, ahead: tuple[int, ...]) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+    """One turn back: (shift, costs from each state to each exit less the shift, index of the first of the cheapest moves)."""
+    now, first = [FAR] * 16, [-1] * 16
+    for state in range(4):
+        for i, move in enumerate(_MOVES[state, role]):
+            for final in range(4):
+                rest = ahead[4 * move[1] + final]
+                if rest < FAR and move[0] + rest < now[4 * state + final]:
+                    now[4 * state + final], first[4 * state + final] = move[0] + rest, i
+    shift = min(now)
+    return shift, tuple(c - shift if c < FAR else FAR for c in now), tuple(first)
 
-    Dynamic programming over the automaton's states; of equally cheap ways the one whose last moves come first in order.
+
+def solve(roles: list[int]) -> tuple[list[list[int]], dict[tuple[int, int], list[tuple[int, int, str, int, int]]], list[list[int]]]:
+    """Least costs from each state to each over some turns, the moves of each such way and its rank; roles are 1 to 3, 0 unknown.
+
+    Dynamic programming over the automaton's states, from the last turn back. Of equally cheap ways the first in order is taken:
+    that whose first turn has the earlier move, then whose second, and so on. Ranks are the order of the ways from one state. So
+    the way through several runs of turns follows from their tables alone and is the same wherever a conversation is cut.
     """
-    costs, ways = [[FAR] * 4 for _ in range(4)], {}
+    ahead, total, firsts = tuple(0 if s == f else FAR for s in range(4) for f in range(4)), 0, []
+    for role in reversed(roles):
+        shift, ahead, first = _step(role, ahead)
+        total += shift
+        firsts.append((role, first))
+    firsts.reverse()
+    costs, ways, ranks = [[FAR] * 4 for _ in range(4)], {}, [[0] * 4 for _ in range(4)]
     for entry in range(4):
-        best = [FAR] * 4
-        best[entry] = 0
-        back = []
-        for role in roles:
-            after, came = [FAR] * 4, [None] * 4
-            for state in range(4):
-                if best[state] >= FAR:
-                    continue
-                for move in _MOVES[state, role]:
-                    if best[state] + move[0] < after[move[1]]:
-                        after[move[1]], came[move[1]] = best[state] + move[0], (state, move)
-            back.append(came)
-            best = after
+        order = []
         for final in range(4):
-            if best[final] >= FAR:
+            if ahead[4 * entry + final] >= FAR:
                 continue
-            costs[entry][final] = best[final]
-            state, way = final, []
-            for came in reversed(back):
-                state, move = came[state]
-                way.append(move)
-            ways[entry, final] = way[::-1]
-    return costs, ways
+            costs[entry][final] = ahead[4 * entry + final] + total
+            state, way, places = entry, [], []
+            for role, first in firsts:
+                places.append(first[4 * state + final])
+                way.append(_MOVES[state, role][places[-1]])
+                state = way[-1][1]
+            ways[entry, final] = way
+            order.append((places, final))
+        for rank, (_, final) in enumerate(sorted(order)):
+            ranks[entry][final] = rank
+    return costs, ways, ranks
 
 
 def close(costs: list[list[int]], entry: int = START) -> tuple[int, int]:
@@ -85,19 +100,18 @@ def close(costs: list[list[int]], entry: int = START) -> tuple[int, int]:
     return min((costs[entry][s] + INSERT * len(ending(s)), s) for s in range(4))
 
 
-def compose(fragments: list[list[list[int]]]) -> list[tuple[int, int]]:
-    """Entry and exit state of each fragment on the cheapest way through all."""
-    best, back = [0 if s == START else FAR for s in range(4)], []
-    for costs in fragments:
-        after = [min((best[s] + costs[s][t], s) for s in range(4)) for t in range(4)]
-        best, came = [a[0] for a in after], [a[1] for a in after]
-        back.append(came)
-    state = min((best[s] + INSERT * len(ending(s)), s) for s in range(4))[1]
-    out = []
-    for came in reversed(back):
-        out.append((came[state], state))
-        state = came[state]
-    return out[::-1]
+def compose(fragments: list[list[list[int]]], ranks: list[list[list[int]]] | None = None) -> list[tuple[int, int]]:
+    """Entry and exit state of each fragment on the cheapest way through all; of equally cheap exits the one of the least rank."""
+    ahead = [[INSERT * len(ending(s)) for s in range(4)]]
+    for costs in reversed(fragments):
+        ahead.append([min(costs[s][t] + ahead[-1][t] for t in range(4)) for s in range(4)])
+    out, state = [], START
+    for i, costs in enumerate(fragments):
+        rest, rank = ahead[len(fragments) - 1 - i], ranks[i][state] if ranks else range(4)
+        exit_ = min(range(4), key=lambda t: (costs[state][t] + rest[t], rank[t]))  # noqa: B023
+        out.append((state, exit_))
+        state = exit_
+    return out
 
 
 def repair(conversations: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
@@ -109,14 +123,15 @@ def repair(conversations: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
 
     Legal is an optional system message, then user and assistant in turn, ending with the assistant. Turns are sorted
     globally by (conv_id, turn, role, text); each task solves runs of up to `fragment` turns of a conversation for all four
-    entry states, and conversations of several fragments are composed from these 4 x 4 tables. So no conversation is ever gathered,
-    however long. Roles are trimmed and lower-cased; null and other roles are unknown. Null text is empty. Turns of a null conv_id are one
+    entry states, and conversations of several fragments are composed from these 4 x 4 tables, one small row for each run. So no
+    conversation's turns are ever gathered, however many, and neither `fragment` nor the partitions change a result: of equally cheap ways the
+    first in order of moves is taken (see solve()). Roles are trimmed and lower-cased; null and other roles are unknown. Null text is empty. Turns of a null conv_id are one
     conversation. Null turns come first; equal turns are ordered by role and text. Empty input: empty result. Extra columns are left out.
     """
     keys = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
     tied = conversations.select("conv_id", "turn", "role", "text").withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
     ordered = tied.repartitionByRange(*keys, F.col("tie")).sortWithinPartitions(*keys, "tie").drop("tie").withColumn("part", F.spark_partition_id())
-    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("part", pa.int32()), ("fragment", pa.int64()), ("at", pa.int32()), ("ways", pa.list_(pa.int32())), ("costs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("turns", pa.int32())])
+    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("part", pa.int32()), ("fragment", pa.int64()), ("at", pa.int32()), ("ways", pa.list_(pa.int32())), ("costs", pa.list_(pa.int64())), ("ranks", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("turns", pa.int32())])
     names = {name: i + 1 for i, name in enumerate(ROLES)}
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +140,7 @@ def repair(conversations: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal number
-            costs, ways = solve([names.get((r[2] or "").strip().lower(), 0) for r in held])
+            costs, ways, ranks = solve([names.get((r[2] or "").strip().lower(), 0) for r in held])
             codes: list[list[int]] = [[-1] * 16 for _ in held]
             counts = [0] * 16
             for (entry, final), way in ways.items():
@@ -134,9 +149,9 @@ def repair(conversations: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
                     n += (action != "merge") + (before > 0)
                     codes[i][4 * entry + final] = (((n * 8 + ACTIONS.index(action)) * 4 + new) * 4 + before) * 16 + cost
                 counts[4 * entry + final] = n
-            rows = [(*r, number, i, codes[i], None, None, None) for i, r in enumerate(held)]
+            rows = [(*r, number, i, codes[i], None, None, None, None) for i, r in enumerate(held)]
             conv, part = held[0][0], held[0][4]
-            rows.append((conv, None, None, None, part, number, None, None, [c for row in costs for c in row], counts, len(held)))
+            rows.append((conv, None, None, None, part, number, None, None, [c for row in costs for c in row], [c for row in ranks for c in row], counts, len(held)))
             held.clear()
             number += 1
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -149,15 +164,15 @@ def repair(conversations: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
         if held:
             yield flush()
 
-    everything = materialise(ordered.mapInArrow(solved, "conv_id long, turn long, role string, text string, part int, fragment long, at int, ways array<int>, costs array<long>, counts array<int>, turns int"), "roles")
-    fragments = everything.where("at IS NULL").select("conv_id", "part", "fragment", "costs", "counts", "turns")
+    everything = materialise(ordered.mapInArrow(solved, "conv_id long, turn long, role string, text string, part int, fragment long, at int, ways array<int>, costs array<long>, ranks array<int>, counts array<int>, turns int"), "roles")
+    fragments = everything.where("at IS NULL").select("conv_id", "part", "fragment", "costs", "ranks", "counts", "turns")
     several = fragments.groupBy("conv_id").agg(F.count("*").alias("fragments")).withColumnRenamed("conv_id", "of_conv")
     counted = materialise(fragments.join(several, F.col("conv_id").eqNullSafe(F.col("of_conv"))).drop("of_conv"), "role-fragments")
 
     def composed(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("part", "ascending"), ("fragment", "ascending")])
-        costs = [[c[4 * s : 4 * s + 4] for s in range(4)] for c in table.column("costs").to_pylist()]
-        ways, before, messages, offsets, firsts = compose(costs), 0, 0, [], []
+        costs, ranks = ([[c[4 * s : 4 * s + 4] for s in range(4)] for c in table.column(name).to_pylist()] for name in ("costs", "ranks"))
+        ways, before, messages, offsets, firsts = compose(costs, ranks), 0, 0, [], []
         for (entry, final), turns, counts in zip(ways, table.column("turns").to_pylist(), table.column("counts").to_pylist(), strict=True):
             offsets.append(before)
             firsts.append(messages)
@@ -167,11 +182,11 @@ def repair(conversations: DataFrame, fragment: int = FRAGMENT) -> DataFrame:
 
     path = "part int, fragment long, way int, offset long, first long, closes boolean, turns int"
     long = counted.where("fragments > 1").groupBy("conv_id").applyInArrow(composed, path)
-    exits = F.array(*[F.struct((F.get("costs", F.lit(s)) + INSERT * len(ending(s))).alias("cost"), F.lit(s).alias("state")) for s in range(4)])
+    exits = F.array(*[F.struct((F.get("costs", F.lit(s)) + INSERT * len(ending(s))).alias("cost"), F.get("ranks", F.lit(s)).alias("rank"), F.lit(s).alias("state")) for s in range(4)])
     short = counted.where("fragments = 1").select("part", "fragment", F.array_min(exits)["state"].alias("way"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("first"), F.lit(True).alias("closes"), "turns")
     paths = materialise(long.unionByName(short), "role-paths")
 
-    placed = everything.where("at IS NOT NULL").drop("costs", "counts", "turns").join(paths, ["part", "fragment"])
+    placed = everything.where("at IS NOT NULL").drop("costs", "ranks", "counts", "turns").join(paths, ["part", "fragment"])
     code = F.get("ways", F.col("way"))
     name = lambda n: F.get(F.array(F.lit(None).cast("string"), *map(F.lit, ROLES)), n)
     turn = placed.withColumn("code", code).select(

@@ -150,7 +150,7 @@ def cheapest(roles):
 def test_costs_are_least():
     for n in (1, 2, 3, 4):
         for roles in itertools.product(range(4), repeat=n):
-            costs, ways = role_repair.solve(list(roles))
+            costs, ways, _ = role_repair.solve(list(roles))
             assert role_repair.close(costs)[0] == cheapest(roles)
             for (entry, final), way in ways.items():
                 assert sum(m[0] for m in way) == costs[entry][final]
@@ -179,6 +179,51 @@ def test_repair_renders_legally(spark):
     assert role_repair.repair(df.where("false")).count() == 0
 
 
+def first_cheapest(roles):
+    """Of all cheapest ways the first in order of moves, by going through all."""
+    best = None
+    for way in itertools.product(range(8), repeat=len(roles)):
+        state, cost, taken = 0, 0, []
+        for role, choice in zip(roles, way, strict=True):
+            options = role_repair.moves(state, role)
+            if choice >= len(options):
+                break
+            cost, state = cost + options[choice][0], options[choice][1]
+            taken.append(options[choice])
+        else:
+            cost += role_repair.INSERT * len(role_repair.ending(state))
+            if best is None or (cost, way) < best[:2]:
+                best = cost, way, taken
+    return best[2]
+
+
+def test_ties_go_to_the_first_way():
+    for n in (1, 2, 3, 4):
+        for roles in itertools.product(range(4), repeat=n):
+            for size in (1, 2, 5):
+                parts = [role_repair.solve(list(roles[i : i + size])) for i in range(0, n, size)]
+                path = role_repair.compose([p[0] for p in parts], [p[2] for p in parts])
+                assert [m for p, step in zip(parts, path, strict=True) for m in p[1][step]] == first_cheapest(roles)
+
+
+def test_repair_does_not_hang_on_partitions(spark):
+    rng = np.random.default_rng(3)
+    names = [None, "system", "user", "assistant", "tool", " USER"]
+    turns = [(int(c), int(t) if rng.random() < 0.9 else None, names[rng.integers(6)], f"t{rng.integers(3)}") for c in range(150) for t in range(rng.integers(1, 9))]
+    turns += [(1000, t, names[rng.integers(6)], "x") for t in range(700)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    key = lambda rows: sorted(map(str, rows))
+    want = key(role_repair.repair(df.coalesce(1)).collect())
+    assert len(want) == len(turns)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, fragment in ((1, 1), (3, 2), (9, 1024), (3, 1024), (9, 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert key(role_repair.repair(df.repartition(parts), fragment=fragment).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # the pipeline
 
 
