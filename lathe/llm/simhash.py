@@ -16,8 +16,8 @@ from lathe.session import discard, materialise, materialise_at
 
 #: Words in a shingle, seed of its hash, bits that linked fingerprints may differ in.
 SHINGLE, SEED, BITS_APART = 3, 42, 3
-#: Members of one index entry up to which its pairs are compared directly.
-DIRECT = 64
+#: Fingerprints with one value of a half up to which they are compared directly; beyond, rows of a salt of a hot value.
+DIRECT, SPLIT = 64, 4096
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -46,49 +46,65 @@ def with_fingerprint(docs: DataFrame, column: str = "fingerprint", shingle: int
     return docs.withColumn(column, F.arrow_udf(_fingerprints(shingle, seed), "long")(F.col("text")))
 
 
-def _variants(fp: str = "fp") -> Column:
-    """64 index keys: each half with each of its bits wiped. Halves that differ in one bit at most share a key."""
-    one = f"(CAST(v AS BIGINT) << 32) | (shiftrightunsigned({fp}, 32 * (v DIV 32)) & 4294967295L & ~(1L << (v % 32)))"
-    return F.expr(f"explode(transform(sequence(0, 63), v -> {one}))")
+def _wiped(value: str, width: int, one: int) -> Column:
+    """Index keys of a segment's value with one bit wiped, for each bit that is `one`: bit number above, what is left below."""
+    return F.explode(F.expr(f"transform(filter(sequence(0, {width - 1}), b -> (shiftright({value}, b) & 1) = {one}), b -> (CAST(b AS BIGINT) << 32) | ({value} & ~(1L << b)))"))
 
 
-def _narrower() -> Column:
-    """32 keys inside an entry of the first index: quarters of the other half with each bit wiped, for entries with many members."""
-    other = "shiftrightunsigned(fp, 32 * (1 - (shiftright(entry, 32) DIV 32)))"
-    one = f"(CAST(v AS BIGINT) << 16) | (shiftrightunsigned({other}, 16 * (v DIV 16)) & 65535L & ~(1L << (v % 16)))"
-    return F.expr(f"explode(transform(sequence(0, 31), v -> {one}))")
-
+def neighbours(values: DataFrame, width: int) -> DataFrame:
+    """(side, low, high, low_n, high_n): pairs of values of a segment that are equal or differ in one bit.
 
-def _shared(index: DataFrame, keys: list[str]) -> DataFrame:
-    """Index rows whose key has two fingerprints or more, with their number."""
-    return index.withColumn("members", F.count("*").over(W.Window.partitionBy(*keys))).where("members > 1")
+    values: side (which segment), value (of `width` bits) and n (how many fingerprints have it), one row each. A value is
+    indexed once for each of its bits, with that bit wiped; values that had a 0 there meet by equality those that had a 1. An entry has
+    one of each at most, so no key is hot however many fingerprints share a value.
+    """
+    zero, one = (values.select("side", _wiped("value", width, bit).alias("key"), F.col("n").alias(name)) for bit, name in ((0, "low_n"), (1, "high_n")))
+    wiped = F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
+    apart = zero.join(one, ["side", "key"]).select("side", wiped.alias("low"), F.expr("(key & 4294967295L) | (1L << CAST(shiftright(key, 32) AS INT))").alias("high"), "low_n", "high_n")
+    same = values.where("n > 1").select("side", F.col("value").alias("low"), F.col("value").alias("high"), F.col("n").alias("low_n"), F.col("n").alias("high_n"))
+    return apart.unionByName(same)
 
 
-def _pairs(index: DataFrame, keys: list[str], apart: int) -> DataFrame:
-    left, right = index.select(*keys, F.col("fp").alias("a")), index.select(*keys, F.col("fp").alias("b"))
-    close = (F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= apart)
-    return left.join(right, keys).where(close).select("a", "b")
+def _parts() -> Column:
+    """32 keys of the other half: its quarters with each bit wiped, for pairs of values that many fingerprints have."""
+    other = "shiftrightunsigned(fp, 32 * (1 - side)) & 4294967295L"
+    one = f"(CAST(v AS BIGINT) << 16) | (shiftrightunsigned({other}, 16 * (v DIV 16)) & 65535L & ~(1L << (v % 16)))"
+    return F.explode(F.expr(f"transform(sequence(0, 31), v -> {one})"))
 
 
 def links(fingerprints: DataFrame) -> DataFrame:
     """All pairs (a > b) of distinct fingerprints (one row each, column fp) that differ in BITS_APART bits or fewer.
 
-    Of three differing bits one half has one at most, so both fingerprints are in one entry of the one-wildcard index of that
-    half. Entries of up to DIRECT members are compared inside; larger ones are indexed again by the other half's quarters, of
-    which again one differs by one bit at most, and only then compared: no pair is lost and none is listed unverified.
+    Of three differing bits one half has one at most, so the one-wildcard index of that half brings both values together
+    (neighbours()); only then fingerprints meet. Pairs of values that over DIRECT fingerprints share on a side are indexed again by the
+    other half's quarters, of which again one differs by one bit at most, and one side is salted by its number. No pair is lost and
+    none is listed unverified.
     """
-    entries = materialise(_shared(fingerprints.select(_variants().alias("entry"), "fp"), ["entry"]), "simhash-entries")
-    small = _pairs(entries.where(F.col("members") <= DIRECT), ["entry"], BITS_APART)
-    again = entries.where(F.col("members") > DIRECT).select("entry", _narrower().alias("part"), "fp")
-    large = _pairs(_shared(again, ["entry", "part"]), ["entry", "part"], BITS_APART)
-    return small.unionByName(large).distinct()
+    halves = fingerprints.select("fp", F.explode(F.expr("array(struct(0 AS side, fp & 4294967295L AS value), struct(1 AS side, shiftrightunsigned(fp, 32) AS value))")).alias("h")).select("fp", "h.*")
+    values = materialise(halves.groupBy("side", "value").agg(F.count("*").alias("n")), "simhash-values")
+    near = materialise(neighbours(values, 32).withColumn("most", F.greatest("low_n", "high_n")), "simhash-neighbours")
+
+    def members(pairs: DataFrame, end: str, name: str) -> DataFrame:
+        return pairs.withColumn("value", F.col(end)).join(halves, ["side", "value"]).withColumnRenamed("fp", name).drop("value")
+
+    few = near.where(F.col("most") <= DIRECT).select("side", "low", "high")
+    direct = members(members(few, "low", "a"), "high", "b")
+    many = near.where(F.col("most") > DIRECT).select("side", "low", "high", (1 + F.floor(F.col("most") / SPLIT)).cast("int").alias("salts"))
+    one, two = (members(many, end, "fp").select("side", "low", "high", "salts", "fp", _parts().alias("part")) for end in ("low", "high"))
+    left = one.withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).drop("salts").withColumnRenamed("fp", "a")
+    right = two.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumnRenamed("fp", "b")
+    again = left.join(right, ["side", "low", "high", "part", "salt"])
+    close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS_APART) & ((F.col("low") != F.col("high")) | (F.col("a") > F.col("b")))
+    found = [df.where(close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) for df in (direct, again)]
+    return found[0].unionByName(found[1]).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges with a > b to (node, root): every node of an edge with the smallest node it reaches.
 
     Alternates large-star and small-star steps until nothing changes, a logarithmic number of rounds. Each round is written
-    to the shared scratch folder. Minima are aggregated before they are joined back, so a hub's edges are never one task's.
+    to the shared scratch folder. Minima are aggregated map-side before they are joined back; where a hub's edges meet its
+    minimum, Spark's skew join splits them.
     """
     spark = edges.sparkSession
     mark = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
