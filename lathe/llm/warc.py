@@ -38,9 +38,7 @@ def record_id(*parts: object) -> str:
 
 def plain_text(page: str) -> str:
     """All text of a page, a line for each block: what a reader without styles sees, menus included."""
-    blocks: list = []
-    _in_order(parse(page), blocks)
-    return "\n".join(b.text for b in blocks)
+    return "\n".join(block.text for block, _ in _in_order(parse(page, judge=False)))
 
 
 def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
