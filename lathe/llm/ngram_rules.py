@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from lathe.llm.text import SPACES, has_word, words
+from lathe.llm.text import has_word, words
 from lathe.session import materialise
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 #: Fewest words, words of a repeat window, largest share of repeated words (percent).
 LEAST_WORDS, REPEAT_WINDOW, MOST_REPEATED = 20, 8, 30
-#: Buckets of the hashed unigrams and bigrams, and pseudo-count of each.
-BUCKETS, SMOOTHING = 1 << 16, 0.5
-#: A document whose mean log-likelihood ratio is below this is rejected; allowance for the spread of small targets.
-LEAST_RATIO, MARGIN = -0.055, 0.3
-#: Ratios are summed as integers of this unit, so that no order of additions matters.
-_UNIT = 1_000_000
+#: Buckets of the hashed unigrams and bigrams, and the share of the uniform distribution in both multinomials.
+BUCKETS, UNIFORM = 1 << 16, 0.2
+#: The threshold leaves out this share of the trusted documents, each scored by a target that was counted without its fold.
+REJECTED, FOLDS = 0.002, 5
+#: Ratios are whole multiples of 1 / _UNIT, so that no order of additions matters, and the threshold of 1 / _GRID.
+_UNIT, _GRID = 10_000, 1_000
 
 
 def _neighbours(array: str, step: int) -> Column:
@@ -41,76 +42,104 @@ def _repeats(docs: DataFrame) -> DataFrame:
     return at.withColumn("n_repeat_words", F.when(F.col("_at").isNotNull(), F.expr(covered)).otherwise(0).cast("long")).drop("_at")
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """Adds _h1 and _h2: hashes of the words and of the pairs of neighbouring words."""
-    return docs.withColumn("_h1", F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).withColumn("_h2", _neighbours("_h1", 1))
-
-
-def _buckets(buckets: int) -> Column:
-    return F.explode_outer(F.transform(F.concat("_h1", "_h2"), lambda h: F.pmod(h, F.lit(buckets))))
+def _hashed(docs: DataFrame, of: Column) -> DataFrame:
+    """Adds _h1 and _h2: hashes of the words, given as an array, and of the pairs of neighbouring words."""
+    return docs.withColumn("_h1", F.transform(of, lambda w: F.xxhash64(w))).withColumn("_h2", _neighbours("_h1", 1))
 
 
 def trusted(labels: DataFrame) -> DataFrame:
-    """The doc_ids (distinct) of the trusted target: all rows of quality 1."""
-    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("trusted_id")).distinct()
+    """The doc_ids (distinct) of the trusted target, all rows of quality 1, each with its fold."""
+    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("trusted_id")).distinct()
+    return ids.withColumn("fold", F.pmod(F.xxhash64("trusted_id"), F.lit(FOLDS)).cast("int"))
 
 
-def ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
-    """One row per bucket: ratio, ln of target by corpus probability in units of 1e-6.
+def ratios(docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS, uniform: float = UNIFORM) -> DataFrame:
+    """One row per bucket: ratio, ln of target by corpus probability in units of 1 / _UNIT, and without, the same for targets less a fold.
 
-    The corpus multinomial counts the unigrams and bigrams of all docs; the target's those of all trusted docs, which grow with
-    the input, so the planner chooses how their ids meet the docs. The target is smoothed with as many expected counts e of the
-    corpus as it has of its own, so a bucket's ratio is ln((count + e) / 2e), from -0.69 up. Two corrections keep documents of the target's
-    kind that have no label near zero at every size: 1 / (8e + 1.44) for the mean of that logarithm over Poisson
-    counts, and MARGIN / (1 + target n-grams per bucket) for its spread. Without trusted docs all ratios are zero.
+    Two multinomials over the hashed unigrams and bigrams: the corpus' counts those of all docs, the target's those of all
+    trusted docs (ids); both are mixed with `uniform` of the uniform distribution. Only shares count, so a table that holds
+    every row twice gives the same ratios. A target without n-grams gives ratios of zero.
     """
-    ids = materialise(trusted(labels), "ngram-trusted")
     known = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = _hashed(known.select("text", F.col("trusted_id").isNotNull().cast("long").alias("_good"))).select(_buckets(buckets).alias("bucket"), "_good")
-    counts = materialise(grams.where("bucket IS NOT NULL").groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_good").alias("good")), "ngram-counts")
-    raw_sum, good_sum = counts.select(F.sum("raw")).scalar(), counts.select(F.sum("good")).scalar()
-    expected = F.col("good_sum") * (F.col("raw") + smoothing) / (F.col("raw_sum") + smoothing * buckets)
-    counted = counts.select("bucket", "raw", "good", raw_sum.alias("raw_sum"), good_sum.alias("good_sum")).withColumn("e", expected)
-    ratio = F.ln((F.col("good") + F.col("e")) / (2 * F.col("e"))) + 1 / (8 * F.col("e") + 1.44) + MARGIN / (1 + F.col("good_sum") / buckets)
-    return materialise(counted.select("bucket", F.round(F.when(F.col("good_sum") > 0, ratio).otherwise(0.0) * _UNIT).cast("long").alias("ratio")), "ngram-ratios")
+    grams = _hashed(known.select("text", "fold"), words(F.col("text"))).select(F.explode(F.concat("_h1", "_h2")).alias("h"), "fold").select(F.pmod("h", F.lit(buckets)).alias("bucket"), "fold")
+    folds = [F.count_if(F.col("fold") == k).alias(f"fold_{k}") for k in range(FOLDS)]
+    counted = materialise(grams.groupBy("bucket").agg(F.count("*").alias("raw"), *folds), "ngram-counts")
+    total = {c: counted.select(F.coalesce(F.sum(c), F.lit(0))).scalar() for c in counted.columns[1:]}
+    good, good_sum = (sum((x[f"fold_{k}"] for k in range(1, FOLDS)), x["fold_0"]) for x in (counted, total))
+
+    def ratio(count: Column, of: Column) -> Column:
+        target, corpus = ((1 - uniform) * n / m + uniform / buckets for n, m in ((count, of), (counted["raw"], total["raw"])))
+        return F.when(of > 0, F.round(F.ln(target / corpus) * _UNIT)).otherwise(0).cast("int")
+
+    without = F.array(*[ratio(good - counted[f"fold_{k}"], good_sum - total[f"fold_{k}"]) for k in range(FOLDS)])
+    return materialise(counted.select("bucket", ratio(good, good_sum).alias("ratio"), without.alias("without")), "ngram-ratios")
+
+
+def _mean(table: list[int], buckets: int, start: Column | int = 0) -> Column:
+    """Mean ratio of the n-grams of _h1 and _h2, null without any. It is summed inside the row, so that no n-gram is ever a row.
+
+    The table is a literal of `buckets` numbers (or that for each fold), whatever the size of the input.
+    """
+    values = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
+    grams = F.concat("_h1", "_h2")
+    total = F.aggregate(grams, F.lit(0).cast("long"), lambda s, h: s + F.get(values, (start + F.pmod(h, F.lit(buckets))).cast("int")))
+    return total / F.nullif(F.size(grams), F.lit(0)) / _UNIT
+
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs (text and others) with the counts, base_failed, _h1 and _h2."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    symbols = sum((F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in SYMBOLS[1:]), F.octet_length(F.replace(text, F.lit(SYMBOLS[0]), F.lit(""))))
+    counted = docs.withColumns({"n_symbols": (len(SYMBOLS) * F.octet_length(text) - symbols).cast("long"), "_lines": F.filter(F.split(text, "\n"), has_word), "_words": words(F.col("text"))})
+    counted = counted.withColumns({"n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"), "word_chars": F.char_length(F.array_join("_words", "")).cast("long")})
+    counted = _repeats(_hashed(counted.drop("_lines"), F.col("_words")).drop("_words").withColumn("n_words", F.size("_h1").cast("long")))
+    return counted.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+
+
+def threshold(docs: DataFrame, ids: DataFrame, without: list[int], buckets: int = BUCKETS, rejected: float = REJECTED) -> Column:
+    """The largest ratio on the grid that at most `rejected` of the trusted docs are below, of those that pass the base rules; null without any.
+
+    Each is scored by the target less its own fold, which says how a document fares that the target doesn't hold. Scores are counted
+    on the grid, so the quantile is exact and the one task that orders them sees the grid alone.
+    """
+    known = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id")).select("text", "fold")
+    scored = _counted(known).select("base_failed", F.floor(_mean(without, buckets, F.col("fold") * buckets) * _GRID).alias("score"), F.monotonically_increasing_id().alias("row"))
+    grid = scored.where("NOT base_failed AND row >= 0").groupBy("score").agg(F.count("*").alias("n"))
+    below = F.sum("n").over(W.Window.orderBy("score")) - F.col("n")
+    ranked = grid.select("score", below.alias("below"), F.sum("n").over(W.Window.partitionBy()).alias("all"))
+    return materialise(ranked.where(F.col("below") <= rejected * F.col("all")).agg((F.max("score") / _GRID).alias("least")), "ngram-threshold").scalar()
 
-def judge(docs: DataFrame, labels: DataFrame, least_ratio: float = LEAST_RATIO, buckets: int = BUCKETS) -> DataFrame:
+
+def _judged(docs: DataFrame, labels: DataFrame, rejected: float, buckets: int, uniform: float) -> DataFrame:
+    """docs (text and others whose names don't clash) with all of judge()'s columns."""
+    ids = materialise(trusted(labels), "ngram-trusted")
+    source = docs.select(F.col("_doc.doc_id").alias("doc_id"), "text")
+    model = {r.bucket: r for r in ratios(source, ids, buckets, uniform).collect()}
+    without = [model[b].without[k] if b in model else 0 for k in range(FOLDS) for b in range(buckets)]
+    least = threshold(source, ids, without, buckets, rejected)
+    scored = _counted(docs).withColumn("ratio", _mean([model[b].ratio if b in model else 0 for b in range(buckets)], buckets)).drop("_h1", "_h2")
+    # The row's number keeps filters on the verdicts above what they are computed from, which they would otherwise unfold.
+    barred = scored.withColumn("_row", F.monotonically_increasing_id())
+    alike = F.coalesce(F.col("ratio") >= F.coalesce(least, F.lit(float("-inf"))), F.lit(False))
+    return barred.withColumns({"kept": ~F.col("base_failed") & alike & (F.col("_row") >= 0), "base_failed": F.col("base_failed") & (F.col("_row") >= 0)}).drop("_row")
+
+
+def judge(docs: DataFrame, labels: DataFrame, rejected: float = REJECTED, buckets: int = BUCKETS, uniform: float = UNIFORM) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, text_hash, the counts, base_failed, ratio (mean, null without words), kept.
 
     A document fails the base rules with under LEAST_WORDS words or over MOST_REPEATED % of words in repeated windows. The
-    others are kept if their mean log-likelihood ratio over all unigrams and bigrams reaches least_ratio. The table of
-    ratios has `buckets` rows at most, so it is broadcast; sums of a document form in the task that reads it.
+    others are kept if their mean log-likelihood ratio over all unigrams and bigrams reaches the threshold that leaves out
+    `rejected` of the trusted documents. Counts and threshold come from all rows; the tables of ratios have `buckets` numbers a
+    fold, so they come to the driver and go to the tasks as literals. A document is judged in the task that reads it, without a shuffle.
 
     Null and empty texts have zero counts and fail. Null doc_ids and repeated rows are documents like others. Labels that
-    are null or name no document count as absent. Empty docs: empty result. Extra columns are left out.
+    are null or name no document count as absent; without trusted documents the base rules decide alone. Empty docs: empty
+    result. Extra columns are left out.
     """
-    model = ratios(docs, labels, buckets)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), has_word)
-    counted = docs.select(
-        "doc_id",
-        text.alias("text"),
-        F.xxhash64("text").alias("text_hash"),
-        F.monotonically_increasing_id().alias("_row"),
-        F.char_length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        lines.alias("_lines"),
-    )
-    counted = counted.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
-    counted = _repeats(_hashed(counted).drop("text").withColumn("n_words", F.size("_h1").cast("long")))
-    keys, counts = ["_row", "doc_id", "text_hash"], ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    grams = counted.select(*keys, *counts, _buckets(buckets).alias("bucket")).join(F.broadcast(model), "bucket", "left")
-    # The counts are aggregates and not keys, so that a filter on the verdict stays above and is not unfolded into the counts' expressions.
-    summed = grams.groupBy(*keys).agg(F.sum("ratio").alias("_sum"), F.count("ratio").alias("_n"), *[F.max(c).alias(c) for c in counts])
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    ratio = F.col("_sum") / F.nullif(F.col("_n"), F.lit(0)) / _UNIT
-    judged = summed.select(*keys[1:], *counts, failed.alias("base_failed"), ratio.alias("ratio"))
-    return judged.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("ratio") >= least_ratio, F.lit(False)))
-
-
-def keep(docs: DataFrame, labels: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns. A verdict hangs on the text alone, so equal rows share it."""
-    verdicts = materialise(judge(docs, labels, least_ratio).where("kept").select(F.xxhash64("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash")).distinct(), "ngram-kept")
-    mine = (F.xxhash64("doc_id") == F.col("_keep_id")) & (F.xxhash64("text") == F.col("_keep_hash"))
-    return docs.join(verdicts, mine, "left_semi")
+    judged = _judged(docs.select(F.struct("doc_id").alias("_doc"), "text"), labels, rejected, buckets, uniform)
+    return judged.select("_doc.doc_id", F.xxhash64("text").alias("text_hash"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept")
+
+
+def keep(docs: DataFrame, labels: DataFrame, rejected: float = REJECTED) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns; what judge() says of nulls, repeats and empty tables holds here."""
+    return _judged(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), labels, rejected, BUCKETS, UNIFORM).where("kept").select("_doc.*")

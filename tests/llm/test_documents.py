@@ -79,41 +79,79 @@ def test_rule_counts(spark, labels):
     assert ngram_rules.keep(documents(spark, True), labels).columns == documents(spark, True).columns
 
 
-def test_ratio_against_plain_version(spark, labels):
-    docs = documents(spark)
-    got = {(r.doc_id, r.text_hash): r.ratio for r in ngram_rules.judge(docs, labels, buckets=64).collect()}
+def plain_rules(rows, good, buckets, uniform=0.2, rejected=0.002):
+    """(ratio of each row, threshold) by loops; good: the trusted ids."""
 
     def grams(text):
         h = [xxhash.xxh64_intdigest(w, 42) for w in (text or "").encode().split()]
         pair = lambda a, b: xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        return [signed(x) % 64 for x in h + [pair(a, b) for a, b in zip(h, h[1:], strict=False)]]
-
-    raw, good = np.zeros(64), np.zeros(64)
-    for i, text, *_ in ROWS:
-        for g in grams(text):
-            raw[g] += 1
-            good[g] += i in (1, 2, 6, 8)
-    e = good.sum() * (raw + 0.5) / (raw.sum() + 32)
-    ratio = np.log((good + e) / (2 * e)) + 1 / (8 * e + 1.44) + 0.3 / (1 + good.sum() / 64)
-    for (i, _), value in got.items():
-        text = next(r[1] for r in ROWS if r[0] == i)
-        if grams(text):
-            assert abs(value - np.mean([ratio[g] for g in grams(text)])) < 1e-5
+        return [x % buckets for x in h + [pair(a, b) for a, b in zip(h, h[1:], strict=False)]]
+
+    def fold(i):
+        x = xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)
+        return (x - (1 << 64) if x >> 63 else x) % 5
+
+    def table(target):
+        probability = lambda n: (1 - uniform) * n / n.sum() + uniform / buckets
+        return np.round(np.log(probability(target) / probability(raw)) * 10_000) if target.sum() else np.zeros(buckets)
+
+    raw, folds, all_grams = np.zeros(buckets), np.zeros((5, buckets)), [grams(r[1]) for r in rows]
+    for r, g in zip(rows, all_grams, strict=True):
+        np.add.at(raw, g, 1)
+        if r[0] in good:
+            np.add.at(folds[fold(r[0])], g, 1)
+    full = table(folds.sum(axis=0))
+    less = [table(folds.sum(axis=0) - folds[k]) for k in range(5)]
+    passed = [i for i, r in enumerate(rows) if len((r[1] or "").split()) >= 20 and 100 * counted(r[1])[4] <= 30 * counted(r[1])[0]]
+    scores = sorted(math.floor(less[fold(rows[i][0])][all_grams[i]].mean() / 10_000 * 1000) for i in passed if rows[i][0] in good)
+    least = max((s for s in scores if sum(x < s for x in scores) <= rejected * len(scores)), default=None)
+    return [full[g].mean() / 10_000 if g else None for g in all_grams], least
+
+
+def test_ratio_against_plain_version(spark, labels):
+    rng = np.random.default_rng(1)
+    rows = [*ROWS, *[(100 + i, " ".join(f"w{int(x)}" for x in rng.geometric(0.02 + 0.02 * (i % 3 == 0), 30 + i)), "en", "a", 1) for i in range(60)]]
+    rows += [(200 + i, " ".join(f"q{int(x)}" for x in rng.integers(0, 9, 60)), "en", "a", 1) for i in range(8)]
+    docs = spark.createDataFrame(rows, documents(spark).schema)
+    ids = [1, 2, 6, 8, *range(100, 140)]
+    named = labels.where("quality = 0").unionByName(spark.createDataFrame([(i, 1, 0) for i in ids], labels.schema))
+    want, least = plain_rules(rows, set(ids), 64, rejected=0.1)
+    got = sorted(map(tuple, ngram_rules.judge(docs, named, 0.1, buckets=64).select("doc_id", "text_hash", "ratio", "kept", "base_failed").collect()), key=str)
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    by = {(r[0], hashed[r[1]]): w for r, w in zip(rows, want, strict=True)}
+    assert len(got) == len(rows) and {False, True} == {g[3] for g in got if not g[4]}
+    for i, h, ratio, kept, failed in got:
+        assert (ratio is None) == (by[i, h] is None) and (ratio is None or abs(ratio - by[i, h]) < 1e-9)
+        assert kept == (not failed and ratio >= least / 1000)
+
+
+def test_verdicts_hang_on_shares_alone(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    once = {r.doc_id: (r.ratio, r.kept) for r in ngram_rules.judge(docs, labels).collect()}
+    twice = ngram_rules.judge(docs.unionByName(docs), labels.unionByName(labels)).collect()
+    assert len(twice) == 2 * len(once) and all((r.ratio, r.kept) == once[r.doc_id] for r in twice)
 
 
 def test_target_counts_every_trusted_document(spark):
     n = 24_000
     labels = spark.range(2 * n).selectExpr("id AS doc_id", "CAST(id < %d AS INT) AS quality" % n)
-    assert ngram_rules.trusted(labels.unionByName(labels)).count() == n
+    ids = ngram_rules.trusted(labels.unionByName(labels))
+    assert ids.count() == n
     docs = spark.range(2 * n).selectExpr("nullif(id, 0) AS doc_id", "'w' || id AS text")
-    got = {r.bucket: r.ratio for r in ngram_rules.ratios(docs, labels, buckets=2).collect()}
-    buckets = [(xxhash.xxh64_intdigest(f"w{i}", 42) + (1 << 63)) % 2 for i in range(2 * n)]
+    got = {r.bucket: r.ratio for r in ngram_rules.ratios(docs, ids, buckets=2).collect()}
+    buckets = [xxhash.xxh64_intdigest(f"w{i}", 42) % 2 for i in range(2 * n)]
     raw, good = np.bincount(buckets, minlength=2), np.bincount(buckets[1:n], minlength=2)
     assert good.sum() == n - 1
-    e = good.sum() * (raw + 0.5) / (raw.sum() + 1)
-    want = np.log((good + e) / (2 * e)) + 1 / (8 * e + 1.44) + 0.3 / (1 + good.sum() / 2)
-    assert all(abs(got[b] - 1e6 * want[b]) <= 1 for b in (0, 1))
+    want = np.log((0.8 * good / good.sum() + 0.1) / (0.8 * raw / raw.sum() + 0.1))
+    assert all(abs(got[b] - 1e4 * want[b]) <= 0.51 for b in (0, 1))
+
+
+def test_rules_without_trusted_documents(spark, labels):
+    out = ngram_rules.judge(documents(spark), labels.where("false")).collect()
+    assert all(r.kept != r.base_failed and r.ratio in (0, None) for r in out) and any(r.kept for r in out)
+    clash = documents(spark, True).withColumns({"_h1": F.lit(1), "ratio": F.lit(2), "_doc": F.lit(3), "n_words": F.lit(4), "_row": F.lit(5)})
+    kept = ngram_rules.keep(clash, labels)
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in ngram_rules.judge(clash, labels).where("kept").collect())
 
 
 def test_rules_keep_clean_and_drop_junk(spark):
