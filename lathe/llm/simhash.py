@@ -1,7 +1,11 @@
-"""SimHash near-duplicates: one-wildcard segment variants find all fingerprints within three bits, stars find the groups."""
+"""SimHash near-duplicates: one-wildcard segment variants find fingerprints that are close, stars find the groups.
+
+near_duplicates() links 64-bit fingerprints within three bits, exactly; keep_one() links longer ones by an estimated similarity.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +22,8 @@ from lathe.session import discard, materialise, materialise_at
 SHINGLE, SEED, BITS_APART = 3, 42, 3
 #: Fingerprints with one value of a half up to which they are compared directly; beyond, rows of a salt of a hot value.
 DIRECT, SPLIT = 64, 4096
+#: keep_one(): words in a shingle, least similarity (Jaccard, of the sets of shingles), 64-bit words of its fingerprint, bits of each half of these that are indexed.
+WIDE_SHINGLE, SIMILARITY, WORDS, SEGMENT = 5, 0.8, 6, 24
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -33,6 +39,39 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, words: int = WORDS) -> np.ndarray:
+    """64 * words bits as unsigned 64-bit words, each a majority over the distinct shingles of a text of one mixed hash of theirs."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(words, dtype="<u8")
+    grams = zip(*(tokens[i:] for i in range(shingle)), strict=False) if len(tokens) >= shingle else [tokens]
+    hashes = np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams], dtype="<u8"))
+    ones = np.zeros(64 * words, dtype=np.int64)
+    for start in range(0, len(hashes), 1 << 14):
+        with np.errstate(over="ignore"):
+            x = hashes[start : start + (1 << 14), None] + np.arange(1, words + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
+def _wide(shingle: int, words: int):
+    def over(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [wide_fingerprint(t, shingle, words) for t in texts.to_pylist()]
+            flat = np.concatenate(found).view("<i8") if found else np.zeros(0, "<i8")
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * words, pa.int32()), pa.array(flat, pa.int64()))
+
+    return over
+
+
+def bits_apart(similarity: float, bits: int) -> int:
+    """Bits that fingerprints of texts of this similarity differ in on average: the share is the angle of their sets over pi."""
+    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
 def _fingerprints(shingle: int, seed: int):
     def over(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
@@ -144,18 +183,69 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(ids, marked["fp"] == ids["of_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def _far(words: int, one: str, two: str) -> Column:
+    return sum((F.bit_count(F.col(f"{one}{k}").bitwiseXOR(F.col(f"{two}{k}"))) for k in range(1, words)), F.bit_count(F.col(f"{one}0").bitwiseXOR(F.col(f"{two}0"))))
+
+
+def similar(classes: DataFrame, apart: int, words: int = WORDS, segment: int = SEGMENT) -> DataFrame:
+    """(node, root) of the groups of distinct wide fingerprints (id, f0, f1, ...) that are linked; ids without a link are left out.
+
+    Linked are fingerprints that differ in `apart` bits or fewer and in one bit at most of some segment: the low `segment` bits of
+    a half of a word. Values of segments meet in the one-wildcard index (neighbours()). First each fingerprint is compared with
+    the smallest id of its own and of each neighbouring value, which joins nearly all of a group however large by a row each. Then only
+    fingerprints whose groups still differ are compared, all with all but for those of a value's largest group with each other, so that
+    groups are exactly those of all links though the pairs of a group are never listed.
+    """
+    f = [f"f{k}" for k in range(words)]
+    cut = ", ".join(f"struct({2 * k + h} AS side, shiftrightunsigned(f{k}, {32 * h}) & {(1 << segment) - 1}L AS value)" for k in range(words) for h in range(2))
+    members = classes.select("id", *f, F.explode(F.expr(f"array({cut})")).alias("s")).select("id", *f, "s.side", "s.value")
+    first = F.min(F.struct("id", *f)).alias("first")
+    values = materialise(members.groupBy("side", "value").agg(F.count("*").alias("n"), first), "simhash-values")
+    near = materialise(neighbours(values.drop("first"), segment), "simhash-neighbours")
+    ways = near.select("side", F.col("low").alias("value"), F.col("high").alias("other")).unionByName(near.where("low < high").select("side", F.col("high").alias("value"), F.col("low").alias("other")))
+    targets = ways.join(values.select("side", F.col("value").alias("other"), "first"), ["side", "other"])
+    targets = materialise(targets.select("side", "value", F.col("first.id").alias("to"), *[F.col(f"first.f{k}").alias(f"t{k}") for k in range(words)]), "simhash-targets")
+    stars = members.join(targets, ["side", "value"]).where((F.col("id") != F.col("to")) & (_far(words, "f", "t") <= apart))
+    groups = materialise(components(stars.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct()), "simhash-stars")
+
+    of = members.join(groups, members["id"] == groups["node"], "left").select("id", *f, "side", "value", F.coalesce("root", "id").alias("root"))
+    shares = of.groupBy("side", "value", "root").agg(F.count("*").alias("n"))
+    mains = materialise(shares.groupBy("side", "value").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max_by("root", "n").alias("main")).where("n > 1"), "simhash-mains")
+    low, high = (mains.select("side", *[F.col(c).alias(f"{end}_{c}" if c != "value" else end) for c in ("value", "roots", "n", "main")]) for end in ("low", "high"))
+    open_pairs = near.select("side", "low", "high").join(low, ["side", "low"]).join(high, ["side", "high"])
+    open_pairs = open_pairs.where("NOT (low_main = high_main AND low_roots = 1 AND high_roots = 1)").withColumn("main", F.expr("if(low_main = high_main, low_main, -1)"))
+    open_pairs = materialise(open_pairs.select("side", "low", "high", "main"), "simhash-open")
+    one = open_pairs.withColumn("value", F.col("low")).join(of, ["side", "value"]).drop("value")
+    two = open_pairs.withColumn("value", F.col("high")).join(of, ["side", "value"]).drop("value", "main")
+    two = two.withColumnsRenamed({"id": "to", "root": "to_root"} | {f"f{k}": f"t{k}" for k in range(words)})
+    close = (F.col("root") != F.col("to_root")) & (_far(words, "f", "t") <= apart)
+    rest = two.join(open_pairs, ["side", "low", "high"]).where("to_root != main").drop("main")
+    keys = ["side", "low", "high"]
+    others = one.where("root != main").join(two, keys).unionByName(one.where("root = main").join(rest, keys))
+    more = others.where(close).select(F.greatest("root", "to_root").alias("a"), F.least("root", "to_root").alias("b")).distinct()
+    joined = groups.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+    return components(joined)
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, words: int = WORDS, segment: int = SEGMENT) -> DataFrame:
     """docs without near-duplicates: exactly one row of each group stays, with all its columns.
 
-    It is the row with the smallest doc_id, of those the one with the smallest text hash; a null doc_id comes last. Groups are
-    told apart by the smallest fingerprint they reach and rows by a number of their own, so null and repeated ids lose nothing.
-    Minima are taken by fingerprint first, then by group, so that copies are folded before rows meet.
+    Texts are linked if their fingerprints, of 64 * words bits over distinct shingles of `shingle` lower-cased words, differ in no more
+    bits than texts of this Jaccard similarity do on average, and some segment of 2 * words differs in one bit at most
+    (see similar()). Both follow from the texts alone. Of texts at the threshold itself about three in four share a segment.
+
+    The row that stays is the one with the smallest doc_id, of those the one with the smallest text hash; a null doc_id comes
+    last. Groups are told apart by their fingerprints and rows by a number of their own, so null and repeated ids lose nothing. Null and
+    wordless texts are equal. Minima are taken by fingerprint first, then by group, so that copies are folded before rows
+    meet. Extra columns stay, whatever their names. Empty input: empty result.
     """
     row, fp = fresh(docs.columns, "keep_row"), fresh(docs.columns, "keep_fp")
-    numbered = materialise(with_fingerprint(docs, fp).withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    numbered = materialise(docs.withColumns({fp: F.arrow_udf(_wide(shingle, words), "array<long>")(F.col("text")), row: F.monotonically_increasing_id()}), "simhash-rows")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(row).alias("row"))
-    best = materialise(numbered.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("best")), "simhash-classes")
-    grouped = materialise(components(links(best.select("fp"))), "simhash-components")
-    rooted = best.join(grouped, best["fp"] == grouped["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("best").alias("best"))
-    kept = materialise(rooted.select(F.col("best.row").alias(row)), "simhash-kept")
-    return numbered.join(kept, row, "left_semi").select(*docs.columns)
+    best = numbered.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("best"))
+    best = materialise(best.select("best", F.monotonically_increasing_id().alias("id"), *[F.get("fp", F.lit(k)).alias(f"f{k}") for k in range(words)]), "simhash-classes")
+    grouped = materialise(similar(best.drop("best"), bits_apart(similarity, 64 * words), words, segment), "simhash-components")
+    rooted = best.join(grouped, best["id"] == grouped["node"], "left").groupBy(F.coalesce("root", "id")).agg(F.min("best").alias("best"))
+    kept = rooted.select(F.col("best.row").alias(row))
+    dropped = materialise(numbered.select(row).join(kept, row, "left_anti"), "simhash-dropped")
+    return numbered.join(dropped, row, "left_anti").select(*docs.columns)

@@ -283,6 +283,83 @@ def test_one_row_of_each_group_stays_whatever_its_id(spark):
     assert len(kept) > 6 and sum(r.doc_id is None for r in kept) == 2
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_groups_against_brute_force(spark, seed):
+    """Words of 64 bits, segments of 12: families that hang together by chains, with most links not through a smallest id."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for _ in range(14):
+        x = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
+        for _ in range(12):
+            y = x.copy()
+            for b in rng.choice(128, rng.integers(1, 16), replace=False):
+                y[b // 64] ^= np.uint64(1 << int(b % 64))
+            rows.append(y)
+            x = y if rng.random() < 0.4 else x
+    rows = list({tuple(map(int, r)): r for r in rows}.values())
+    cut = lambda r: [(int(w) >> h) & 0xFFF for w in r for h in (0, 32)]
+    up = list(range(len(rows)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    linked = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            near = any((p ^ q).bit_count() <= 1 for p, q in zip(cut(rows[i]), cut(rows[j]), strict=True))
+            if near and sum(int(p ^ q).bit_count() for p, q in zip(rows[i], rows[j], strict=True)) <= 12:
+                linked += 1
+                up[find(i)] = find(j)
+    signed = lambda v: int(v) - (1 << 64) if int(v) >> 63 else int(v)
+    ids = [int(i) for i in rng.permutation(len(rows))]
+    classes = spark.createDataFrame([(ids[i], signed(r[0]), signed(r[1])) for i, r in enumerate(rows)], "id long, f0 long, f1 long")
+    roots = {r.node: r.root for r in simhash.similar(classes, 12, words=2, segment=12).collect()}
+    ours, brute = collections.defaultdict(set), collections.defaultdict(set)
+    for i, own in enumerate(ids):
+        ours[roots.get(own, own)].add(own)
+        brute[find(i)].add(own)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, brute.values())) and len(rows) > len(brute) + 20 and linked > 100
+
+
+def test_wide_fingerprint_by_hand():
+    text = "Ab  cd\nEF gh ab CD ef gh AB cd"
+    words = text.lower().split()
+    hashes = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(len(words) - 4)}
+    full = (1 << 64) - 1
+
+    def mixed(h, k):
+        x = (h + (k + 1) * 0x9E3779B97F4A7C15) & full
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    want = [sum(1 << b for b in range(64) if 2 * sum(mixed(h, k) >> b & 1 for h in hashes) > len(hashes)) for k in range(6)]
+    assert [int(w) for w in simhash.wide_fingerprint(text)] == want and len(hashes) < len(words) - 4
+    assert not simhash.wide_fingerprint(None).any() and simhash.wide_fingerprint("x").any()
+
+
+def test_near_copies_by_shingles_go(spark):
+    """Of copies with a Jaccard similarity of five-word shingles from 0.85 on nearly all go; unlike texts all stay."""
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows, near = [], 0
+    for i in range(60):
+        text = list(rng.choice(vocabulary, 200))
+        rows.append((2 * i, " ".join(text)))
+        for at in rng.choice(200, 1 + i % 3, replace=False):
+            text[at] = "changed"
+        rows.append((2 * i + 1, " ".join(text)))
+        near += 1
+    half = list(rng.choice(vocabulary, 200))
+    rows += [(1000 + i, " ".join([*half[:60], *rng.choice(vocabulary, 140)])) for i in range(10)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], documents(spark).schema)
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert {2 * i for i in range(60)} <= kept and {1000 + i for i in range(10)} <= kept
+    assert len(kept) - 70 <= 2
+
+
 # op7
 
 
