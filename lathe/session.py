@@ -43,6 +43,12 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path under scratch_root(), which release_scratch() removes."""
+    _SCRATCH.append(f"{scratch_root(spark)}/lathe-{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet under scratch_root() and reads it back.
 
@@ -55,9 +61,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """materialise() with the folder, for callers that discard() it themselves."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/lathe-{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     df.write.parquet(path)
-    _SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.functions.scalars import channel
-from lathe.session import scratch_root
+from lathe.session import scratch_folder
 
 
 def write_replay(df: DataFrame, ts: str, files: int = 4) -> str:
@@ -18,7 +17,7 @@ def write_replay(df: DataFrame, ts: str, files: int = 4) -> str:
     The span of time is cut at quantiles and the slices are written one after another, as a file source reads files by
     their age; ts becomes an instant in UTC.
     """
-    path = f"{scratch_root(df.sparkSession)}/lathe-replay-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, "replay")
     timed = df.withColumn(ts, F.col(ts).cast("timestamp"))
     at = F.unix_micros(ts)
     cuts = timed.agg(F.percentile_approx(at, [i / files for i in range(1, files)], 10_000)).first()[0] or []
@@ -42,7 +41,7 @@ def keyed(df: DataFrame, key: str, partitions: int = 6) -> DataFrame:
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there now and gives what it wrote: files, as the checkpoint commits after the write."""
     spark = stream.sparkSession
-    folder = f"{scratch_root(spark)}/lathe-stream-{name}-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, f"stream-{name}")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     query = writer.format("parquet").option("path", f"{folder}/out").start()
     query.awaitTermination()
