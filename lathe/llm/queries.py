@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.llm import bit_sliced, fair_mix, feistel, ngram_rules, packing, passage_mil, role_repair, simhash, warc, wrapper
+from lathe.session import scratch_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,20 @@ def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages"))).drop("html", "url")
 
 
+def warc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derivatives of responses that were written as WARC files and read again, counted by target and type."""
+    path = scratch_folder(spark, "warc")
+    warc.write_warc(warc.responses(table(spark, sf_dir, "pages").select("url", "html")), path)
+    made = warc.derive(warc.read_warc(spark, path))
+    return made.groupBy("target_uri", "record_type").agg(F.count("*").alias("records"), F.count_distinct("refers_to").alias("sources"), F.count_distinct("payload_digest").alias("payloads"))
+
+
+WARC_FILES_SQL = """
+SELECT url AS target_uri, record_type, count(*) AS records, count(DISTINCT coalesce(html, '')) AS sources, count(DISTINCT coalesce(html, '')) AS payloads
+FROM pages, (VALUES ('metadata'), ('conversion')) AS t(record_type) GROUP BY ALL
+"""
+
+
 def op9_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return role_repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -124,5 +139,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_feistel_shards": op8_feistel_shards,
     "op9_role_repair": op9_role_repair,
     "op10_simhash_variants": op10_simhash_variants,
+    "warc_files": warc_files,
 }
-ORACLES: dict[str, str] = {"op4_bit_sliced_top_k": OP4_SQL, "op5_fair_mix": OP5_SQL}
+ORACLES: dict[str, str] = {"warc_files": WARC_FILES_SQL, "op4_bit_sliced_top_k": OP4_SQL, "op5_fair_mix": OP5_SQL}

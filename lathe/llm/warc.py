@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html as entities
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,12 +19,15 @@ from lathe.llm.wrapper import _in_order, parse
 
 #: Namespace of the record ids that are derived from content, so that a rerun gives the same ids.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lathe:warc")
-SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, headers map<string,string>, block binary"
+SCHEMA = "record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, headers array<struct<key:string,value:string>>, block binary"
 _ARROW = pa.schema(
-    [*[(n, pa.string()) for n in ("record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "payload_digest")], ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())]
+    [*[(n, pa.string()) for n in ("record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "payload_digest")], ("headers", pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))), ("block", pa.binary())]
 )
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
 _LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r?\n")
+#: Bytes of blocks after which a task hands on a batch of records, and bytes of a file that are read at once.
+BATCH, READ = 16 << 20, 1 << 20
 _CHARSET = re.compile(r"charset=[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
 
@@ -41,38 +44,99 @@ def plain_text(page: str) -> str:
     return "\n".join(block.text for block, _ in _in_order(parse(page, judge=False)))
 
 
-def split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, headers and payload of an HTTP response; without a blank line all is payload."""
-    head, gap, payload = block.partition(b"\r\n\r\n")
+def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """Status line, headers in their order (repeated ones too, folded lines joined) and body of an HTTP response; without a blank line all is body."""
+    head, gap, body = block.partition(b"\r\n\r\n")
     if not gap or not head.startswith(b"HTTP/"):
-        return "", {}, block
+        return "", [], block
     status, *lines = head.decode("latin-1").split("\r\n")
-    return status, {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in lines) if k}, payload
+    headers: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and headers:
+            headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.strip()}")
+        else:
+            key, _, value = line.partition(":")
+            headers += [(key.strip(), value.strip())] if key.strip() else []
+    return status, headers, body
+
+
+def _value(headers: list[tuple[str, str]], name: str) -> str:
+    return ", ".join(v for k, v in headers if k.lower() == name)
+
+
+def _joined(chunks: bytes) -> bytes:
+    """The body of a chunked message; what doesn't follow the chunks' form is taken as it is."""
+    out, at = [], 0
+    while found := _CHUNK.match(chunks, at):
+        size = int(found[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(chunks[found.end() : found.end() + size])
+        at = found.end() + size
+        at += 2 * (chunks[at : at + 2] == b"\r\n")
+    return b"".join(out) if out and at >= len(chunks) else chunks
+
+
+def payload_of(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    """The payload of a response: transfer and content codings that are known (chunked, gzip, deflate) undone; a broken one stays as it is."""
+    payload = _joined(body) if "chunked" in _value(headers, "transfer-encoding").lower() else body
+    for coding in reversed([c.strip().lower() for c in _value(headers, "content-encoding").split(",")]):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            for bits in (47, -15):
+                try:
+                    payload = zlib.decompressobj(bits).decompress(payload)
+                    break
+                except zlib.error:
+                    continue
+    return payload
 
 
 def decoded(payload: bytes, content_type: str) -> str:
+    """Text by the byte order mark, the header's charset or the page's own, else UTF-8."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if payload.startswith(mark):
+            return payload[len(mark) :].decode(name, "replace")
     named = _CHARSET.search(content_type) or _CHARSET.search(payload[:1024].decode("latin-1"))
     try:
         return payload.decode(named[1] if named else "utf-8", "replace")
-    except LookupError:
+    except (LookupError, UnicodeError):
         return payload.decode("utf-8", "replace")
 
 
+def _batch(rows: list[tuple], own: list[pa.Array] | None = None, names: list[str] | None = None) -> pa.RecordBatch:
+    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)]
+    return pa.RecordBatch.from_arrays([*(own or []), *columns], names=[*(names or []), *_ARROW.names])
+
+
+def _bounded(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows in lists of up to BATCH bytes of blocks, one at least."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or b"") + 1000
+        if size >= BATCH:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def responses(pages: DataFrame, captured: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Response records of pages (url, html), with any other columns of pages kept. Null html is an empty payload, null url no target."""
     kept = [c for c in pages.columns if c not in {f.name for f in _ARROW}]
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                payload = (page or "").encode("utf-8", "surrogatepass")
-                block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-                own = digest(block)
-                out.append(("response", record_id("response", url, own), None, url, captured, "application/http; msgtype=response", own, digest(payload), [], block))
-            columns = [batch.column(c) for c in kept] + [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)] if out else None
-            if columns:
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *_ARROW.names])
+
+            def rows() -> Iterator[tuple]:
+                for i, (url, page) in enumerate(zip(batch.column("url"), batch.column("html"), strict=True)):  # noqa: B023
+                    url, payload = url.as_py(), (page.as_py() or "").encode("utf-8", "surrogatepass")
+                    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+                    own = digest(block)
+                    yield i, "response", record_id("response", url, own), None, url, captured, "application/http; msgtype=response", own, digest(payload), [], block
+
+            for held in _bounded(rows()):
+                yield _batch([r[1:] for r in held], [batch.column(c).take(pa.array([r[0] for r in held])) for c in kept], kept)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name in kept)
     return pages.mapInArrow(built, f"{fields}, {SCHEMA}" if kept else SCHEMA)
@@ -81,37 +145,39 @@ def responses(pages: DataFrame, captured: str = "1970-01-01T00:00:00Z") -> DataF
 def derive(records: DataFrame) -> DataFrame:
     """Two records for each response record: metadata and conversion, with the extra columns of records.
 
-    Both refer to the response by its id, keep its target and date, and name its payload digest; conversion blocks are the
-    plain text in UTF-8, metadata blocks WARC fields: HTTP status and source headers, title, digests and outlinks. Their ids derive from the
-    response's id and their content, so that reruns and repeated rows agree; the two link to each other by WARC-Concurrent-To. Records of other types
-    and null blocks give none. Null targets or dates stay null. A null record_id is derived from the block. Empty input: empty result.
+    Both refer to the response by its id, keep its target, date and headers, and name its payload digest; conversion blocks are the
+    plain text in UTF-8, metadata blocks WARC fields: HTTP status and the source's headers, all in their order and repeated ones too, title,
+    digests and outlinks. Text is taken from the payload with its codings undone; the digest of a record that has none is that of the payload as it
+    was sent. Ids derive from the response's id and the content, so that reruns and repeated rows agree; the two link to each other by
+    WARC-Concurrent-To, in place of one of the source's. Records of other types and null blocks give none. Null targets or dates stay null. A null
+    record_id is derived from the block. Empty input: empty result. A task holds one batch of input and BATCH bytes of output.
     """
     kept = [c for c in records.columns if c not in set(_ARROW.names)]
 
     def derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, rows = [], []
-            columns = (batch.column(c).to_pylist() for c in ("record_id", "target_uri", "date", "payload_digest", "headers", "block"))
-            for i, (source, target, date, payload_digest, headers, block) in enumerate(zip(*columns, strict=True)):
-                source = source or record_id("response", target, digest(block))
-                status, http, payload = split_http(block)
-                kind = next((v for k, v in http.items() if k.lower() == "content-type"), "")
-                page = decoded(payload, kind)
-                payload_digest = payload_digest or digest(payload)
-                text = plain_text(page).encode("utf-8", "replace")
-                title = _TITLE.search(page)
-                fields = [("source-status", status), *((f"source-{k.lower()}", v) for k, v in [*http.items(), *(headers or [])])]
-                fields += [("source-payload-digest", payload_digest), ("title", " ".join(entities.unescape(title[1]).split()) if title else ""), ("text-length", str(len(text)))]
-                fields += [("outlink", f"{entities.unescape(''.join(link))} L a/@href") for link in _LINK.findall(page)]
-                about = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v).encode("utf-8", "replace")
-                ids = [record_id(kind_of, source, digest(b)) for kind_of, b in (("metadata", about), ("conversion", text))]
-                carried = [(k, v) for k, v in headers or []]
-                for j, (kind_of, mime, b) in enumerate((("metadata", "application/warc-fields", about), ("conversion", "text/plain", text))):
-                    out.append((kind_of, ids[j], source, target, date, mime, digest(b), payload_digest, [*carried, ("WARC-Concurrent-To", ids[1 - j])], b))
-                    rows.append(i)
-            if out:
-                own = [batch.column(c).take(pa.array(rows)) for c in kept]
-                yield pa.RecordBatch.from_arrays(own + [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _ARROW, strict=True)], names=[*kept, *_ARROW.names])
+
+            def rows() -> Iterator[tuple]:
+                columns = (batch.column(c) for c in ("record_id", "target_uri", "date", "payload_digest", "headers", "block"))  # noqa: B023
+                for i, row in enumerate(zip(*columns, strict=True)):
+                    source, target, date, payload_digest, given, block = (x.as_py() for x in row)
+                    source = source or record_id("response", target, digest(block))
+                    status, http, body = split_http(block)
+                    page = decoded(payload_of(http, body), _value(http, "content-type"))
+                    payload_digest = payload_digest or digest(body)
+                    text = plain_text(page).encode("utf-8", "replace")
+                    title = _TITLE.search(page)
+                    carried = [(h["key"], h["value"]) for h in given or [] if (h["key"] or "").lower() != "warc-concurrent-to"]
+                    fields = [("source-status", status), *((f"source-{k.lower()}", v) for k, v in [*http, *carried])]
+                    fields += [("source-payload-digest", payload_digest), ("title", " ".join(entities.unescape(title[1]).split()) if title else ""), ("text-length", str(len(text)))]
+                    fields += [("outlink", f"{entities.unescape(''.join(link))} L a/@href") for link in _LINK.findall(page)]
+                    about = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v).encode("utf-8", "replace")
+                    ids = [record_id(kind_of, source, digest(b)) for kind_of, b in (("metadata", about), ("conversion", text))]
+                    for j, (kind_of, mime, b) in enumerate((("metadata", "application/warc-fields", about), ("conversion", "text/plain", text))):
+                        yield i, kind_of, ids[j], source, target, date, mime, digest(b), payload_digest, [*carried, ("WARC-Concurrent-To", ids[1 - j])], b
+
+            for held in _bounded(rows()):
+                yield _batch([(*r[1:9], [{"key": k, "value": v} for k, v in r[9]], r[10]) for r in held], [batch.column(c).take(pa.array([r[0] for r in held])) for c in kept], kept)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema if f.name in kept)
     return records.where("record_type = 'response' AND block IS NOT NULL").mapInArrow(derived, f"{fields}, {SCHEMA}" if kept else SCHEMA)
@@ -121,46 +187,81 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
     """Writes records as WARC/1.1 files, one per partition, by Spark's own writer (lines that end as records do)."""
     named = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest"}
     line = lambda key, value: F.when(value.isNotNull(), F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))).otherwise("")
-    others = F.array_join(F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\r\n"))), "")
+    others = F.coalesce(F.array_join(F.transform("headers", lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")), F.lit("\r\n"))), ""), F.lit(""))
     head = F.concat(F.lit("WARC/1.1\r\n"), *[line(key, F.col(c)) for c, key in named.items()], others, F.lit("Content-Length: "), F.octet_length("block").cast("string"), F.lit("\r\n\r\n"))
     records.select(F.concat(head.cast("binary"), F.col("block")).cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple]:
-    """The records of a WARC file, gzipped or not, as tuples of SCHEMA's columns; a cut record ends the file."""
-    stream = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+class _Chunks(io.RawIOBase):
+    """The decompressed bytes of a file that is gzipped, one member after another, or not: a part at a time. Bytes that aren't gzip end it."""
+
+    def __init__(self, data: pa.Buffer):
+        self.data, self.at, self.member = memoryview(data), 0, None
+        self.plain = bytes(self.data[:2]) != b"\x1f\x8b"
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into: memoryview) -> int:
+        while self.at < len(self.data) or (self.member and self.member.unconsumed_tail):
+            if self.plain:
+                part = bytes(self.data[self.at : self.at + len(into)])
+                self.at += len(part)
+            else:
+                tail = self.member.unconsumed_tail if self.member else b""
+                if not tail:
+                    tail = bytes(self.data[self.at : self.at + READ])
+                    self.at += len(tail)
+                self.member = self.member or zlib.decompressobj(31)
+                try:
+                    part = self.member.decompress(tail, len(into))
+                except zlib.error:
+                    self.at, self.member = len(self.data), None
+                    return 0
+                if self.member.eof:
+                    self.at -= len(self.member.unused_data)
+                    self.member = None
+            if part:
+                into[: len(part)] = part
+                return len(part)
+        return 0
+
+
+def parse_warc(data: bytes | pa.Buffer) -> Iterator[tuple]:
+    """The records of a WARC file, gzipped or not, as tuples of SCHEMA's columns, unpacked as they are read.
+
+    A cut record, or one whose Content-Length is no number, ends the file: what follows can't be told from its block.
+    """
+    stream = io.BufferedReader(_Chunks(data), READ)
     known = {"warc-type": 0, "warc-record-id": 1, "warc-refers-to": 2, "warc-target-uri": 3, "warc-date": 4, "content-type": 5, "warc-block-digest": 6, "warc-payload-digest": 7}
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
-        row, headers, length = [None] * 8, [], 0
+        row, headers, length = [None] * 8, [], "0"
         while (line := stream.readline()).strip():
             key, _, value = (part.strip() for part in line.decode("utf-8", "replace").partition(":"))
             if key.lower() == "content-length":
-                length = int(value)
-            elif key.lower() in known:
+                length = value
+            elif key.lower() in known and row[known[key.lower()]] is None:
                 row[known[key.lower()]] = value
             else:
-                headers.append((key, value))
-        block = stream.read(length)
-        if len(block) < length:
+                headers.append({"key": key, "value": value})
+        if not (length.isascii() and length.isdigit()):
+            return
+        block = stream.read(int(length))
+        if len(block) < int(length):
             return
         yield (*row, headers, block)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files under a path, read by Spark's binary file source: one task a file, one record at a time."""
+    """The records of all WARC files under a path, read by Spark's binary file source: one task a file, which it holds packed as it
+    is, unpacking one record at a time and handing on BATCH bytes of them."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                rows: list[tuple] = []
-                for row in parse_warc(data.as_py()):
-                    rows.append(row)
-                    if len(rows) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+                for held in _bounded(parse_warc(data.as_buffer())):
+                    yield _batch(held)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parsed, SCHEMA)

@@ -157,7 +157,7 @@ def test_warc_round_trip(spark, tmp_path):
     sources = {r.record_id: r for r in responses.collect()}
     for r in rows:
         assert r.refers_to in sources and r.payload_digest == sources[r.refers_to].payload_digest and r.block_digest == warc.digest(bytes(r.block))
-        partner = next(x for x in rows if x.record_id == r.headers["WARC-Concurrent-To"])
+        partner = next(x for x in rows if x.record_id == dict(r.headers)["WARC-Concurrent-To"])
         assert partner.refers_to == r.refers_to and partner.record_type != r.record_type
     first = {r.record_type: bytes(r.block).decode() for r in rows if r.page_id == 1}
     assert first["conversion"] == "link Text é".replace(" Text", "\nText") and "title: A & B\r\n" in first["metadata"] and "outlink: /x L a/@href" in first["metadata"]
@@ -169,6 +169,49 @@ def test_warc_round_trip(spark, tmp_path):
     assert list(warc.parse_warc(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\nshort")) == []
 
 
+def test_source_headers_and_codings_are_kept(spark):
+    import gzip
+    import zlib
+
+    page = "<title>T</title><p>Grüße"
+    head = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nX-Long: one\r\n two\r\nSet-Cookie: b=2\r\n"
+    packed = gzip.compress(page.encode())
+    chunked = b"".join(b"%x;q=1\r\n%s\r\n" % (len(packed[i : i + 7]), packed[i : i + 7]) for i in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    blocks = {
+        "plain": head + b"Content-Type: text/html; charset=utf-8\r\n\r\n" + page.encode(),
+        "chunked": head + b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked,
+        "deflate": head + b"content-encoding: deflate\r\n\r\n" + zlib.compress(page.encode())[2:-4],
+        "latin": head + b"Content-Type: text/html; charset=latin-1\r\n\r\n" + page.encode("latin-1"),
+        "marked": head + b"\r\n" + b"\xff\xfe" + page.encode("utf-16-le"),
+        "broken": head + b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\nContent-Type: text/html; charset=no-such\r\n\r\n" + page.encode(),
+    }
+    given = [{"key": "WARC-IP-Address", "value": "1.2.3.4"}, {"key": "WARC-Concurrent-To", "value": "<urn:uuid:0>"}, {"key": "WARC-Protocol", "value": "h2"}, {"key": "WARC-Protocol", "value": "tls/1.3"}]
+    rows = [("response", name, None, "http://a/", None, None, None, None, given, block) for name, block in blocks.items()]
+    out = warc.derive(spark.createDataFrame(rows, warc.SCHEMA)).collect()
+    assert len(out) == 2 * len(blocks)
+    for r in out:
+        text = bytes(r.block).decode()
+        assert [tuple(h) for h in r.headers][:3] == [("WARC-IP-Address", "1.2.3.4"), ("WARC-Protocol", "h2"), ("WARC-Protocol", "tls/1.3")] and len(r.headers) == 4
+        assert r.payload_digest == warc.digest(blocks[r.refers_to].partition(b"\r\n\r\n")[2])
+        if r.record_type == "conversion":
+            assert text == "Grüße"
+        else:
+            assert "source-set-cookie: a=1\r\nsource-x-long: one two\r\nsource-set-cookie: b=2\r\n" in text and "title: T\r\n" in text and text.count("warc-protocol") == 2
+
+
+def test_warc_files_are_read_in_parts(monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "READ", 64)
+    records = [b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nX: a:b\r\nX: c\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, 97 * i, b"z\n" * 48 * i + b"y" * i) for i in range(12)]
+    for data in (b"".join(records), gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records)), b"".join(map(gzip.compress, records)) + b"trailing"):
+        found = list(warc.parse_warc(data))
+        assert [(r[1], len(r[-1])) for r in found] == [(f"<{i}>", 97 * i) for i in range(12)] and found[1][8] == [{"key": "X", "value": "a:b"}, {"key": "X", "value": "c"}]
+    for length in (b"abc", b"-5", b"", b"9 9"):
+        assert [r[1] for r in warc.parse_warc(records[3] + records[2].replace(b"Length: 194", b"Length: " + length) + records[4])] == ["<3>"]
+    assert list(warc.parse_warc(b"")) == [] == list(warc.parse_warc(b"\x1f\x8bno gzip"))
+
+
 # op4
 
 
@@ -320,7 +363,7 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == seen[-1]
 
 
-@pytest.mark.parametrize("name", ["op4_bit_sliced_top_k", "op5_fair_mix"])
+@pytest.mark.parametrize("name", ["op4_bit_sliced_top_k", "op5_fair_mix", "warc_files"])
 def test_matches_sql(spark, duck, name):
     from lathe.llm.queries import ORACLES, QUERIES
 
