@@ -16,8 +16,9 @@ from lathe.session import materialise
 PASSAGE, STRETCH = 64, 1 << 20
 #: Hashed word features and measures of style of a passage.
 HASHED, STYLE = 128, 12
-#: Labelled documents that the model is fitted on at most: those of the smallest hashes.
-MAX_LABELLED = 4000
+#: Labelled documents that the model is fitted on at most, those of the smallest hashes, and passages of each, evenly spread over its text.
+#: They bound what comes to the driver: 4,000 * 64 passages of 560 bytes, 143 MB.
+MAX_LABELLED, MAX_PASSAGES = 4000, 64
 #: Scores from here on predict label 1.
 THRESHOLD = 0.3
 #: Rows of the held-out fold: crc32 of the id's text leaves no remainder.
@@ -111,42 +112,51 @@ class Model:
     scale: np.ndarray
     weights: dict[str, np.ndarray]
 
-    def _forward(self, x: np.ndarray, counts: np.ndarray) -> tuple:
-        w = self.weights
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        h = np.tanh(x @ w["W"] + w["b"])
-        t, g = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
-        e = (t * g) @ w["a"]
-        e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), counts))
-        alpha = e / np.repeat(np.add.reduceat(e, starts), counts)
-        z = np.add.reduceat(alpha[:, None] * h, starts)
-        return h, t, g, alpha, z, 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["d"], -30, 30))), starts
-
     def scores(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self._forward((x - self.mean) / self.scale, counts)[5] if len(counts) else np.zeros(0)
+        return forward(self.weights, (x - self.mean) / self.scale, counts)[5].astype(float) if len(counts) else np.zeros(0)
+
+
+def forward(w: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray) -> tuple:
+    """Hidden units, both branches of the gate, attention weights, weighted sum and score of bags of standardised passages; starts of the bags."""
+    starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    h = np.tanh(x @ w["W"] + w["b"])
+    t, g = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
+    e = (t * g) @ w["a"]
+    e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), counts))
+    alpha = e / np.repeat(np.add.reduceat(e, starts), counts)
+    z = np.add.reduceat(alpha[:, None] * h, starts)
+    return h, t, g, alpha, z, 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["d"], -30, 30))), starts
+
+
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray, y: np.ndarray, decay: float) -> dict[str, np.ndarray]:
+    """Of the mean log loss of the bags plus decay / 2 times the squares of W and c."""
+    h, t, g, alpha, z, p, starts = forward(w, x, counts)
+    out = (p - y) / len(y)
+    dz = np.repeat(out[:, None] * w["c"], counts, axis=0)
+    dalpha = (dz * h).sum(axis=1)
+    de = alpha * (dalpha - np.repeat(np.add.reduceat(alpha * dalpha, starts), counts))
+    dt, dg = de[:, None] * w["a"] * g * (1 - t * t), de[:, None] * w["a"] * t * g * (1 - g)
+    dh = (alpha[:, None] * dz + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
+    return {"W": x.T @ dh + decay * w["W"], "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "a": (de[:, None] * t * g).sum(axis=0), "c": z.T @ out + decay * w["c"], "d": out.sum(keepdims=True)}
+
+
+def start_weights(features: int, hidden: int = 16, gate: int = 8, seed: int = 7) -> dict[str, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    drawn = {"W": rng.normal(0, 0.1, (features, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, 0.3, (hidden, gate)), "U": rng.normal(0, 0.3, (hidden, gate)), "a": rng.normal(0, 0.3, gate), "c": rng.normal(0, 0.3, hidden), "d": np.zeros(1)}
+    return {k: v.astype(np.float32) for k, v in drawn.items()}
 
 
 def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, hidden: int = 16, gate: int = 8, steps: int = 200, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> Model:
-    """Adam on the log loss of whole bags; rerun on equal input, it gives equal weights."""
-    rng = np.random.default_rng(seed)
-    scale = x.std(axis=0) + 1e-2
-    model = Model(x.mean(axis=0), scale, {"W": rng.normal(0, 0.1, (x.shape[1], hidden)), "b": np.zeros(hidden), "V": rng.normal(0, 0.3, (hidden, gate)), "U": rng.normal(0, 0.3, (hidden, gate)), "a": rng.normal(0, 0.3, gate), "c": rng.normal(0, 0.3, hidden), "d": np.zeros(1)})
-    w = model.weights
-    x = ((x - model.mean) / scale).astype(np.float32)
+    """Adam on the log loss of whole bags, in single precision; rerun on equal input, it gives equal weights."""
+    w = start_weights(x.shape[1], hidden, gate, seed)
+    model = Model(x.mean(axis=0).astype(np.float32), (x.std(axis=0) + 1e-2).astype(np.float32), w)
+    x, y = ((x - model.mean) / model.scale).astype(np.float32), y.astype(np.float32)
     m, v = ({k: np.zeros_like(p) for k, p in w.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        h, t, g, alpha, z, p, starts = model._forward(x, counts)
-        out = (p - y) / len(y)
-        dz = np.repeat(out[:, None] * w["c"], counts, axis=0)
-        dalpha = (dz * h).sum(axis=1)
-        de = alpha * (dalpha - np.repeat(np.add.reduceat(alpha * dalpha, starts), counts))
-        dt, dg = de[:, None] * w["a"] * g * (1 - t * t), de[:, None] * w["a"] * t * g * (1 - g)
-        dh = (alpha[:, None] * dz + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
-        grads = {"W": x.T @ dh + decay * w["W"], "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "a": (de[:, None] * t * g).sum(axis=0), "c": z.T @ out + decay * w["c"], "d": out.sum(keepdims=True)}
-        for k in w:
-            m[k] = 0.9 * m[k] + 0.1 * grads[k]
-            v[k] = 0.999 * v[k] + 0.001 * grads[k] ** 2
-            w[k] = w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+        for k, grad in gradients(w, x, counts, y, decay).items():
+            m[k] = (0.9 * m[k] + 0.1 * grad).astype(np.float32)
+            v[k] = (0.999 * v[k] + 0.001 * grad**2).astype(np.float32)
+            w[k] = (w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return model
 
 
@@ -154,11 +164,12 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, passages: int = MAX_PASSAGES) -> Model | None:
     """A model of labels.quality from at most `most` labelled documents outside the held-out fold; None if there are none.
 
-    The sample is the smallest by hash of doc_id, its id list is bounded and so may be broadcast, and only encoded
-    passages come to the driver: `most` documents of some tens of passages each. Conflicting labels of an id count as 0.
+    The sample is the smallest by hash of doc_id, its id list is bounded and so may be broadcast. Of rows that repeat an id
+    one is learnt from, that with the smallest hash of its encoded text, and of a document up to `passages` evenly spread passages, so that what
+    comes to the driver is bounded in rows and bytes. Conflicting labels of an id count as 0.
     """
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("label_id"), "quality", F.xxhash64("doc_id").alias("h"))
     n = max(1, usable.count())
@@ -170,10 +181,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
         for batch in batches:
             x, counts = encode(batch.column("text").to_pylist())
             ends = np.cumsum(counts)
-            bags = [x[e - c : e].astype("<f4").tobytes() for c, e in zip(counts, ends, strict=True)]
+            spread = (np.unique(np.linspace(e - c, e - 1, min(c, passages)).round().astype(int)) for c, e in zip(counts, ends, strict=True))
+            bags = [x[i].astype("<f4").tobytes() for i in spread]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
 
-    rows = sorted(chosen.mapInArrow(encoded, "doc_id long, quality int, bag binary").collect())
+    encoded_rows = materialise(chosen.mapInArrow(encoded, "doc_id long, quality int, bag binary"), "mil-bags")
+    rows = sorted(encoded_rows.groupBy("doc_id").agg(F.min_by(F.struct("quality", "bag"), F.xxhash64("bag")).alias("r")).select("doc_id", "r.*").collect())
     if not rows:
         return None
     bags = [np.frombuffer(r.bag, dtype="<f4").reshape(-1, HASHED + STYLE) for r in rows]

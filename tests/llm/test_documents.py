@@ -190,14 +190,59 @@ def test_encoding_does_not_hang_on_company():
     assert len(passage_mil.encode(["w " * 130])[0]) == 3
 
 
-def test_attention_gradient():
+def plain_scores(w, x, counts):
+    """The score of each bag by loops over its passages, and the mean log loss with its penalty given labels."""
+    out, at = [], 0
+    for n in counts:
+        h = [np.tanh(row @ w["W"] + w["b"]) for row in x[at : at + n]]
+        e = [float(np.sum(w["a"] * np.tanh(v @ w["V"]) / (1 + np.exp(-(v @ w["U"]))))) for v in h]
+        share = [math.exp(v) / sum(map(math.exp, e)) for v in e]
+        z = sum(s * v for s, v in zip(share, h, strict=True))
+        out.append(1 / (1 + math.exp(-float(z @ w["c"] + w["d"][0]))))
+        at += n
+    return np.array(out)
+
+
+def test_attention_forward_and_gradient():
     rng = np.random.default_rng(0)
     x, counts, y = rng.normal(size=(60, 5)), np.array([1, 2, 3] * 10), (np.arange(30) % 2).astype(float)
+    w = {k: v.astype(float) + rng.normal(0, 0.2, v.shape) for k, v in passage_mil.start_weights(5, 4, 3).items()}
+    assert np.allclose(passage_mil.forward(w, x, counts)[5], plain_scores(w, x, counts))
+
+    def loss(w):
+        p = plain_scores(w, x, counts)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + 0.05 * (np.sum(w["W"] ** 2) + np.sum(w["c"] ** 2))
+
+    for k, grad in passage_mil.gradients(w, x, counts, y, 0.1).items():
+        for place in np.ndindex(w[k].shape):
+            step = [{**w, k: w[k].copy()} for _ in range(2)]
+            step[0][k][place] += 1e-5
+            step[1][k][place] -= 1e-5
+            assert abs((loss(step[0]) - loss(step[1])) / 2e-5 - grad[place]) < 1e-7
     x[np.cumsum(counts) - 1, 0] += 3 * (2 * y - 1)
     model = passage_mil.fit(x, counts, y, steps=150)
     assert np.mean((model.scores(x, counts) > 0.5) == y) > 0.9
 
 
+def test_what_is_learnt_from_is_bounded(spark, labels, monkeypatch):
+    rows = [(i, prose(i, 64 * 300), "en", "a", 1) for i in (6, 7)] + [(6, prose(6, 64 * 300), "en", "a", 1)] * 30 + [(1, "x y", "en", "a", 1)]
+    seen = []
+    monkeypatch.setattr(passage_mil, "fit", lambda x, counts, y: seen.append((counts.tolist(), y.tolist())))
+    passage_mil.learn(spark.createDataFrame(rows, documents(spark).schema), labels, passages=10)
+    usable = [i for i in (1, 6, 7) if zlib.crc32(str(i).encode()) % 5]
+    assert seen == [([{1: 1}.get(i, 10) for i in usable], [float(i != 7) for i in usable])]
+
+
+def test_long_texts_are_encoded_in_stretches(monkeypatch):
+    text = " ".join(f"word{i % 97}" for i in range(3000))
+    whole, counts = passage_mil.encode([text, "a b"])
+    monkeypatch.setattr(passage_mil, "STRETCH", 2000)
+    cut, parts = passage_mil.encode([text, "a b", "x" * 9000])
+    assert counts[0] == 47 and parts[0] >= counts[0] and parts[2] == 5 and len(cut) == sum(parts)
+    words = lambda x, n: sum(np.expm1(4 * row[-1]) for row in x[:n])
+    assert round(words(whole, counts[0])) == round(words(cut, parts[0])) == 3000
+
+
 # op10
 
 
