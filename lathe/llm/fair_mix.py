@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lathe.llm.text import words
+from lathe.llm.text import fresh, words
 from lathe.session import materialise
 
 #: Weights of the sources in their order, repeated as often as needed.
@@ -49,67 +49,72 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = M
 
     Each source is shuffled by md5(seed, doc_id). A document's virtual finish time in epoch e is (e * source_size + cumulative
     size) / target. All epochs of all documents, in order of finish time, are cut where their running sum of sizes would pass the
-    budget, the sum of all sizes. Cumulative sizes come in two passes: sums of (source, hash range) and a running sum inside a
-    range, so that a source with a third of all rows spreads over 16 ** hex_digits groups. Virtual time is cut into slots that
-    hold nearly equal numbers of words by construction; only the slot in which the budget ends is ordered row by row. About
-    1e6 rows a slot is a good measure: raise hex_digits by one from some 1e10 documents on.
+    budget, the sum of all sizes. This runs over a narrow table that is written once. Cumulative sizes come in two passes: sums of
+    (source, hash range) and a running sum inside a range, so that a source with a third of all rows spreads over 16 ** hex_digits
+    groups. Virtual time is cut into slots that hold nearly equal numbers of words by construction, the slot in which the budget ends is
+    cut again, and only what is left of it is ordered row by row. What an epoch takes of a source is a prefix of its shuffle order, so the cut
+    comes back as one place for each source and epoch, and documents are counted where they are read, without a shuffle of texts.
 
     Null text and text without words: size 0, times 0, taken 0. Null source: a source of its own, last in order. Rows that
-    repeat a doc_id count each; among rows equal in (source, doc_id, size) it isn't defined which comes first. Empty input:
-    empty result. Columns of docs named as those added are replaced; other extra columns stay.
+    repeat a doc_id count each; rows equal in (source, doc_id, size) are taken alike, if the last of them fits. Empty input:
+    empty result. Columns of docs named as those added are replaced; other extra columns stay, whatever their names.
     """
     added = ["size", "source_size", "target", "times", "taken"]
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("unnamed"))
+    rest = docs.drop(*added)
+    key, place, plan = (fresh([*rest.columns, *added], n) for n in ("mix_key", "mix_place", "mix_plan"))
     mixed = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = docs.drop(*added).select("*", word_count(F.col("text")).alias("size"), key.alias("_mix_key"), mixed.alias("_mix_hash"))
-    sized = sized.withColumn("_mix_range", F.substring("_mix_hash", 1, hex_digits))
-    totals = materialise(sized.groupBy("source", "_mix_key", "_mix_range").agg(F.sum("size").alias("size")), "mix-ranges")
-    targets = materialise(source_targets(totals.groupBy("source", "_mix_key").agg(F.sum("size").alias("source_size")), weights, cap), "mix-targets")
-    before = W.Window.partitionBy("_mix_key").orderBy("_mix_range").rowsBetween(W.Window.unboundedPreceding, -1)
-    starts = totals.select("_mix_key", "_mix_range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("_mix_before"))
-    plan = materialise(starts.join(targets.select("_mix_key", "source_size", "target"), "_mix_key"), "mix-plan")
-
-    inside = W.Window.partitionBy("_mix_key", "_mix_range").orderBy("_mix_hash", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, 0)
-    queued = (
-        sized.withColumn("_mix_sum", F.sum("size").over(inside))
-        .join(plan, ["_mix_key", "_mix_range"], "left")
-        .withColumn("_mix_cum", F.col("_mix_before") + F.col("_mix_sum"))
-    )
-    narrow = materialise(queued.where("size > 0").select("_mix_key", "size", "source_size", "target", "_mix_cum"), "mix-queue")
-    budget = totals.select(F.sum("size")).scalar()
-    edge = _edge(narrow, cap, 16**hex_digits, budget)
-    last_slot, last_item = edge.select("slot").scalar(), edge.select("at").scalar()
-    taken = [(_slot(e, 16**hex_digits) < F.col("_mix_slot")) | (_order(e) <= F.col("_mix_last")) for e in range(cap)]
-    times = sum((F.when((F.col("size") > 0) & t, 1).otherwise(0) for t in taken), F.lit(0))
-    out = queued.select("*", last_slot.alias("_mix_slot"), last_item.alias("_mix_last")).withColumn("times", times.cast("int")).withColumn("taken", F.col("times") * F.col("size"))
-    return out.select(*[c for c in docs.columns if c not in added], *added)
-
-
-def _finish(epoch: int | Column) -> Column:
-    epoch = F.lit(epoch) if isinstance(epoch, int) else epoch
-    return (epoch * F.col("source_size") + F.col("_mix_cum")) / F.nullif(F.col("target"), F.lit(0.0))
-
-
-def _slot(epoch: int | Column, slots: int) -> Column:
-    """Slots of equal width up to time 2, by which most budgets end, then ever wider ones: growing with finish time."""
-    finish = _finish(epoch)
-    return F.when(finish < 2, F.floor(finish * slots)).otherwise(2 * slots + F.floor(F.log2(finish) * 64))
-
-
-def _order(epoch: int | Column) -> Column:
-    """The total order of all epochs of all documents with words: no two items of a source end at the same sum."""
-    epoch = F.lit(epoch) if isinstance(epoch, int) else epoch
-    return F.struct(_finish(epoch).alias("finish"), F.col("_mix_key").alias("key"), epoch.cast("int").alias("epoch"), F.col("_mix_cum").cast("long").alias("cum"))
-
-
-def _edge(narrow: DataFrame, cap: int, slots: int, budget: Column) -> DataFrame:
-    """One row: the slot of virtual time in which the budget ends and the last item in it that fits (null if none does)."""
-    items = narrow.select("*", F.explode(F.array(*map(F.lit, range(cap)))).alias("epoch")).select("size", _order(F.col("epoch")).alias("at"), _slot(F.col("epoch"), slots).alias("slot"))
-    by_slot = items.groupBy("slot").agg(F.sum("size").alias("slot_size")).select("*", budget.alias("budget"))
-    so_far = W.Window.orderBy("slot").rowsBetween(W.Window.unboundedPreceding, 0)
-    reached = by_slot.withColumn("upto", F.sum("slot_size").over(so_far)).where("upto >= budget")
-    ended = materialise(reached.agg(F.min(F.struct("slot", F.expr("budget - upto + slot_size").alias("fits"))).alias("e")).select("e.*"), "mix-end")
-    in_slot = W.Window.orderBy("at").rowsBetween(W.Window.unboundedPreceding, 0)
-    edge = items.where(F.col("slot") == ended.select("slot").scalar()).withColumn("upto", F.sum("size").over(in_slot))
-    fits = edge.where(F.col("upto") <= ended.select("fits").scalar())
-    return materialise(fits.agg(F.max("at").alias("at")).select("at", ended.select("slot").scalar().alias("slot")), "mix-edge")
+    sized = rest.withColumns({"size": word_count(F.col("text")), key: F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("unnamed"))})
+    narrow = materialise(sized.select("source", F.col(key).alias("key"), mixed.alias("hash"), "doc_id", "size"), "mix-sizes").withColumn("range", F.substring("hash", 1, hex_digits))
+    totals = materialise(narrow.groupBy("source", "key", "range").agg(F.sum("size").alias("size")), "mix-ranges")
+    targets = materialise(source_targets(totals.groupBy("source", "key").agg(F.sum("size").alias("source_size")), weights, cap), "mix-targets")
+    before = W.Window.partitionBy("key").orderBy("range").rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = totals.select("key", "range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    starts = materialise(starts.join(targets.select("key", "source_size", "target"), "key"), "mix-starts")
+    inside = W.Window.partitionBy("key", "range").orderBy("hash", "doc_id", "size")
+    cumulative = narrow.where("size > 0").drop("source").withColumn("cum", F.sum("size").over(inside)).join(starts, ["key", "range"]).withColumn("cum", F.col("before") + F.col("cum"))
+    queue = materialise(cumulative.drop("range", "before"), "mix-queue")
+    ends = materialise(_ends(queue, cap, 16**hex_digits, totals.select(F.sum("size")).scalar()), "mix-ends")
+    lasts = queue.join(ends, "key").where(F.col("cum").isin(*[F.col(f"end_{e}") for e in range(cap)])).groupBy("key")
+    lasts = lasts.agg(*[F.max(F.when(F.col("cum") == F.col(f"end_{e}"), F.struct("hash", "doc_id", "size"))).alias(f"last_{e}") for e in range(cap)])
+    whole = targets.join(lasts, "key", "left").select(F.col("key").alias(key), F.struct("source_size", "target", *[f"last_{e}" for e in range(cap)]).alias(plan))
+    out = sized.withColumn(place, F.struct(mixed.alias("hash"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))).join(materialise(whole, "mix-plan"), key, "left")
+    times = sum((F.when((F.col("size") > 0) & (F.col(place) <= F.col(f"{plan}.last_{e}")), 1).otherwise(0) for e in range(1, cap)), F.when((F.col("size") > 0) & (F.col(place) <= F.col(f"{plan}.last_0")), 1).otherwise(0))
+    out = out.withColumns({"source_size": F.col(f"{plan}.source_size"), "target": F.col(f"{plan}.target"), "times": times.cast("int")}).withColumn("taken", F.col("times") * F.col("size"))
+    return out.select(*rest.columns, *added)
+
+
+def _finish(epoch: Column) -> Column:
+    return (epoch * F.col("source_size") + F.col("cum")) / F.nullif(F.col("target"), F.lit(0.0))
+
+
+def _ends(queue: DataFrame, cap: int, slots: int, budget: Column) -> DataFrame:
+    """(key, end_0, end_1, ...): how far into a source's cumulative size each epoch is taken; null where nothing is.
+
+    Items are all epochs of all documents with words, in the total order (finish, key, epoch, cum), in which only rows that are
+    taken alike are equal. Slots of equal width up to time 2, by which most budgets end, then ever wider ones, grow with it; the
+    slot in which the budget ends is cut into as many again.
+    """
+    epoch = F.explode(F.array(*map(F.lit, range(cap)))).alias("epoch")
+    items = queue.select("key", "size", "cum", "source_size", "target", epoch).withColumn("finish", _finish(F.col("epoch")))
+    slot = F.when(F.col("finish") < 2, F.floor(F.col("finish") * slots)).otherwise(2 * slots + F.floor(F.log2("finish") * 64))
+    items = items.select("key", "size", "cum", "epoch", "finish", slot.alias("slot"))
+    edge = _reached(items, "slot", budget, "mix-slot")
+    inner = items.where(F.col("slot") == edge.select("slot").scalar())
+    low, high = edge.select("low").scalar(), edge.select("high").scalar()
+    part = F.least(F.lit(slots - 1), F.floor((F.col("finish") - low) / F.nullif(high - low, F.lit(0.0)) * slots))
+    inner = inner.withColumn("part", F.coalesce(part, F.lit(0)))
+    last = _reached(inner, "part", edge.select("left").scalar(), "mix-part")
+    order = F.struct("finish", "key", "epoch", "cum")
+    upto = F.sum("size").over(W.Window.orderBy(order))
+    ordered = inner.where(F.col("part") == last.select("part").scalar()).withColumn("upto", upto).where(F.col("upto") <= last.select("left").scalar())
+    ordered = materialise(ordered.select("key", "epoch", "cum"), "mix-last")
+    earlier = items.where(F.col("slot") < edge.select("slot").scalar()).unionByName(inner.where(F.col("part") < last.select("part").scalar()), allowMissingColumns=True)
+    taken = earlier.select("key", "epoch", "cum").unionByName(ordered).groupBy("key")
+    return taken.agg(*[F.max(F.when(F.col("epoch") == e, F.col("cum"))).alias(f"end_{e}") for e in range(cap)])
+
+
+def _reached(items: DataFrame, slot: str, budget: Column, name: str) -> DataFrame:
+    """One row: the slot in which the running sum of sizes reaches the budget, its least and largest finish and what is left of the budget for it."""
+    by_slot = items.groupBy(slot).agg(F.sum("size").alias("n"), F.min("finish").alias("low"), F.max("finish").alias("high")).select("*", budget.alias("budget"))
+    reached = by_slot.withColumn("upto", F.sum("n").over(W.Window.orderBy(slot))).where("upto >= budget")
+    return materialise(reached.agg(F.min(F.struct(slot, "low", "high", F.expr("budget - upto + n").alias("left"))).alias("e")).select("e.*"), name)

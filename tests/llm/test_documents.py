@@ -52,6 +52,39 @@ def test_mix_comes_near_targets(spark):
         assert abs(r.taken - r.target) < 0.01 * r.target + 20
 
 
+def plain_mix(rows, targets):
+    """doc index to epochs taken, by sorting all items of all sources; rows: (doc_id, size, source)."""
+    md5 = lambda i: __import__("hashlib").md5(f"mix|{'null' if i is None else i}".encode()).hexdigest()
+    total, items = collections.Counter(), []
+    for s in {r[2] for r in rows}:
+        own = sorted(((md5(r[0]), r[0] is not None, r[0] or 0, r[1]), k) for k, r in enumerate(rows) if r[2] == s and r[1])
+        size, cum, at = sum(x[0][3] for x in own), 0, 0
+        while at < len(own):
+            alike = [k for place, k in own if place == own[at][0]]
+            at += len(alike)
+            cum += len(alike) * own[at - 1][0][3]
+            items += [((e * size + cum) / targets[s], "unnamed" if s is None else f"s{s}", e, cum, alike) for e in range(3)]
+    upto, budget = 0, sum(r[1] for r in rows)
+    for *_, alike in sorted(items, key=lambda x: x[:4]):
+        upto += len(alike) * rows[alike[0]][1]
+        if upto > budget:
+            break
+        total.update(alike)
+    return total
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+def test_mix_against_plain_version(spark, digits):
+    rng = np.random.default_rng(digits)
+    sources = ["a", "a", "a", "b", "c", None, "d"]
+    rows = [(int(rng.integers(0, 300)) if rng.random() < 0.8 else None, int(rng.integers(0, 6)), sources[rng.integers(7)]) for _ in range(900)]
+    rows += [(1000 + i, 500, "big") for i in range(3)] + [(5, 3, "a")] * 40
+    docs = spark.createDataFrame([(i, "w " * n, s, k) for k, (i, n, s) in enumerate(rows)], "doc_id long, text string, source string, mix_key long").withColumn("Mix_Plan", F.lit(1))
+    out = fair_mix.fair_queue(docs.repartition(5), hex_digits=digits).collect()
+    want = plain_mix(rows, {r.source: r.target for r in out})
+    assert len(out) == len(rows) and all(r.times == want[r.mix_key] and r.taken == r.times * r["size"] for r in out) and {r.times for r in out} >= {0, 1, 2}
+
+
 # op6
 
 
@@ -481,3 +514,33 @@ def test_shards_on_edges(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1 and len(out) == len(ROWS)
     assert feistel.shard(empty(spark)).count() == 0
+
+
+def plain_place(row, total, seed):
+    """One row's place by whole numbers, round by round."""
+    full = (1 << 64) - 1
+    half = max(1, ((max(total, 2) - 1).bit_length() + 1) // 2)
+
+    def mix(x, key):
+        x = ((x + key) * 0x9E3779B97F4A7C15) & full
+        x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & full
+        return x ^ (x >> 32)
+
+    while True:
+        left, right = divmod(row, 1 << half)
+        for r in range(6):
+            left, right = right, left ^ (mix(right, seed * 6 + r + 1) % (1 << half))
+        row = (left << half) + right
+        if row < total:
+            return row
+
+
+@pytest.mark.parametrize("seed", [0, 5])
+def test_shards_against_plain_version(spark, seed):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    out = {r.doc_id: r for r in feistel.shard(docs.repartition(6), shards=7, seed=seed).collect()}
+    rows = sorted((r.doc_id, len(r.text.encode()) + 16, zlib.crc32(r.text.encode())) for r in docs.collect())
+    assert len(out) == len(rows) > 150
+    for number, (doc_id, size, crc) in enumerate(rows):
+        slot, shard = divmod(plain_place(number, len(rows), seed), 7)
+        assert (out[doc_id].shard, out[doc_id].slot, out[doc_id]["size"], out[doc_id].text_crc32) == (shard, slot, size, crc)
