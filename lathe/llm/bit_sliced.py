@@ -15,7 +15,7 @@ from lathe.session import materialise
 #: Steps of the quantisation per unit.
 STEPS = 1024
 #: Rows of one block of the index and queries that meet it in one task.
-BLOCK, QUERIES = 16_384, 2_048
+BLOCK, QUERIES = 16_384, 16_384
 
 
 def quantised(vector: Column, steps: int = STEPS) -> Column:
