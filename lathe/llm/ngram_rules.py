@@ -48,30 +48,40 @@ def _hashed(docs: DataFrame, of: Column) -> DataFrame:
 
 
 def trusted(labels: DataFrame) -> DataFrame:
-    """The doc_ids (distinct) of the trusted target, all rows of quality 1, each with its fold."""
-    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("trusted_id")).distinct()
-    return ids.withColumn("fold", F.pmod(F.xxhash64("trusted_id"), F.lit(FOLDS)).cast("int"))
+    """The doc_ids (distinct) of the trusted target: all rows of quality 1."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("trusted_id")).distinct()
 
 
-def ratios(docs: DataFrame, ids: DataFrame, buckets: int = BUCKETS, uniform: float = UNIFORM) -> DataFrame:
+def trusted_docs(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Text and fold of all trusted docs, written: where ids are too many to be broadcast, texts meet them by one shuffle, not one for each use."""
+    known = docs.join(ids, F.col("doc_id") == F.col("trusted_id"))
+    return materialise(known.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "ngram-known")
+
+
+def ratios(docs: DataFrame, known: DataFrame, buckets: int = BUCKETS, uniform: float = UNIFORM) -> DataFrame:
     """One row per bucket: ratio, ln of target by corpus probability in units of 1 / _UNIT, and without, the same for targets less a fold.
 
     Two multinomials over the hashed unigrams and bigrams: the corpus' counts those of all docs, the target's those of all
-    trusted docs (ids); both are mixed with `uniform` of the uniform distribution. Only shares count, so a table that holds
+    trusted docs (known); both are mixed with `uniform` of the uniform distribution. Only shares count, so a table that holds
     every row twice gives the same ratios. A target without n-grams gives ratios of zero.
     """
-    known = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = _hashed(known.select("text", "fold"), words(F.col("text"))).select(F.explode(F.concat("_h1", "_h2")).alias("h"), "fold").select(F.pmod("h", F.lit(buckets)).alias("bucket"), "fold")
-    folds = [F.count_if(F.col("fold") == k).alias(f"fold_{k}") for k in range(FOLDS)]
-    counted = materialise(grams.groupBy("bucket").agg(F.count("*").alias("raw"), *folds), "ngram-counts")
+
+    def grams(df: DataFrame, *also: str) -> DataFrame:
+        hashed = _hashed(df.select("text", *also), words(F.col("text"))).select(F.explode(F.concat("_h1", "_h2")).alias("h"), *also)
+        return hashed.select(F.pmod("h", F.lit(buckets)).alias("bucket"), *also)
+
+    raw = grams(docs).groupBy("bucket").agg(F.count("*").alias("raw"))
+    names = [f"fold_{k}" for k in range(FOLDS)]
+    folds = grams(known, "fold").groupBy("bucket").agg(*[F.count_if(F.col("fold") == k).alias(n) for k, n in enumerate(names)])
+    counted = materialise(raw.join(folds, "bucket", "left").select("bucket", "raw", *[F.coalesce(n, F.lit(0)).alias(n) for n in names]), "ngram-counts")
     total = {c: counted.select(F.coalesce(F.sum(c), F.lit(0))).scalar() for c in counted.columns[1:]}
-    good, good_sum = (sum((x[f"fold_{k}"] for k in range(1, FOLDS)), x["fold_0"]) for x in (counted, total))
+    good, good_sum = (sum((x[n] for n in names[1:]), x[names[0]]) for x in (counted, total))
 
     def ratio(count: Column, of: Column) -> Column:
         target, corpus = ((1 - uniform) * n / m + uniform / buckets for n, m in ((count, of), (counted["raw"], total["raw"])))
         return F.when(of > 0, F.round(F.ln(target / corpus) * _UNIT)).otherwise(0).cast("int")
 
-    without = F.array(*[ratio(good - counted[f"fold_{k}"], good_sum - total[f"fold_{k}"]) for k in range(FOLDS)])
+    without = F.array(*[ratio(good - counted[n], good_sum - total[n]) for n in names])
     return materialise(counted.select("bucket", ratio(good, good_sum).alias("ratio"), without.alias("without")), "ngram-ratios")
 
 
@@ -96,13 +106,12 @@ def _counted(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def threshold(docs: DataFrame, ids: DataFrame, without: list[int], buckets: int = BUCKETS, rejected: float = REJECTED) -> Column:
-    """The largest ratio on the grid that at most `rejected` of the trusted docs are below, of those that pass the base rules; null without any.
+def threshold(known: DataFrame, without: list[int], buckets: int = BUCKETS, rejected: float = REJECTED) -> Column:
+    """The largest ratio on the grid that at most `rejected` of the trusted docs (known) are below, of those that pass the base rules; null without any.
 
     Each is scored by the target less its own fold, which says how a document fares that the target doesn't hold. Scores are counted
     on the grid, so the quantile is exact and the one task that orders them sees the grid alone.
     """
-    known = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id")).select("text", "fold")
     scored = _counted(known).select("base_failed", F.floor(_mean(without, buckets, F.col("fold") * buckets) * _GRID).alias("score"), F.monotonically_increasing_id().alias("row"))
     grid = scored.where("NOT base_failed AND row >= 0").groupBy("score").agg(F.count("*").alias("n"))
     below = F.sum("n").over(W.Window.orderBy("score")) - F.col("n")
@@ -113,10 +122,10 @@ def threshold(docs: DataFrame, ids: DataFrame, without: list[int], buckets: int
 def _judged(docs: DataFrame, labels: DataFrame, rejected: float, buckets: int, uniform: float) -> DataFrame:
     """docs (text and others whose names don't clash) with all of judge()'s columns."""
     ids = materialise(trusted(labels), "ngram-trusted")
-    source = docs.select(F.col("_doc.doc_id").alias("doc_id"), "text")
-    model = {r.bucket: r for r in ratios(source, ids, buckets, uniform).collect()}
+    known = trusted_docs(docs.select(F.col("_doc.doc_id").alias("doc_id"), "text"), ids)
+    model = {r.bucket: r for r in ratios(docs, known, buckets, uniform).collect()}
     without = [model[b].without[k] if b in model else 0 for k in range(FOLDS) for b in range(buckets)]
-    least = threshold(source, ids, without, buckets, rejected)
+    least = threshold(known, without, buckets, rejected)
     scored = _counted(docs).withColumn("ratio", _mean([model[b].ratio if b in model else 0 for b in range(buckets)], buckets)).drop("_h1", "_h2")
     # The row's number keeps filters on the verdicts above what they are computed from, which they would otherwise unfold.
     barred = scored.withColumn("_row", F.monotonically_increasing_id())
