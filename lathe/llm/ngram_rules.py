@@ -53,8 +53,11 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def trusted_docs(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Text and fold of all trusted docs, written: where ids are too many to be broadcast, texts meet them by one shuffle, not one for each use."""
-    known = docs.join(ids, F.col("doc_id") == F.col("trusted_id"))
+    """Text and fold of all trusted docs, written, so that texts meet the ids by one shuffle and not by one for each use.
+
+    The ids grow with the input, so they are never broadcast: the plan is the same at every size.
+    """
+    known = docs.join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("trusted_id"))
     return materialise(known.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "ngram-known")
 
 

@@ -19,7 +19,7 @@ from lathe.session import materialise
 #: Tokens of a sequence and the id that ends a document.
 WINDOW, END = 2048, 1
 #: Words whose ids a task keeps; once full, others are encoded again each time they come.
-CACHED = 400_000
+CACHED = 50_000
 _RUN = re.compile(r"\s\s")
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from lathe.session import materialise
 
-#: Words in a passage and bytes of a text that are encoded at once; a longer text is cut at white space into such stretches.
-PASSAGE, STRETCH = 64, 1 << 20
+#: Words in a passage, bytes of a text that are encoded at once, and of several texts; a longer text is cut at white space into such stretches.
+PASSAGE, STRETCH, TOGETHER = 64, 1 << 20, 1 << 18
 #: Hashed word features and measures of style of a passage.
 HASHED, STYLE = 128, 12
 #: Labelled documents that the model is fitted on at most, those of the smallest hashes, and passages of each, evenly spread over its text.
@@ -50,7 +50,7 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         for part in _stretches((text or "").encode("utf-8", "surrogatepass")):
             held.append((i, part))
             size += len(part)
-            if size >= STRETCH:
+            if size >= TOGETHER:
                 rows.append(_encode(held, counts))
                 held, size = [], 0
     if held:

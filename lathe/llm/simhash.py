@@ -61,7 +61,7 @@ def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, words: int =
 def _wide(shingle: int, words: int):
     def over(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [wide_fingerprint(t, shingle, words) for t in texts.to_pylist()]
+            found = [wide_fingerprint(t.as_py(), shingle, words) for t in texts]
             flat = np.concatenate(found).view("<i8") if found else np.zeros(0, "<i8")
             yield pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * words, pa.int32()), pa.array(flat, pa.int64()))
 
