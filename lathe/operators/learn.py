@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame
@@ -79,11 +79,14 @@ def fit_isotonic(scored: DataFrame, label: str = "label"):
 
 
 def importances(model: PipelineModel, numbers: Sequence[str], categories: Sequence[str]) -> list[tuple[str, float]]:
-    """Names with their importance, or coefficient by size, largest first."""
+    """Names with their importance, or coefficient by size, largest first; an encoded category has one for each of its values."""
     last = model.stages[-1]
-    values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else last.coefficients.toArray()
-    names = [*numbers, *categories]
-    return sorted(zip(names, map(float, values[: len(names)]), strict=False), key=lambda x: (-abs(x[1]), x[0]))
+    if hasattr(last, "featureImportances"):
+        names, values = [*numbers, *categories], last.featureImportances.toArray()
+    else:
+        known = {stage.getOutputCol().removesuffix("_index"): [*stage.labels, "unknown"] for stage in model.stages if isinstance(stage, StringIndexerModel)}
+        names, values = [*numbers, *(f"{c}={value}" for c in categories for value in known[c])], last.coefficients.toArray()
+    return sorted(zip(names, map(float, values), strict=True), key=lambda x: (-abs(x[1]), x[0]))
 
 
 def search(train: DataFrame, validation: DataFrame, candidates: Mapping[str, Pipeline]) -> DataFrame:
