@@ -114,3 +114,30 @@ def visibility_category(miles: Column) -> Column:
 def channel(key: Column, partitions: int = 6, nobody: str = "NOTAIL") -> Column:
     """The partition of a key: 0 is kept for rows without one, the others share the rest by checksum."""
     return F.when(F.coalesce(key, F.lit(nobody)) == nobody, 0).otherwise(1 + F.crc32(key.cast("binary")) % (partitions - 1)).cast("int")
+
+
+def date_of(year: Column, month: Column, day: Column) -> Column:
+    """The date of three numbers; null where they are none, also where Spark's own constructor would raise."""
+    first = F.when(year.between(1, 9999) & month.between(1, 12), F.make_date(year.cast("int"), month.cast("int"), F.lit(1)))
+    return F.when(day.between(1, F.day(F.last_day(first))), F.date_add(first, (day - 1).cast("int")))
+
+
+def present(value: Column) -> Column:
+    """value, or null for a zero, which some sources write where they know nothing."""
+    return F.nullif(value, F.lit(0))
+
+
+def place_label(code: Column, name: Column, city: Column) -> Column:
+    """'Name (CODE)', 'City (CODE)' where the name is blank, else the bare code."""
+    said = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(F.concat(F.coalesce(said(name), said(city)), F.lit(" ("), code, F.lit(")")), code)
+
+
+def label_code(label: Column) -> Column:
+    """The code of a place_label()."""
+    return F.coalesce(F.nullif(F.regexp_extract(label, r"\(([^()]+)\)$", 1), F.lit("")), label)
+
+
+def earliest_connection(arrival: Column, least: int = 45) -> Column:
+    """The first time of the day at which one can go on, as a label; never past the end of the day."""
+    return clock_label(F.least(arrival + least, F.lit(1439)))

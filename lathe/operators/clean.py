@@ -59,3 +59,15 @@ def observations(raw: DataFrame) -> DataFrame:
     }
     flags = {name: s.any_in(codes(F.col("manned")), manned) | s.any_in(codes(F.col("automatic")), automatic) for name, (manned, automatic) in WEATHER.items()}
     return once.select("station_id", "obs_ts", "report_type", *[F.round(c, 4).alias(n) for n, c in values.items()], gust.isNotNull().alias("gust_reported"), *[c.alias(n) for n, c in flags.items()])
+
+
+def harmonised(df: DataFrame, hidden: Sequence[str], limits: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """df in a poorer source's vocabulary: hidden columns null, and for {column: (limit, value)} what is above the limit becomes the value; NaN stays."""
+    types = {f.name: f.dataType for f in df.schema}
+    above = {c: F.when(~F.isnan(c) & (F.col(c) > limit), value).otherwise(F.col(c)) for c, (limit, value) in limits.items()}
+    return df.withColumns({c: F.lit(None).cast(types[c]) for c in hidden} | above)
+
+
+def allowed(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The named columns that df has, in the order of the names; all others are left out."""
+    return df.select(*[n for n in names if n in df.columns])

@@ -115,3 +115,22 @@ def average_ranks(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
         out = out.join(r, F.col(c) == F.col(f"_{c}")).drop(f"_{c}")
     blend = sum((F.col(f"{c}_rank") for c in columns[1:]), F.col(f"{columns[0]}_rank")) / len(columns)
     return out.select(key, *[F.round(f"{c}_rank", 9).alias(f"{c}_rank") for c in columns], F.round(blend, 9).alias("blend"))
+
+
+def top_share(scored: DataFrame, by: Sequence[str], share: float = 0.1) -> DataFrame:
+    """by with n, base (late share), top_n, top_late and lift of the rows whose rank by p is within `share` of their group, ties included.
+
+    Rows are counted by score before anything is ordered, so a window sees distinct scores alone.
+    """
+    w = W.Window.partitionBy(*by)
+    counted = scored.groupBy(*by, "p").agg(F.count("*").alias("n"), F.count_if("y").alias("late"))
+    placed = counted.withColumns({"above": F.sum("n").over(w.orderBy(F.desc("p"))) - F.col("n"), "all": F.sum("n").over(w)})
+    top = F.col("above") < F.greatest(F.lit(1), F.floor(share * F.col("all")))
+    sums = placed.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("late").alias("late"), F.sum(F.when(top, F.col("n"))).alias("top_n"), F.sum(F.when(top, F.col("late"))).alias("hit"))
+    base, hit = rate(F.col("late"), F.col("n")), rate(F.col("hit"), F.col("top_n"))
+    return sums.select(*by, "n", "top_n", F.round(base, 9).alias("base"), F.round(hit, 9).alias("top_late"), F.round(hit / base, 9).alias("lift"))
+
+
+def placed(df: DataFrame, within: Sequence[str], order: Sequence[Column], name: str = "place") -> DataFrame:
+    """df with each row's place in its group by the whole order; rows that tie in all of it share a place."""
+    return df.withColumn(name, F.rank().over(W.Window.partitionBy(*within).orderBy(*order)).cast("long"))

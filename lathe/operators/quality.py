@@ -89,3 +89,40 @@ def incomplete_months(found: DataFrame, first: str, last: str, keys: Sequence[st
     """Months from first to last that `found` (column month, a date) lacks."""
     span = found.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
     return span.join(found.select("month").distinct(), "month", "left_anti")
+
+
+def block_rules(position: str, total: str, inbound: Sequence[str], bounds: Mapping[str, tuple[float, float]], whole: Sequence[str]) -> dict[str, Column]:
+    """Rules for labelled(): a request's rotation block is given whole and in range, or not at all.
+
+    total is needed with a position and never below it; the inbound columns come together, and from the second position on they must.
+    """
+    given = sum((F.col(c).isNotNull().cast("int") for c in inbound[1:]), F.col(inbound[0]).isNotNull().cast("int"))
+    placed, counted = F.col(position).isNotNull(), F.col(total).isNotNull()
+    rules = {f"{c}_range": F.col(c).isNull() | F.col(c).between(lo, hi) for c, (lo, hi) in bounds.items()}
+    rules |= {f"{c}_whole": F.col(c).isNull() | (F.col(c) % 1 == 0) for c in whole}
+    return rules | {
+        "no_position": placed | (~counted & (given == 0)),
+        "no_total": ~placed | counted,
+        "total_below_position": ~placed | ~counted | (F.col(total) >= F.col(position)),
+        "inbound_in_part": given.isin(0, len(inbound)),
+        "inbound_needed": ~placed | (F.col(position) < 2) | (given == len(inbound)),
+    }
+
+
+def observation_violations(df: DataFrame, keys: Sequence[str], departure: str, observed: str, flag: str, within: int, most_missing: float) -> DataFrame:
+    """(keys, violation) of matched observations: known at departure, at most `within` seconds old, flag as found; null keys for the share without any.
+
+    A match whose departure is unknown can't be verified and is a violation, not a pass.
+    """
+    at, seen = F.unix_micros(F.col(departure).cast("timestamp")), F.unix_micros(F.col(observed).cast("timestamp"))
+    either = seen.isNull() | at.isNull()
+    rules = {
+        "observed_after_departure": either | (seen <= at),
+        "outside_lookback": either | (seen > at - within * 1_000_000),
+        "flag_without_observation": ~F.col(flag) | seen.isNotNull(),
+        "observation_without_flag": F.col(flag) | seen.isNull(),
+        "cannot_verify": seen.isNull() | at.isNotNull(),
+    }
+    share = df.agg((F.count_if(~F.col(flag)) / F.nullif(F.count("*"), F.lit(0))).alias("missing")).where(F.col("missing") > most_missing)
+    types = {f.name: f.dataType for f in df.schema}
+    return labelled(df, rules, keys).unionByName(share.select(*[F.lit(None).cast(types[k]).alias(k) for k in keys], F.lit("too_many_missing").alias("violation")))

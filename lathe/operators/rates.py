@@ -41,3 +41,9 @@ def with_level(fact: DataFrame, rates: DataFrame, level: str, key: Column, prefi
     joined = fact.join(side, key.cast("string") == F.col("_key"), "left")
     values = {f"{prefix}_n": F.col("_n"), f"{prefix}_rate": F.round(smoothed(F.col("_n"), F.col("_rate"), F.col("global_rate")), 9), f"{prefix}_delay": F.round(smoothed(F.col("_n"), F.col("_delay"), F.col("global_delay")), 9)}
     return joined.withColumns(values).drop("_key", "_n", "_rate", "_delay")
+
+
+def relabelled(rates: DataFrame, level: str, as_level: str) -> DataFrame:
+    """rates whose level as_level is a copy of another: what is known of a key in one role stands for it in the other."""
+    copy = rates.where(F.col("level") == level).withColumn("level", F.lit(as_level))
+    return rates.where(F.col("level") != as_level).unionByName(copy)

@@ -83,3 +83,11 @@ def freshness(spark: SparkSession, path: str) -> DataFrame:
     """(files, bytes, newest) of a folder of Parquet files, by the reader's own metadata."""
     meta = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     return meta.agg(F.count("*").alias("files"), F.sum("file_size").alias("bytes"), F.max("file_modification_time").alias("newest"))
+
+
+def absent_parts(spark: SparkSession, folder: str, names: Sequence[str]) -> list[str]:
+    """Names of a contract's files that a folder lacks, in order; asks Spark's file system layer, so any store will do."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [n for n in names if not store.exists(jvm.org.apache.hadoop.fs.Path(root, n))]

@@ -46,3 +46,10 @@ def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     query = writer.format("parquet").option("path", f"{folder}/out").start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def with_day_legs(legs: DataFrame, schedule: DataFrame) -> DataFrame:
+    """legs (tail, service_date, position), a stream or not, with legs_today of the schedule, never below the position, and whether the schedule misses the day."""
+    side = schedule.select("tail", "service_date", F.col("legs").alias("_legs"))
+    joined = legs.join(side, ["tail", "service_date"], "left")
+    return joined.withColumns({"legs_today": F.greatest(F.coalesce("_legs", "position"), F.col("position")), "missed": F.col("_legs").isNull()}).drop("_legs")
