@@ -77,7 +77,9 @@ def ratios(docs: DataFrame, known: DataFrame, buckets: int = BUCKETS, uniform: f
     names = [f"fold_{k}" for k in range(FOLDS)]
     folds = grams(known, "fold").groupBy("bucket").agg(*[F.count_if(F.col("fold") == k).alias(n) for k, n in enumerate(names)])
     counted = materialise(raw.join(folds, "bucket", "left").select("bucket", "raw", *[F.coalesce(n, F.lit(0)).alias(n) for n in names]), "ngram-counts")
-    total = {c: counted.select(F.coalesce(F.sum(c), F.lit(0))).scalar() for c in counted.columns[1:]}
+    # One row of totals; as scalar subqueries each use would be planned and run on its own.
+    sums = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counted.columns[1:]]).first()
+    total = {c: F.lit(sums[c]).cast("long") for c in counted.columns[1:]}
     good, good_sum = (sum((x[n] for n in names[1:]), x[names[0]]) for x in (counted, total))
 
     def ratio(count: Column, of: Column) -> Column:
