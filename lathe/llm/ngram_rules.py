@@ -62,11 +62,11 @@ def trusted_docs(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def ratios(docs: DataFrame, known: DataFrame, buckets: int = BUCKETS, uniform: float = UNIFORM) -> DataFrame:
-    """One row per bucket: ratio, ln of target by corpus probability in units of 1 / _UNIT, and without, the same for targets less a fold.
+    """One row for each of the buckets: ratio, ln of target by corpus probability in units of 1 / _UNIT, and without, the same for targets less a fold.
 
     Two multinomials over the hashed unigrams and bigrams: the corpus' counts those of all docs, the target's those of all
     trusted docs (known); both are mixed with `uniform` of the uniform distribution. Only shares count, so a table that holds
-    every row twice gives the same ratios. A target without n-grams gives ratios of zero.
+    every row twice gives the same ratios. A target without n-grams gives ratios of zero; a bucket without any has one that no document reads.
     """
 
     def grams(df: DataFrame, *also: str) -> DataFrame:
@@ -76,7 +76,8 @@ def ratios(docs: DataFrame, known: DataFrame, buckets: int = BUCKETS, uniform: f
     raw = grams(docs).groupBy("bucket").agg(F.count("*").alias("raw"))
     names = [f"fold_{k}" for k in range(FOLDS)]
     folds = grams(known, "fold").groupBy("bucket").agg(*[F.count_if(F.col("fold") == k).alias(n) for k, n in enumerate(names)])
-    counted = materialise(raw.join(folds, "bucket", "left").select("bucket", "raw", *[F.coalesce(n, F.lit(0)).alias(n) for n in names]), "ngram-counts")
+    every = docs.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(raw, "bucket", "left").join(folds, "bucket", "left")
+    counted = materialise(every.select("bucket", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("raw", *names)]), "ngram-counts")
     # One row of totals; as scalar subqueries each use would be planned and run on its own.
     sums = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counted.columns[1:]]).first()
     total = {c: F.lit(sums[c]).cast("long") for c in counted.columns[1:]}
@@ -90,15 +91,25 @@ def ratios(docs: DataFrame, known: DataFrame, buckets: int = BUCKETS, uniform: f
     return materialise(counted.select("bucket", ratio(good, good_sum).alias("ratio"), without.alias("without")), "ngram-ratios")
 
 
-def _mean(table: list[int], buckets: int, start: Column | int = 0) -> Column:
-    """Mean ratio of the n-grams of _h1 and _h2, null without any. It is summed inside the row, so that no n-gram is ever a row.
+def tables(ratios: DataFrame) -> DataFrame:
+    """One row: ratio, the ratios in order of their buckets, and without, each bucket's by fold after the other's; for the scalar subqueries of _with_mean().
 
-    The table is a literal of `buckets` numbers (or that for each fold), whatever the size of the input.
+    They have `buckets` numbers, or that for each fold, whatever the size of the input, and go from the table to the tasks
+    without being part of a plan or passing the driver's Python.
+    """
+    ordered = ratios.agg(F.sort_array(F.collect_list(F.struct("bucket", "ratio", "without"))).alias("rows"))
+    return materialise(ordered.select(F.col("rows.ratio").alias("ratio"), F.flatten("rows.without").alias("without")), "ngram-tables")
+
+
+def _with_mean(docs: DataFrame, name: str, table: Column, buckets: int, step: int = 1, start: Column | int = 0) -> DataFrame:
+    """docs with the column `name`: mean ratio of the n-grams of _h1 and _h2, null without any. It is summed inside the row, so that no n-gram is ever a row.
+
+    A bucket's ratio is at start + step * bucket of the table.
     """
-    values = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
     grams = F.concat("_h1", "_h2")
-    total = F.aggregate(grams, F.lit(0).cast("long"), lambda s, h: s + F.get(values, (start + F.pmod(h, F.lit(buckets))).cast("int")))
-    return total / F.nullif(F.size(grams), F.lit(0)) / _UNIT
+    total = F.aggregate(grams, F.lit(0).cast("long"), lambda s, h: s + F.get("_table", (start + step * F.pmod(h, F.lit(buckets))).cast("int")))
+    # The planner then puts the subquery into the sum; nullif() would make it a column, copied for each row.
+    return docs.withColumn("_table", table).withColumn(name, F.when(F.size(grams) > 0, total / F.size(grams) / _UNIT)).drop("_table")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -111,13 +122,14 @@ def _counted(docs: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def threshold(known: DataFrame, without: list[int], buckets: int = BUCKETS, rejected: float = REJECTED) -> Column:
+def threshold(known: DataFrame, without: Column, buckets: int = BUCKETS, rejected: float = REJECTED) -> Column:
     """The largest ratio on the grid that at most `rejected` of the trusted docs (known) are below, of those that pass the base rules; null without any.
 
     Each is scored by the target less its own fold, which says how a document fares that the target doesn't hold. Scores are counted
     on the grid, so the quantile is exact and the one task that orders them sees the grid alone.
     """
-    scored = _counted(known).select("base_failed", F.floor(_mean(without, buckets, F.col("fold") * buckets) * _GRID).alias("score"), F.monotonically_increasing_id().alias("row"))
+    means = _with_mean(_counted(known), "mean", without, buckets, FOLDS, F.col("fold"))
+    scored = means.select("base_failed", F.floor(F.col("mean") * _GRID).alias("score"), F.monotonically_increasing_id().alias("row"))
     grid = scored.where("NOT base_failed AND row >= 0").groupBy("score").agg(F.count("*").alias("n"))
     below = F.sum("n").over(W.Window.orderBy("score")) - F.col("n")
     ranked = grid.select("score", below.alias("below"), F.sum("n").over(W.Window.partitionBy()).alias("all"))
@@ -128,10 +140,9 @@ def _judged(docs: DataFrame, labels: DataFrame, rejected: float, buckets: int, u
     """docs (text and others whose names don't clash) with all of judge()'s columns."""
     ids = materialise(trusted(labels), "ngram-trusted")
     known = trusted_docs(docs.select(F.col("_doc.doc_id").alias("doc_id"), "text"), ids)
-    model = {r.bucket: r for r in ratios(docs, known, buckets, uniform).collect()}
-    without = [model[b].without[k] if b in model else 0 for k in range(FOLDS) for b in range(buckets)]
-    least = threshold(known, without, buckets, rejected)
-    scored = _counted(docs).withColumn("ratio", _mean([model[b].ratio if b in model else 0 for b in range(buckets)], buckets)).drop("_h1", "_h2")
+    model = tables(ratios(docs, known, buckets, uniform))
+    least = threshold(known, model.select("without").scalar(), buckets, rejected)
+    scored = _with_mean(_counted(docs), "ratio", model.select("ratio").scalar(), buckets).drop("_h1", "_h2")
     # The row's number keeps filters on the verdicts above what they are computed from, which they would otherwise unfold.
     barred = scored.withColumn("_row", F.monotonically_increasing_id())
     alike = F.coalesce(F.col("ratio") >= F.coalesce(least, F.lit(float("-inf"))), F.lit(False))
@@ -144,7 +155,7 @@ def judge(docs: DataFrame, labels: DataFrame, rejected: float = REJECTED, bucket
     A document fails the base rules with under LEAST_WORDS words or over MOST_REPEATED % of words in repeated windows. The
     others are kept if their mean log-likelihood ratio over all unigrams and bigrams reaches the threshold that leaves out
     `rejected` of the trusted documents. Counts and threshold come from all rows; the tables of ratios have `buckets` numbers a
-    fold, so they come to the driver and go to the tasks as literals. A document is judged in the task that reads it, without a shuffle.
+    fold and go to the tasks as scalar subqueries. A document is judged in the task that reads it, without a shuffle.
 
     Null and empty texts have zero counts and fail. Null doc_ids and repeated rows are documents like others. Labels that
     are null or name no document count as absent; without trusted documents the base rules decide alone. Empty docs: empty
