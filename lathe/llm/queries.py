@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm import bit_sliced, fair_mix, feistel, ngram_rules, packing, passage_mil, role_repair, simhash, warc, wrapper
+from lathe.llm import bit_sliced, crc_ring, fair_mix, feistel, hyperprofiles, merkle, ngram_rules, packing, passage_mil, role_repair, simhash, warc, wrapper
 from lathe.session import scratch_folder
 
 
@@ -128,6 +128,90 @@ def op7_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    halved = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(halved, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    out = merkle.verified(table(spark, sf_dir, "documents"), tampered)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+#: CRC-32 of a list of byte values, unsigned.
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes}), lambda c, x:
+  list_reduce(list_prepend(xor(c, x), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, 3988292384 * (r & 1)))))"""
+_DIGITS = "list_transform(range(1, len(CAST({0} AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST({0} AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT))"
+
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_GROWN = """{name}(level, grp, n, idx, digest) AS (
+  SELECT 0, {grp}, CAST(n AS BIGINT), CAST(idx AS BIGINT), digest FROM {base}
+  UNION ALL
+  SELECT level + 1, grp, (n + 2) // 3, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY level, grp, n, idx // 3)"""
+_SIDES = """{name} AS (
+  SELECT l.level, l.grp, l.idx, coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (s.idx < l.idx), '') AS before,
+         coalesce(string_agg(s.digest, '' ORDER BY s.idx) FILTER (s.idx > l.idx), '') AS after
+  FROM {nodes} l JOIN {nodes} s ON s.level = l.level AND s.grp = l.grp AND s.idx // 3 = l.idx // 3 WHERE l.n > 1 GROUP BY ALL)"""
+OP11_SQL = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, source, {_LEAF.format(text="text")} AS digest,
+         {_LEAF.format(text="CASE WHEN " + _CRC.format(bytes=_DIGITS.format("doc_id")) + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")} AS claimed
+  FROM documents),
+grouped AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM hashed),
+leaves AS (SELECT *, count(*) OVER (PARTITION BY g) AS n, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx FROM grouped),
+{_GROWN.format(name="nodes", grp="g", base="leaves")},
+tops AS (SELECT 0 AS g, grp AS idx, digest, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_GROWN.format(name="upper", grp="g", base="tops")},
+{_SIDES.format(name="sides", nodes="nodes")},
+{_SIDES.format(name="upsides", nodes="upper")},
+climbed(k, upward, level, g, spot, doc_id, idx, digest, claimed, subroot, proof, folded) AS (
+  SELECT 0, false, 0, l.g, l.idx, doc_id, l.idx, l.digest, claimed, t.digest, '', claimed FROM leaves l JOIN tops t ON t.idx = l.g
+  UNION ALL
+  SELECT k + 1, turned OR upward, CASE WHEN turned THEN 0 ELSE level + 1 END, g, CASE WHEN turned THEN g ELSE spot // 3 END, doc_id, idx, digest, claimed, subroot,
+         CASE WHEN turned THEN proof ELSE proof || before || after END, CASE WHEN turned THEN folded ELSE sha256(before || folded || after) END
+  FROM (SELECT c.*, NOT upward AND s.before IS NULL AS turned, coalesce(s.before, u.before) AS before, coalesce(s.after, u.after) AS after
+        FROM climbed c
+        LEFT JOIN sides s ON NOT upward AND s.level = c.level AND s.grp = c.g AND s.idx = c.spot
+        LEFT JOIN upsides u ON upward AND u.level = c.level AND u.idx = c.spot)
+  WHERE turned OR before IS NOT NULL),
+done AS (SELECT *, row_number() OVER (PARTITION BY g, idx ORDER BY k DESC) AS last FROM climbed)
+SELECT doc_id, digest AS leaf, subroot, (SELECT digest FROM upper WHERE n = 1) AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = (SELECT digest FROM upper WHERE n = 1) AS verified
+FROM done WHERE last = 1
+"""
+
+
+def op12_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperprofiles.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op13_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = crc_ring.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text", "lang", "source", "n_chars")
+    return crc_ring.draw(weighed).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+_WORDS_13 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BYTES = "list_transform(range(0, strlen(word)), lambda i: CAST(16 * (instr('0123456789ABCDEF', substr(hex(word), CAST(2 * i + 1 AS INTEGER), 1)) - 1) + instr('0123456789ABCDEF', substr(hex(word), CAST(2 * i + 2 AS INTEGER), 1)) - 1 AS BIGINT))"
+OP13_SQL = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS place, {_WORDS_13} AS words FROM documents),
+raw AS (SELECT place, word, count(*) AS n FROM (SELECT place, unnest(words) AS word FROM docs) GROUP BY ALL),
+target AS (SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS_13}) AS word FROM benchmark) GROUP BY word),
+words AS (SELECT word, {_CRC.format(bytes=_BYTES)} % 10000 AS bucket FROM (SELECT word FROM raw UNION SELECT word FROM target)),
+s AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS n FROM raw JOIN words USING (word) GROUP BY bucket),
+t AS (SELECT bucket, CAST(sum(n) AS BIGINT) AS n FROM target JOIN words USING (word) GROUP BY bucket),
+totals AS (SELECT CAST(coalesce((SELECT sum(n) FROM s), 0) AS DOUBLE) AS all_s, CAST(coalesce((SELECT sum(n) FROM t), 0) AS DOUBLE) AS all_t),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (all_s + 10000) / ((s.n + 1)::DOUBLE * (all_t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), totals),
+weights AS (SELECT place, CAST(sum(n * gain) AS BIGINT) AS weight FROM raw JOIN words USING (word) JOIN gains USING (bucket) GROUP BY place),
+hashed AS (SELECT *, substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS h FROM docs),
+scored AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || h AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM hashed LEFT JOIN weights USING (place)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS r FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND r <= (SELECT count(*) * 10 // 100 FROM scored WHERE n_features >= 20) THEN r END AS rank
+FROM ranked
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrapper_text": op1_wrapper_text,
     "op2_attention_mil": op2_attention_mil,
@@ -139,6 +223,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_feistel_shards": op8_feistel_shards,
     "op9_role_repair": op9_role_repair,
     "op10_simhash_variants": op10_simhash_variants,
+    "op11_merkle_proofs": op11_merkle_proofs,
+    "op12_hyperdimensional_language": op12_hyperdimensional_language,
+    "op13_crc_resampling": op13_crc_resampling,
     "warc_files": warc_files,
 }
-ORACLES: dict[str, str] = {"warc_files": WARC_FILES_SQL, "op4_bit_sliced_top_k": OP4_SQL, "op5_fair_mix": OP5_SQL}
+ORACLES: dict[str, str] = {"warc_files": WARC_FILES_SQL, "op4_bit_sliced_top_k": OP4_SQL, "op5_fair_mix": OP5_SQL, "op11_merkle_proofs": OP11_SQL, "op13_crc_resampling": OP13_SQL}
