@@ -173,3 +173,48 @@ def settle_outcomes(risks: DataFrame, outcomes: DataFrame, identity: Sequence[st
     named = both.select(F.explode(fate).alias("counter")).groupBy("counter").agg(F.count("*").alias("events"))
     extra = both.select(F.sum(F.coalesce(F.col("n_risk") - 1, F.lit(0))).alias("duplicate_risk"), F.sum(F.coalesce(F.col("n_outcome") - 1, F.lit(0))).alias("duplicate_outcome"))
     return named.unionByName(extra.select(F.expr("stack(2, 'duplicate_risk', duplicate_risk, 'duplicate_outcome', duplicate_outcome) AS (counter, events)")).where("events > 0"))
+
+
+def settle_ordered(risks: DataFrame, outcomes: DataFrame, identity: Sequence[str], ttl: int) -> DataFrame:
+    """Every risk and outcome with the one counter it belongs to, as settle_outcomes(), also where a risk is sent again after its time.
+
+    A risk that comes more than ttl seconds after the open one of its identity opens anew, and the open one has run out of time; any other is a duplicate. So the
+    risks before the first outcome are a chain, each link the first that comes later than ttl after the link before: one ordered fold for each identity. The
+    first outcome settles the last link if it is in time, else it waits without limit for the next risk. All that comes after it is a duplicate.
+
+    Outcomes are reduced to the first before anything is shuffled, and so are the risks after it and those of one instant; what one task gathers of an identity is the
+    instants of its risks before its first outcome. Nulls are an identity like others. Of several at one instant the first by their columns counts.
+    """
+    keys = list(identity)
+    named = {k: f"_{k}" for k in keys}
+    first = outcomes.groupBy(*keys).agg(F.min(F.struct("ts", "cancelled", "late")).alias("outcome"), F.count("*").alias("n_outcomes")).withColumnsRenamed(named)
+    same = lambda left, right: [left[k].eqNullSafe(right[n]) for k, n in named.items()]
+    asked = risks.select(*keys, "ts", "warmup").join(first.select(*named.values(), F.col("outcome.ts").alias("first_ts")), same(risks, first), "left")
+    before = F.coalesce(F.col("ts") <= F.col("first_ts"), F.lit(True))
+    instants = asked.groupBy(*keys, before.alias("before"), F.when(before, F.col("ts")).alias("at")).agg(F.min(F.struct("ts", "warmup")).alias("risk"), F.count("*").alias("n"))
+    each = instants.groupBy(*keys).agg(F.sum("n").alias("n_risks"), F.array_sort(F.collect_list(F.when(F.col("before"), F.col("risk")))).alias("waiting"), F.min(F.when(~F.col("before"), F.col("risk"))).alias("later"))
+    limit = F.make_dt_interval(secs=F.lit(ttl))
+    none = F.struct(F.lit(None).cast(dict(risks.dtypes)["ts"]).alias("ts"), F.lit(None).cast("boolean").alias("warmup"), F.lit(0).cast("long").alias("links"))
+    chain = F.aggregate(
+        F.coalesce("waiting", F.array()), none,
+        lambda last, risk: F.when(last["ts"].isNull() | (last["ts"] + limit < risk["ts"]), F.struct(risk["ts"].alias("ts"), risk["warmup"].alias("warmup"), (last["links"] + 1).alias("links"))).otherwise(last),
+    )
+    both = each.join(first, same(each, first), "full").withColumn("last", chain)
+    end = risks.select("ts").unionByName(outcomes.select("ts")).agg(F.max("ts")).select(F.col("max(ts)")).scalar()
+    there, open_risk = F.col("outcome").isNotNull(), F.col("last.links") > 0
+    met = there & open_risk & (F.col("outcome.ts") <= F.col("last.ts") + limit)
+    waited = there & ~F.coalesce(met, F.lit(False)) & F.col("later").isNotNull()
+    warm = F.when(F.coalesce(met, F.lit(False)), F.col("last.warmup")).otherwise(F.col("later.warmup"))
+    kind = F.when(warm, "warmup").when(F.col("outcome.cancelled"), "cancelled").when(F.col("outcome.late").isNull(), "unlabelled").otherwise("scored")
+    settled = F.coalesce(met, F.lit(False)) | waited
+    expired = F.when(F.coalesce(met, F.lit(False)), 1).when(there, 0).when(F.col("last.ts") + limit < end, 0).otherwise(1)
+    counts = {
+        "risk_ttl": F.when(open_risk, F.col("last.links") - expired),
+        "risk_end_of_stream": F.when(open_risk & ~there & ~(F.col("last.ts") + limit < end), 1),
+        "orphan_outcome": F.when(there & ~settled, 1),
+        "duplicate_risk": F.col("n_risks") - F.col("last.links") - F.when(waited, 1).otherwise(0),
+        "duplicate_outcome": F.col("n_outcomes") - 1,
+    }
+    rows = F.array_append(F.array(*[F.struct(F.lit(c).alias("counter"), n.cast("long").alias("n")) for c, n in counts.items()]), F.struct(F.when(settled, kind).alias("counter"), F.lit(1).cast("long").alias("n")))
+    named_rows = both.select(F.explode(rows).alias("c")).where("c.counter IS NOT NULL AND c.n > 0")
+    return named_rows.groupBy(F.col("c.counter").alias("counter")).agg(F.sum("c.n").alias("events"))

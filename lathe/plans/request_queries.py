@@ -12,6 +12,7 @@ from lathe.plans.chain_queries import CHAIN_SQL, cascade_exposure, fragile_banks
 from lathe.plans.evaluate_queries import SCORED, scored
 from lathe.plans.feature_queries import historical_rates
 from lathe.plans.stream_queries import _stream
+from lathe.session import materialise
 from lathe.sources import files
 from lathe.streaming import replay
 
@@ -151,5 +152,5 @@ def stream_day_legs(spark, d):
     legs = legs_events(spark, d)
     schedule = legs.where("tail IS NOT NULL AND event_id % 3 = 0").groupBy("tail", "service_date").agg(F.count("*").alias("legs"))
     stream = _stream(legs.select("event_id", "tail", "service_date", "dep_ts", (1 + F.col("event_id") % 4).alias("position")), "dep_ts")
-    out = replay.run_once(replay.with_day_legs(stream, schedule), "day-legs")
+    out = replay.run_once(replay.with_day_legs(stream, materialise(schedule, "schedule")), "day-legs")
     return out.select("event_id", "tail", "position", "legs_today", "missed")
