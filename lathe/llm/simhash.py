@@ -1,12 +1,14 @@
 """SimHash near-duplicates: one-wildcard segment variants find fingerprints that are close, stars find the groups.
 
-near_duplicates() links 64-bit fingerprints within three bits, exactly; keep_one() links longer ones by an estimated similarity.
+near_duplicates() links 64-bit fingerprints within three bits, exactly; keep_one() finds pairs by longer ones and verifies their sets of shingles.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,9 @@ from lathe.session import discard, materialise, materialise_at
 SHINGLE, SEED, BITS_APART = 3, 42, 3
 #: Fingerprints with one value of a half up to which they are compared directly; beyond, rows of a salt of a hot value.
 DIRECT, SPLIT = 64, 4096
-#: Values of a segment meet by chance in proportion to rows ** 2 / 2 ** SEGMENT: give it about four bits more than the logarithm of the rows.
+#: Values of a segment meet by chance in proportion to rows ** 2 / 2 ** SEGMENT: give it about six bits more than the logarithm of the rows, and as many words as segments() says.
 #: keep_one(): words in a shingle, least similarity (Jaccard, of the sets of shingles), 64-bit words of its fingerprint, bits of each half of these that are indexed.
-WIDE_SHINGLE, SIMILARITY, WORDS, SEGMENT = 5, 0.8, 6, 28
+WIDE_SHINGLE, SIMILARITY, WORDS, SEGMENT = 5, 0.8, 6, 24
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -40,37 +42,84 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, words: int = WORDS) -> np.ndarray:
-    """64 * words bits as unsigned 64-bit words, each a majority over the distinct shingles of a text of one mixed hash of theirs."""
+@functools.cache
+def _permutations(words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of 64 * words bits an odd factor and a mask of 32 bits, from a hash, so that every task has the same."""
+    raw = np.frombuffer(hashlib.shake_256(f"{SEED}".encode()).digest(512 * words), dtype="<u4").reshape(2, -1)
+    return raw[0] | np.uint32(1), raw[1]
+
+
+def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text as sorted hashes of 32 bits; none for a wordless one, the whole for one of fewer words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return np.zeros(words, dtype="<u8")
+        return np.zeros(0, dtype="<u4")
     grams = zip(*(tokens[i:] for i in range(shingle)), strict=False) if len(tokens) >= shingle else [tokens]
-    hashes = np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in grams], dtype="<u8"))
-    ones = np.zeros(64 * words, dtype=np.int64)
-    for start in range(0, len(hashes), 1 << 14):
-        with np.errstate(over="ignore"):
-            x = hashes[start : start + (1 << 14), None] + np.arange(1, words + 1, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            x ^= x >> np.uint64(31)
-        ones += np.unpackbits(x.astype("<u8").view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
-
-
-def _wide(shingle: int, words: int):
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(g), SEED) for g in grams), dtype="<u4"))
+
+
+def minwise_fingerprint(shingles: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """64 * words bits as unsigned 64-bit words: each is one bit of the least of all shingles' hashes under a permutation of its own.
+
+    Bits of two texts are equal where the least is a shared shingle, which has the probability of their Jaccard similarity, and else by chance.
+    """
+    if not len(shingles):
+        return np.zeros(words, dtype="<u8")
+    factor, mask = _permutations(words)
+    least = np.full(64 * words, 0xFFFFFFFF, dtype="<u4")
+    for start in range(0, len(shingles), 1 << 10):
+        some = (shingles[start : start + (1 << 10), None] ^ mask) * factor
+        np.minimum(least, some.min(axis=0), out=least)
+    # The least hash is small: a bit that all of its bits decide is one of its product's upper half.
+    return np.packbits(((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _packed(shingles: np.ndarray) -> bytes:
+    """A sorted set as its differences, byte by byte of all, so that high zero bytes compress."""
+    return np.diff(shingles, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def _minwise(shingle: int, words: int):
     def over(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [wide_fingerprint(t.as_py(), shingle, words) for t in texts]
-            flat = np.concatenate(found).view("<i8") if found else np.zeros(0, "<i8")
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * words, pa.int32()), pa.array(flat, pa.int64()))
+            sets, bits = [], []
+            for text in texts:
+                found = shingle_set(text.as_py(), shingle)
+                sets.append(_packed(found))
+                bits.append(minwise_fingerprint(found, words))
+            flat = np.concatenate(bits).view("<i8") if bits else np.zeros(0, "<i8")
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * words, pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.StructArray.from_arrays([lists, pa.array(sets, pa.binary())], names=["fp", "shingles"])
 
     return over
 
 
+def _jaccard(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for ones, twos in batches:
+        out = np.zeros(len(ones))
+        for i, (a, b) in enumerate(zip(ones.to_pylist(), twos.to_pylist(), strict=True)):
+            one, two = _unpacked(a), _unpacked(b)
+            both = np.sort(np.concatenate([one, two]))
+            shared = int((both[1:] == both[:-1]).sum())
+            out[i] = shared / (len(both) - shared) if len(both) else 1.0
+        yield pa.array(out)
+
+
 def bits_apart(similarity: float, bits: int) -> int:
-    """Bits that fingerprints of texts of this similarity differ in on average: the share is the angle of their sets over pi."""
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Bits within which the fingerprints of all but some 3 in 100,000 pairs of this similarity are: four deviations over the mean."""
+    p = (1 - similarity) / 2
+    return math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+
+
+def segments(width: int, similarity: float = SIMILARITY, recall: float = 0.98) -> int:
+    """Segments of `width` bits of which one differs by one bit at most for this share of the pairs of this similarity."""
+    p = (1 - similarity) / 2
+    one = (1 - p) ** width + width * p * (1 - p) ** (width - 1)
+    return math.ceil(math.log(1 - recall) / math.log(1 - one))
 
 
 def _fingerprints(shingle: int, seed: int):
@@ -188,11 +237,11 @@ def _far(words: int, one: str, two: str) -> Column:
     return sum((F.bit_count(F.col(f"{one}{k}").bitwiseXOR(F.col(f"{two}{k}"))) for k in range(1, words)), F.bit_count(F.col(f"{one}0").bitwiseXOR(F.col(f"{two}0"))))
 
 
-def similar(classes: DataFrame, apart: int, words: int = WORDS, segment: int = SEGMENT) -> DataFrame:
+def similar(classes: DataFrame, apart: int, words: int = WORDS, segment: int = SEGMENT, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, root) of the groups of distinct wide fingerprints (id, f0, f1, ...) that are linked; ids without a link are left out.
 
     Linked are fingerprints that differ in `apart` bits or fewer and in one bit at most of some segment: the low `segment` bits of
-    a half of a word. Values of segments meet in the one-wildcard index (neighbours()). First each fingerprint is compared with
+    a half of a word; and of these only those that verify() keeps of the pairs (a, b and any others) it is given. Values of segments meet in the one-wildcard index (neighbours()). First each fingerprint is compared with
     the smallest id of its own and of each neighbouring value, which joins nearly all of a group however large by a row each. Then only
     fingerprints whose groups still differ are compared, all with all but for those of a value's largest group with each other, so that
     groups are exactly those of all links though the pairs of a group are never listed.
@@ -208,7 +257,10 @@ def similar(classes: DataFrame, apart: int, words: int = WORDS, segment: int = S
     targets = materialise(targets.drop("other").join(seen, "to"), "simhash-targets")
     members = materialise(places.join(ways.select("side", "value"), ["side", "value"], "left_semi").join(classes, "id"), "simhash-members")
     stars = members.join(targets, ["side", "value"]).where((F.col("id") != F.col("to")) & (_far(words, "f", "t") <= apart))
-    groups = materialise(components(stars.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct()), "simhash-stars")
+    asked = stars.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct()
+    if verify:
+        asked = materialise(asked, "simhash-asked")
+    groups = materialise(components(verify(asked) if verify else asked), "simhash-stars")
 
     of = members.join(groups, members["id"] == groups["node"], "left").select("id", *f, "side", "value", F.coalesce("root", "id").alias("root"))
     shares = of.groupBy("side", "value", "root").agg(F.count("*").alias("n"))
@@ -224,7 +276,13 @@ def similar(classes: DataFrame, apart: int, words: int = WORDS, segment: int = S
     rest = two.join(open_pairs, ["side", "low", "high"]).where("to_root != main").drop("main")
     keys = ["side", "low", "high"]
     others = one.where("root != main").join(two, keys).unionByName(one.where("root = main").join(rest, keys))
-    more = others.where(close).select(F.greatest("root", "to_root").alias("a"), F.least("root", "to_root").alias("b")).distinct()
+    roots = [F.greatest("root", "to_root").alias("a"), F.least("root", "to_root").alias("b")]
+    if verify:
+        ends = [F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")]
+        pairs = others.where(close).groupBy(*ends).agg(F.any_value("root").alias("root"), F.any_value("to_root").alias("to_root"))
+        more = verify(materialise(pairs.join(asked, ["a", "b"], "left_anti"), "simhash-asked")).select(*roots).distinct()
+    else:
+        more = others.where(close).select(*roots).distinct()
     joined = groups.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return components(joined)
 
@@ -232,22 +290,33 @@ def similar(classes: DataFrame, apart: int, words: int = WORDS, segment: int = S
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, words: int = WORDS, segment: int = SEGMENT) -> DataFrame:
     """docs without near-duplicates: exactly one row of each group stays, with all its columns.
 
-    Texts are linked if their fingerprints, of 64 * words bits over distinct shingles of `shingle` lower-cased words, differ in no more
-    bits than texts of this Jaccard similarity do on average, and some segment of 2 * words differs in one bit at most
-    (see similar()). Both follow from the texts alone. Such a segment is shared by about nine in ten pairs of similarity 0.9, three in four of
-    0.85 and one in two at the threshold itself, as far as no third text links them.
+    Texts are linked if the Jaccard similarity of their sets of shingles, of `shingle` lower-cased words, is `similarity` or more. Every link is
+    verified on the whole sets (of 32-bit hashes), so nothing goes for a text less alike; texts of one fingerprint, whose bits would agree by a chance of 1e-17 below
+    the similarity, are one class without it. Pairs to verify are those of which one of 2 * words segments of the fingerprint differs in one bit at
+    most (see similar()): 98 in 100 of the pairs at the similarity itself, and more of those above, and as other texts link the same group. segments()
+    gives the number of segments that keeps this for another width, so more documents, which need wider ones, lose no more.
 
     The row that stays is the one with the smallest doc_id, of those the one with the smallest text hash; a null doc_id comes
     last. Groups are told apart by their fingerprints and rows by a number of their own, so null and repeated ids lose nothing. Null and
     wordless texts are equal. Minima are taken by fingerprint first, then by group, so that copies are folded before rows
     meet. Extra columns stay, whatever their names. Empty input: empty result.
     """
-    row, fp = fresh(docs.columns, "keep_row"), fresh(docs.columns, "keep_fp")
-    numbered = materialise(docs.withColumns({fp: F.arrow_udf(_wide(shingle, words), "array<long>")(F.col("text")), row: F.monotonically_increasing_id()}), "simhash-rows")
+    row, fp, sets = (fresh(docs.columns, n) for n in ("keep_row", "keep_fp", "keep_sets"))
+    found = docs.withColumns({fp: F.arrow_udf(_minwise(shingle, words), "fp array<long>, shingles binary")(F.col("text")), row: F.monotonically_increasing_id()})
+    numbered = materialise(found.withColumns({sets: F.col(f"{fp}.shingles"), fp: F.col(f"{fp}.fp")}), "simhash-rows")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(row).alias("row"))
     best = numbered.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("best"))
     best = materialise(best.select("best", F.monotonically_increasing_id().alias("id"), *[F.get("fp", F.lit(k)).alias(f"f{k}") for k in range(words)]), "simhash-classes")
-    grouped = materialise(similar(best.drop("best"), bits_apart(similarity, 64 * words), words, segment), "simhash-components")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        held = best.select("id", F.col("best.row").alias("of")).join(ends, "id", "left_semi")
+        held = materialise(held.join(numbered.select(F.col(row).alias("of"), F.col(sets).alias("shingles")), "of").select("id", "shingles"), "simhash-sets")
+        one, two = (held.select(F.col("id").alias(end), F.col("shingles").alias(f"of_{end}")) for end in "ab")
+        alike = F.arrow_udf(_jaccard, "double")(F.col("of_a"), F.col("of_b")) >= similarity
+        return materialise(pairs.join(one, "a").join(two, "b").where(alike).select(*pairs.columns), "simhash-verified")
+
+    grouped = materialise(similar(best.drop("best"), bits_apart(similarity, 64 * words), words, segment, verify), "simhash-components")
     rooted = best.join(grouped, best["id"] == grouped["node"], "left").groupBy(F.coalesce("root", "id")).agg(F.min("best").alias("best"))
     kept = rooted.select(F.col("best.row").alias(row))
     dropped = materialise(numbered.select(row).join(kept, row, "left_anti"), "simhash-dropped")

@@ -401,21 +401,75 @@ def test_similar_groups_against_brute_force(spark, seed):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, brute.values())) and len(rows) > len(brute) + 20 and linked > 100
 
 
-def test_wide_fingerprint_by_hand():
+def test_minwise_fingerprint_by_hand():
     text = "Ab  cd\nEF gh ab CD ef gh AB cd"
     words = text.lower().split()
-    hashes = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]), 42) for i in range(len(words) - 4)}
-    full = (1 << 64) - 1
+    hashes = {xxhash.xxh32_intdigest(" ".join(words[i : i + 5]), 42) for i in range(len(words) - 4)}
+    found = simhash.shingle_set(text)
+    assert sorted(hashes) == found.tolist() and len(hashes) < len(words) - 4
+    factor, mask = simhash._permutations(6)
+    least = [min(((h ^ int(m)) * int(f)) & 0xFFFFFFFF for h in hashes) for f, m in zip(factor, mask, strict=True)]
+    bits = [((x * 0x9E3779B1) & 0xFFFFFFFF) >> 31 for x in least]
+    want = [sum(bits[64 * w + b] << b for b in range(64)) for w in range(6)]
+    assert [int(w) for w in simhash.minwise_fingerprint(found)] == want
+    assert not simhash.minwise_fingerprint(simhash.shingle_set(None)).any() and simhash.minwise_fingerprint(simhash.shingle_set("x")).any()
+    for some in (found, found[:1], found[:0], np.unique(np.random.default_rng(1).integers(0, 1 << 32, 5000, dtype="u4"))):
+        assert (simhash._unpacked(simhash._packed(some)) == some).all()
+
+
+def shingles_of(text):
+    words = text.split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_pairs_at_the_threshold(spark):
+    """Of 300 pairs in each band of similarity from 0.8 on 0.95 lose one at least, and of those below none: every link is verified."""
+    rng, bands = np.random.default_rng(9), {(0.7, 0.8): [], (0.8, 0.825): [], (0.825, 0.85): [], (0.85, 0.9): []}
+    rows, n = [], 0
+    while any(len(v) < 300 for v in bands.values()):
+        text = [f"w{x}" for x in rng.integers(0, 100_000, 200)]
+        other = list(text)
+        for at in rng.choice(200, rng.integers(1, 9), replace=False):
+            other[at] = f"v{n}"
+        one, two = (shingles_of(" ".join(t)) for t in (text, other))
+        alike = len(one & two) / len(one | two)
+        band = next((b for b in bands if b[0] <= alike < b[1]), None)
+        if band and len(bands[band]) < 300:
+            bands[band].append(n)
+            rows += [(n, " ".join(text)), (n + 1, " ".join(other))]
+            n += 2
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, _ in rows if i % 2 == 0} <= kept
+    for band, firsts in bands.items():
+        gone = sum(i + 1 not in kept for i in firsts) / len(firsts)
+        assert gone == 0 if band[1] <= 0.8 else gone >= 0.95, (band, gone)
+
+
+def test_groups_of_near_copies_against_brute_force(spark):
+    """Families of hundreds that hang together by verified links: one of each stays, and none that no link reaches goes."""
+    rng, rows = np.random.default_rng(4), []
+    for family in range(4):
+        text = [f"f{family}w{x}" for x in rng.integers(0, 400, 120)]
+        for _ in range(120):
+            own = list(text)
+            for at in rng.choice(120, rng.integers(0, 4), replace=False):
+                own[at] = f"x{rng.integers(0, 9)}"
+            rows.append(" ".join(own))
+            text = own if rng.random() < 0.1 else text
+    sets, up = [shingles_of(t) for t in rows], list(range(len(rows)))
 
-    def mixed(h, k):
-        x = (h + (k + 1) * 0x9E3779B97F4A7C15) & full
-        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
-        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
-        return x ^ (x >> 31)
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
 
-    want = [sum(1 << b for b in range(64) if 2 * sum(mixed(h, k) >> b & 1 for h in hashes) > len(hashes)) for k in range(6)]
-    assert [int(w) for w in simhash.wide_fingerprint(text)] == want and len(hashes) < len(words) - 4
-    assert not simhash.wide_fingerprint(None).any() and simhash.wide_fingerprint("x").any()
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {find(i) for i in range(len(rows))}
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)).collect()}
+    assert groups <= kept and len(kept - groups) <= 0.02 * len(groups) and len(groups) < len(rows) / 4
 
 
 def test_near_copies_by_shingles_go(spark):
