@@ -13,7 +13,7 @@ from lathe.session import materialise
 WEIGHTS = (1, 2, 3)
 #: No source's target exceeds its size times this, and no document is taken more often.
 MAX_EPOCHS = 3
-#: Hex digits of the hash by which the shuffle order of a source is cut into ranges for prefix sums; slots of virtual time alike.
+#: Hex digits of the number of slots that virtual time is cut into.
 HEX_DIGITS = 3
 
 
@@ -44,43 +44,50 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return level.withColumn("target", F.least(F.lit(cap) * F.col("source_size").cast("double"), reached * F.col("weight"))).select(*sizes.columns, "target")
 
 
-def fair_queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_EPOCHS, seed: str = "mix", hex_digits: int = HEX_DIGITS) -> DataFrame:
+def fair_queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX_EPOCHS, seed: str = "mix", hex_digits: int = HEX_DIGITS, texts: bool = True) -> DataFrame:
     """Adds to docs (doc_id, text, source and any others): size, source_size, target, times (epochs taken) and taken.
 
     Each source is shuffled by md5(seed, doc_id). A document's virtual finish time in epoch e is (e * source_size + cumulative
     size) / target. All epochs of all documents, in order of finish time, are cut where their running sum of sizes would pass the
-    budget, the sum of all sizes. This runs over a narrow table that is written once. Cumulative sizes come in two passes: sums of
-    (source, hash range) and a running sum inside a range, so that a source with a third of all rows spreads over 16 ** hex_digits
-    groups. Virtual time is cut into slots that hold nearly equal numbers of words by construction, the slot in which the budget ends is
+    budget, the sum of all sizes. Documents are written once with their size and place (without text, if texts is false), so that a row keeps its place, and the queue reads
+    these columns alone. Cumulative sizes come in two passes: the rows of all
+    sources are dealt by sampled ranges of (source, place), and running sums inside a range start at the sum of the ranges before it, so that neither a source with a third
+    of all rows nor an id of as many is one task's. Virtual time is cut into slots that hold nearly equal numbers of words by construction, the slot in which the budget ends is
     cut again, and only what is left of it is ordered row by row. What an epoch takes of a source is a prefix of its shuffle order, so the cut
     comes back as one place for each source and epoch, and documents are counted where they are read, without a shuffle of texts.
 
     Null text and text without words: size 0, times 0, taken 0. Null source: a source of its own, last in order. Rows that
-    repeat a doc_id count each; rows equal in (source, doc_id, size) are taken alike, if the last of them fits. Empty input:
-    empty result. Columns of docs named as those added are replaced; other extra columns stay, whatever their names.
+    repeat or lack a doc_id count each and have places of their own, by their text and then by their number among the rows read, so that a source whose rows
+    share an id is cut near its target too. Empty input: empty result. Columns of docs named as those added are replaced; other extra columns stay, whatever their names.
     """
     added = ["size", "source_size", "target", "times", "taken"]
     rest = docs.drop(*added)
     key, place, plan = (fresh([*rest.columns, *added], n) for n in ("mix_key", "mix_place", "mix_plan"))
     mixed = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = rest.withColumns({"size": word_count(F.col("text")), key: F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("unnamed"))})
-    narrow = materialise(sized.select("source", F.col(key).alias("key"), mixed.alias("hash"), "doc_id", "size"), "mix-sizes").withColumn("range", F.substring("hash", 1, hex_digits))
-    totals = materialise(narrow.groupBy("source", "key", "range").agg(F.sum("size").alias("size")), "mix-ranges")
-    targets = materialise(source_targets(totals.groupBy("source", "key").agg(F.sum("size").alias("source_size")), weights, cap), "mix-targets")
+    own = F.struct(mixed.alias("hash"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    sized = rest.withColumns({"size": word_count(F.col("text")), key: F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("unnamed")), place: own})
+    kept = [c for c in rest.columns if texts or c != "text"]
+    sized = materialise(sized.select(*kept, "size", key, place), "mix-rows")
+    narrow = sized.select("source", F.col(key).alias("key"), F.col(place).alias("place"), "size")
+    targets = materialise(source_targets(narrow.groupBy("source", "key").agg(F.sum("size").alias("source_size")), weights, cap), "mix-targets")
+    order = ["key", "place"]
+    dealt = narrow.where("size > 0").select("key", "place", "size").repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = materialise(dealt.withColumn("at", F.monotonically_increasing_id()), "mix-ranges").withColumn("range", F.shiftright("at", 33))
+    totals = materialise(dealt.groupBy("key", "range").agg(F.sum("size").alias("size")), "mix-totals")
     before = W.Window.partitionBy("key").orderBy("range").rowsBetween(W.Window.unboundedPreceding, -1)
     starts = totals.select("key", "range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
     starts = materialise(starts.join(targets.select("key", "source_size", "target"), "key"), "mix-starts")
-    inside = W.Window.partitionBy("key", "range").orderBy("hash", "doc_id", "size")
-    cumulative = narrow.where("size > 0").drop("source").withColumn("cum", F.sum("size").over(inside)).join(starts, ["key", "range"]).withColumn("cum", F.col("before") + F.col("cum"))
-    queue = materialise(cumulative.drop("range", "before"), "mix-queue")
+    inside = W.Window.partitionBy("key", "range").orderBy("at")
+    cumulative = dealt.withColumn("cum", F.sum("size").over(inside)).join(starts, ["key", "range"]).withColumn("cum", F.col("before") + F.col("cum"))
+    queue = materialise(cumulative.drop("range", "before", "at"), "mix-queue")
     ends = materialise(_ends(queue, cap, 16**hex_digits, totals.select(F.sum("size")).scalar()), "mix-ends")
     lasts = queue.join(ends, "key").where(F.col("cum").isin(*[F.col(f"end_{e}") for e in range(cap)])).groupBy("key")
-    lasts = lasts.agg(*[F.max(F.when(F.col("cum") == F.col(f"end_{e}"), F.struct("hash", "doc_id", "size"))).alias(f"last_{e}") for e in range(cap)])
+    lasts = lasts.agg(*[F.max(F.when(F.col("cum") == F.col(f"end_{e}"), F.col("place"))).alias(f"last_{e}") for e in range(cap)])
     whole = targets.join(lasts, "key", "left").select(F.col("key").alias(key), F.struct("source_size", "target", *[f"last_{e}" for e in range(cap)]).alias(plan))
-    out = sized.withColumn(place, F.struct(mixed.alias("hash"), F.col("doc_id").alias("doc_id"), F.col("size").alias("size"))).join(materialise(whole, "mix-plan"), key, "left")
+    out = sized.join(materialise(whole, "mix-plan"), key, "left")
     times = sum((F.when((F.col("size") > 0) & (F.col(place) <= F.col(f"{plan}.last_{e}")), 1).otherwise(0) for e in range(1, cap)), F.when((F.col("size") > 0) & (F.col(place) <= F.col(f"{plan}.last_0")), 1).otherwise(0))
     out = out.withColumns({"source_size": F.col(f"{plan}.source_size"), "target": F.col(f"{plan}.target"), "times": times.cast("int")}).withColumn("taken", F.col("times") * F.col("size"))
-    return out.select(*rest.columns, *added)
+    return out.select(*kept, *added)
 
 
 def _finish(epoch: Column) -> Column:

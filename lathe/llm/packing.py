@@ -21,6 +21,8 @@ WINDOW, END = 2048, 1
 #: Words whose ids a task keeps; once full, others are encoded again each time they come.
 CACHED = 50_000
 _RUN = re.compile(r"\s\s")
+#: White space that the pattern takes as one piece; runs from here on are cut out, as the pattern's engine gives up on a million characters.
+_LONG = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 class _WordIds(dict):
@@ -41,23 +43,38 @@ def encoder(ranks_path: str, pattern: str, cached: int = CACHED, added: Mapping[
 
     Pre-tokens never reach across a space between two non-space characters, except that they start with it. A text without
     two white spaces in a row is therefore the concatenation of its words' ids, each with its leading space; others are
-    encoded whole. So are texts that hold one of the added tokens: it is its own id, and what is around it is encoded apart.
+    encoded whole, but for long runs of white space, which are pieces by themselves. An added token is its own id, and what is around it is encoded apart.
     """
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added or {}))
-    encode, names = encoding.encode_ordinary, tuple(added or ())
+    encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encode, tokens = encoding.encode_ordinary, dict(added or {})
+    names = re.compile("|".join(map(re.escape, sorted(tokens, key=len, reverse=True)))) if tokens else None
     ids = _WordIds(encode, cached)
 
+    def plain(text: str) -> bytes:
+        if not _RUN.search(text):
+            first, *rest = text.split(" ")
+            return array("H", encode(first)).tobytes() + b"".join(map(ids.__getitem__, rest))
+        out, at = [], 0
+        for run in _LONG.finditer(text):
+            # A run is one piece but for its last character where something follows, which that may take along.
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += [encode(text[at : run.start()]), encoding._encode_single_piece(text[run.start() : end])]
+            at = end
+        out.append(encode(text[at:]))
+        return b"".join(array("H", x).tobytes() for x in out)
+
     def of(text: str) -> bytes:
-        if any(name in text for name in names):
-            return array("H", encoding.encode(text, allowed_special="all")).tobytes()
-        if _RUN.search(text):
-            return array("H", encode(text)).tobytes()
-        first, *rest = text.split(" ")
-        return array("H", encode(first)).tobytes() + b"".join(map(ids.__getitem__, rest))
+        if names is None or not names.search(text):
+            return plain(text)
+        out, at = [], 0
+        for name in names.finditer(text):
+            out += [plain(text[at : name.start()]) if name.start() > at else b"", array("H", [tokens[name.group()]]).tobytes()]
+            at = name.end()
+        return b"".join(out) + (plain(text[at:]) if at < len(text) else b"")
 
     return of
 

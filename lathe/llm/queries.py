@@ -72,7 +72,7 @@ WHERE rank <= 10
 
 
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fair_mix.fair_queue(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return fair_mix.fair_queue(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP5_SQL = r"""

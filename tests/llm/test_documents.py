@@ -53,26 +53,33 @@ def test_mix_comes_near_targets(spark):
 
 
 def plain_mix(rows, targets):
-    """doc index to epochs taken, by sorting all items of all sources; rows: (doc_id, size, source)."""
+    """doc index to epochs taken, by sorting all items of all sources; rows: (doc_id, size, source). Each row has a place of its own; rows of one id and text are interchangeable."""
     md5 = lambda i: __import__("hashlib").md5(f"mix|{'null' if i is None else i}".encode()).hexdigest()
+    text_hash = lambda n: int(np.uint64(xxhash.xxh64_intdigest("w " * n, 42)).astype(np.int64))
     total, items = collections.Counter(), []
     for s in {r[2] for r in rows}:
-        own = sorted(((md5(r[0]), r[0] is not None, r[0] or 0, r[1]), k) for k, r in enumerate(rows) if r[2] == s and r[1])
-        size, cum, at = sum(x[0][3] for x in own), 0, 0
-        while at < len(own):
-            alike = [k for place, k in own if place == own[at][0]]
-            at += len(alike)
-            cum += len(alike) * own[at - 1][0][3]
-            items += [((e * size + cum) / targets[s], "unnamed" if s is None else f"s{s}", e, cum, alike) for e in range(3)]
+        own = sorted((md5(r[0]), text_hash(r[1]), k) for k, r in enumerate(rows) if r[2] == s and r[1])
+        size, cum = sum(rows[k][1] for *_, k in own), 0
+        for *_, k in own:
+            cum += rows[k][1]
+            items += [((e * size + cum) / targets[s], "unnamed" if s is None else f"s{s}", e, cum, k) for e in range(3)]
     upto, budget = 0, sum(r[1] for r in rows)
-    for *_, alike in sorted(items, key=lambda x: x[:4]):
-        upto += len(alike) * rows[alike[0]][1]
+    for *_, k in sorted(items):
+        upto += rows[k][1]
         if upto > budget:
             break
-        total.update(alike)
+        total[k] += 1
     return total
 
 
+@pytest.mark.parametrize("ids", ["NULL", "CAST(id % 2 AS BIGINT)", "id div 10"])
+@pytest.mark.parametrize("text", ["repeat('word ', 100)", "concat(repeat('word ', 99), id)"])
+def test_mix_comes_near_targets_whatever_the_ids(spark, ids, text):
+    docs = spark.range(2000).selectExpr(f"CAST({ids} AS BIGINT) AS doc_id", f"{text} AS text", "'en' AS lang", "if(id % 2 = 0, 'a', 'b') AS source", "id AS n_chars")
+    out = fair_mix.fair_queue(docs.repartition(3)).groupBy("source").agg(F.min("target").alias("target"), F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert sum(r.taken for r in out) <= 200_000 and all(r.n == 1000 and abs(r.target - r.taken) <= 100 for r in out)
+
+
 @pytest.mark.parametrize("digits", [1, 3])
 def test_mix_against_plain_version(spark, digits):
     rng = np.random.default_rng(digits)
@@ -82,7 +89,9 @@ def test_mix_against_plain_version(spark, digits):
     docs = spark.createDataFrame([(i, "w " * n, s, k) for k, (i, n, s) in enumerate(rows)], "doc_id long, text string, source string, mix_key long").withColumn("Mix_Plan", F.lit(1))
     out = fair_mix.fair_queue(docs.repartition(5), hex_digits=digits).collect()
     want = plain_mix(rows, {r.source: r.target for r in out})
-    assert len(out) == len(rows) and all(r.times == want[r.mix_key] and r.taken == r.times * r["size"] for r in out) and {r.times for r in out} >= {0, 1, 2}
+    alike = lambda times: sorted((str(rows[k]), n) for k, n in times)
+    assert alike((r.mix_key, r.times) for r in out) == alike((k, want[k]) for k in range(len(rows)))
+    assert len(out) == len(rows) and all(r.taken == r.times * r["size"] for r in out) and {r.times for r in out} >= {0, 1, 2}
 
 
 # op6
@@ -495,6 +504,18 @@ def test_near_copies_by_shingles_go(spark):
 # op7
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", " \n\t"])
+def test_long_white_space_is_encoded(unit):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    of = packing.encoder(*packing.public_vocabulary(), added=packing.public_added())
+    space = (unit * 2_000_000)[:2_000_000]
+    for text in (space, f"it's{space}9 x", f"{space[:1001]}<|endoftext|>{space[:1000]} y <|endoftext|>", f"a{space[:999]}b{space[:1000]}c  d"):
+        assert np.frombuffer(of(text), "u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
