@@ -37,3 +37,60 @@ def covers(iso: Column, at: Column) -> Column:
 def knots(value: Column, unit: Column) -> Column:
     """Speed in knots of a value in km/h; null for any other unit."""
     return F.when(unit == "km_h-1", value / KMH_PER_KNOT)
+
+
+# Units that the conversions below hold for, phenomena of each flag, factors, and the visibility that stands for unrestricted.
+UNITS = {"temperature": "wmoUnit:degC", "dewpoint": "wmoUnit:degC", "windSpeed": "wmoUnit:km_h-1", "windGust": "wmoUnit:km_h-1", "visibility": "wmoUnit:m", "quantitativePrecipitation": "wmoUnit:mm"}
+RAIN, SNOW = ("rain", "drizzle", "rain_showers", "freezing_rain", "freezing_drizzle"), ("snow", "sleet", "ice_pellets", "snow_showers")
+METRES_PER_MILE, MM_PER_INCH, CLEAR_MILES = 1609.344, 25.4, 10.0
+_LAYER = "struct<uom: string, values: array<struct<validTime: string, value: {}>>>"
+#: What is read of a grid's JSON.
+GRID = "struct<" + ", ".join(f"{name}: {_LAYER.format('double')}" for name in UNITS) + f", weather: {_LAYER.format('array<struct<weather: string>>')}>"
+
+
+def duration_seconds(iso: Column) -> Column:
+    """Seconds of the duration of start/PnDTnHnM, of any parts; 0 for anything else, so that such an interval holds no instant."""
+    form = r"/P(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?)?$"
+    part = lambda n: F.coalesce(F.regexp_extract(iso, form, n).try_cast("long"), F.lit(0).cast("long"))
+    return part(1) * 86400 + part(2) * 3600 + part(3) * 60
+
+
+def instant_of(iso: Column) -> Column:
+    """The start of start/duration with its offset; null for anything else."""
+    return F.try_to_timestamp(F.substring_index(iso, "/", 1), F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
+
+
+def holds(iso: Column, at: Column) -> Column:
+    """Whether an instant lies in start/duration, the start included and the end not."""
+    start = instant_of(iso)
+    return (at >= start) & (F.unix_micros(at) < F.unix_micros(start) + duration_seconds(iso) * 1_000_000)
+
+
+def value_at(layer: Column, at: Column, unit: str | None = None) -> Column:
+    """struct(value, seconds) of the first value of a layer whose interval holds an instant; null if none does, or if the layer names another unit."""
+    usable = F.filter(layer["values"], lambda v: v["value"].isNotNull() & F.coalesce(holds(v["validTime"], at), F.lit(False)))
+    first = F.get(usable, F.lit(0))
+    known = F.lit(True) if unit is None else F.coalesce(layer["uom"] == unit, F.lit(True))
+    return F.when(known & first.isNotNull(), F.struct(first["value"].alias("value"), duration_seconds(first["validTime"]).alias("seconds")))
+
+
+def grid_features(grid: Column, at: Column) -> dict[str, Column]:
+    """The weather features of an instant from a parsed grid (GRID), by name; all null, and has_weather 0, where it has no temperature then.
+
+    No gust is calm, no visibility unrestricted, and precipitation over some hours is shared out to one.
+    """
+    met = {name: value_at(grid[name], at, unit) for name, unit in UNITS.items()}
+    there = met["temperature"].isNotNull()
+    fahrenheit = lambda v: v["value"] * 9 / 5 + 32
+    gust, rain = met["windGust"], met["quantitativePrecipitation"]
+    now = F.flatten(F.transform(F.filter(grid["weather"]["values"], lambda v: F.coalesce(holds(v["validTime"], at), F.lit(False))), lambda v: F.coalesce(v["value"], F.array())))
+    seen = F.coalesce(F.transform(now, lambda c: c["weather"]), F.array().cast("array<string>"))
+    named = lambda test: F.coalesce(F.exists(seen, test), F.lit(False)).cast("double")
+    found = {
+        "temp_f": fahrenheit(met["temperature"]), "dewpoint_f": fahrenheit(met["dewpoint"]), "wind_kn": met["windSpeed"]["value"] / KMH_PER_KNOT,
+        "gust_kn": F.coalesce(gust["value"] / KMH_PER_KNOT, F.lit(0.0)), "gust_reported": gust.isNotNull().cast("double"),
+        "visibility_mi": F.coalesce(F.least(met["visibility"]["value"] / METRES_PER_MILE, F.lit(CLEAR_MILES)), F.lit(CLEAR_MILES)),
+        "precip_1h_in": F.coalesce(rain["value"] / F.greatest(rain["seconds"] / 3600, F.lit(1.0)) / MM_PER_INCH, F.lit(0.0)),
+        "had_fog": named(lambda p: p.contains("fog")), "had_rain": named(lambda p: p.isin(*RAIN)), "had_snow": named(lambda p: p.isin(*SNOW)), "had_thunder": named(lambda p: p.contains("thunder")),
+    }
+    return {name: F.when(there, c) for name, c in found.items()} | {"has_weather": F.coalesce(there, F.lit(False)).cast("double")}

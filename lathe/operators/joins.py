@@ -218,3 +218,29 @@ def settle_ordered(risks: DataFrame, outcomes: DataFrame, identity: Sequence[str
     rows = F.array_append(F.array(*[F.struct(F.lit(c).alias("counter"), n.cast("long").alias("n")) for c, n in counts.items()]), F.struct(F.when(settled, kind).alias("counter"), F.lit(1).cast("long").alias("n")))
     named_rows = both.select(F.explode(rows).alias("c")).where("c.counter IS NOT NULL AND c.n > 0")
     return named_rows.groupBy(F.col("c.counter").alias("counter")).agg(F.sum("c.n").alias("events"))
+
+
+def at_or_below(fact: DataFrame, steps: DataFrame, keys: Sequence[str], value: str, step: str, columns: Sequence[str], width: float) -> DataFrame:
+    """fact with step and columns of the largest step of its keys that isn't above value; below all steps, those of the smallest; and place.
+
+    place: "below" the smallest step, "at" a step, "between" two, or "above" the largest; null without a step of its keys. Steps of a key differ; those that
+    are null take no part, and a null value meets none. Steps become intervals that are listed for the cells of `width` that they touch, so both sides meet by equality and the interval is tested
+    exactly: any size of steps is a plain join, which the planner may broadcast by the table's size. What lies above the last step is in one more cell.
+    """
+    lead = W.Window.partitionBy(*keys).orderBy(step)
+    cell = lambda c: F.floor(F.col(c) / width).cast("long")
+    side = steps.where(F.col(step).isNotNull()).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(step).alias("_lo"), *[F.col(c).alias(f"_{c}") for c in columns], F.lead(step).over(lead).alias("_hi"), (F.row_number().over(lead) == 1).alias("_first"))
+    inside = side.where("_hi IS NOT NULL").withColumn("_cell", F.explode(F.sequence(cell("_lo"), cell("_hi"))))
+    outer = side.where("_hi IS NULL").withColumn("_cell", F.lit(None).cast("long"))
+    low = side.where("_first").select(*[F.col(f"_{k}") for k in keys], F.col("_lo").alias("_hi"), *[f"_{c}" for c in columns]).withColumns({"_low": F.lit(True), "_cell": F.lit(None).cast("long")})
+    ends = side.groupBy(*[f"_{k}" for k in keys]).agg(F.min("_lo").alias("_min"), F.max("_lo").alias("_max"))
+    there = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    placed = fact.join(ends, there, "left").drop(*[f"_{k}" for k in keys])
+    side_of = F.when(F.col(value) < F.col("_min"), -1).when(F.col(value) >= F.col("_max"), 1).when(F.col(value).isNotNull(), 0)
+    placed = placed.withColumns({"_side": side_of, "_at": F.when(side_of == 0, cell(value))})
+    table = inside.withColumn("_of", F.lit(0)).unionByName(outer.withColumn("_of", F.lit(1))).unionByName(low.withColumn("_of", F.lit(-1)), allowMissingColumns=True)
+    on = [*there, F.col("_side") == F.col("_of"), F.col("_at").eqNullSafe(F.col("_cell")), (F.col("_side") != 0) | ((F.col(value) >= F.col("_lo")) & (F.col(value) < F.col("_hi")))]
+    met = placed.join(table, on, "left")
+    least = F.when(F.col("_low"), F.col("_hi")).otherwise(F.col("_lo"))
+    place = F.when(F.col("_low"), "below").when(F.col(value) == F.col("_lo"), "at").when(F.col("_hi").isNull() & F.col("_lo").isNotNull(), "above").when(F.col("_lo").isNotNull(), "between")
+    return met.select(*fact.columns, least.alias(step), *[F.col(f"_{c}").alias(c) for c in columns], place.alias("place"))

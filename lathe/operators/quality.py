@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 def not_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -126,3 +126,50 @@ def observation_violations(df: DataFrame, keys: Sequence[str], departure: str, o
     share = df.agg((F.count_if(~F.col(flag)) / F.nullif(F.count("*"), F.lit(0))).alias("missing")).where(F.col("missing") > most_missing)
     types = {f.name: f.dataType for f in df.schema}
     return labelled(df, rules, keys).unionByName(share.select(*[F.lit(None).cast(types[k]).alias(k) for k in keys], F.lit("too_many_missing").alias("violation")))
+
+
+def nested_differences(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, path, left, right): every place at which rows of the same keys differ, in columns of any depth.
+
+    Both have the same columns. The walk follows the schema: fields by name, entries of a map by key (a missing one is null), elements by number from 0; arrays of other lengths
+    are one difference, of their lengths. Null equals null and NaN equals NaN; a null in place of a struct, array or map is one difference. A row that only one side has differs at
+    path "". Values are given as text, whole structures as JSON. Keys are unique on either side; the sides meet by one shuffle and only differences become rows.
+    """
+    types = [{f.name: f.dataType for f in df.schema.fields} for df in (left, right)]
+    if types[0] != types[1]:
+        raise ValueError(f"columns or types differ: {sorted(set(types[0]) ^ set(types[1]))}")
+    rest = [c for c in left.columns if c not in keys]
+    sides = [df.select(*[F.col(k).alias(f"_{n}{k}") for k in keys], F.struct(*rest, F.lit(True).alias("_there")).alias(n)) for n, df in (("l", left), ("r", right))]
+    both = sides[0].join(sides[1], [F.col(f"_l{k}").eqNullSafe(F.col(f"_r{k}")) for k in keys], "full")
+    found = [_walk(F.col("l")[c], F.col("r")[c], types[0][c], F.lit(c)) for c in rest]
+    alone = _difference(F.lit(""), F.when(F.col("l").isNotNull(), "row"), F.when(F.col("r").isNotNull(), "row"))
+    listed = F.when(F.col("l").isNull() | F.col("r").isNull(), alone).otherwise(F.concat(*found) if found else _nothing())
+    return both.select(*[F.coalesce(F.col(f"_l{k}"), F.col(f"_r{k}")).alias(k) for k in keys], F.explode(listed).alias("d")).select(*keys, "d.*")
+
+
+def _nothing() -> Column:
+    return F.array().cast("array<struct<path: string, left: string, right: string>>")
+
+
+def _difference(path: Column, one: Column, two: Column) -> Column:
+    return F.array(F.struct(path.alias("path"), one.alias("left"), two.alias("right")))
+
+
+def _walk(one: Column, two: Column, kind: DataType, path: Column) -> Column:
+    """The array of differences between two values of a type."""
+    if isinstance(kind, (StructType, ArrayType, MapType)):
+        shown = lambda v: F.when(v.isNotNull(), F.to_json(v))
+        if isinstance(kind, StructType):
+            parts = [_walk(one[f.name], two[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields]
+            inner = F.concat(*parts) if parts else _nothing()
+        elif isinstance(kind, ArrayType):
+            places = F.filter(F.sequence(F.lit(0), F.size(one)), lambda i: i < F.size(one))
+            each = F.flatten(F.transform(places, lambda i: _walk(F.get(one, i), F.get(two, i), kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+            lengths = _difference(F.concat(path, F.lit(".length")), F.size(one).cast("string"), F.size(two).cast("string"))
+            inner = F.when(F.size(one) != F.size(two), lengths).otherwise(each)
+        else:
+            names = F.array_sort(F.array_union(F.map_keys(one), F.map_keys(two)))
+            inner = F.flatten(F.transform(names, lambda k: _walk(F.element_at(one, k), F.element_at(two, k), kind.valueType, F.concat(path, F.lit("."), k.cast("string")))))
+        same_kind = F.when(one.isNotNull() & two.isNotNull(), inner).otherwise(_difference(path, shown(one), shown(two)))
+        return F.when(one.isNull() & two.isNull(), _nothing()).otherwise(same_kind)
+    return F.when(one.eqNullSafe(two), _nothing()).otherwise(_difference(path, one.cast("string"), two.cast("string")))
