@@ -11,14 +11,12 @@ from lathe.plans.base import query
 from lathe.plans.chain_queries import CHAIN_SQL
 from lathe.session import materialise
 
-_LATE = F.when(F.col("event_id") % 8 > 0, F.col("event_id") % 5 < 2)
-
 
 def rotation_mart(spark, d):
     """Links with the history of their bands and positions; and that history (level, key, n, rate)."""
     linked = chain.link(legs_events(spark, d))
     keys = F.explode(F.array(F.struct(F.lit("band").alias("level"), F.col("band").alias("key")), F.struct(F.lit("position").alias("level"), F.col("position_key").alias("key"))))
-    done = linked.withColumn("late", _LATE).where("late IS NOT NULL").select("late", keys.alias("k")).where("k.key IS NOT NULL")
+    done = linked.withColumn("late", F.when(F.col("event_id") % 8 > 0, F.col("event_id") % 5 < 2)).where("late IS NOT NULL").select("late", keys.alias("k")).where("k.key IS NOT NULL")
     rates = materialise(done.groupBy("k.level", "k.key").agg(F.count("*").alias("n"), F.round(F.avg(F.col("late").cast("int")), 9).alias("rate")), "rotation-rates")
     mart = linked
     for level, key in (("band", "band"), ("position", "position_key")):
