@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.llm.wrapper import _in_order, parse
+from lathe.llm.wrapper import _TOKEN, _in_order, parse
 
 #: Namespace of the record ids that are derived from content, so that a rerun gives the same ids.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lathe:warc")
@@ -23,8 +23,11 @@ SCHEMA = "record_type string, record_id string, refers_to string, target_uri str
 _ARROW = pa.schema(
     [*[(n, pa.string()) for n in ("record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "payload_digest")], ("headers", pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))), ("block", pa.binary())]
 )
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+#: Elements whose content is no markup.
+_RAW = {name: re.compile(f"</{name}", re.I) for name in ("title", "script", "style", "textarea", "xmp", "iframe", "noembed", "noframes")}
+#: Type of a record whose block can't be told from what follows it.
+UNREADABLE = "unreadable"
 _CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r?\n")
 #: Bytes of blocks after which a task hands on a batch of records, and bytes of a file that are read at once.
 BATCH, READ = 16 << 20, 1 << 20
@@ -77,20 +80,55 @@ def _joined(chunks: bytes) -> bytes:
     return b"".join(out) if out and at >= len(chunks) else chunks
 
 
+def _inflated(data: bytes, bits: int) -> bytes:
+    """All members of a gzip stream, or one deflate stream; what follows the last isn't part of it. Raises zlib.error where one is cut or broken."""
+    out = []
+    while True:
+        member = zlib.decompressobj(bits)
+        out.append(member.decompress(data) + member.flush())
+        if not member.eof:
+            raise zlib.error("cut off")
+        data = member.unused_data
+        if not data.startswith(b"\x1f\x8b"):
+            return b"".join(out)
+
+
 def payload_of(headers: list[tuple[str, str]], body: bytes) -> bytes:
-    """The payload of a response: transfer and content codings that are known (chunked, gzip, deflate) undone; a broken one stays as it is."""
+    """The payload of a response: transfer and content codings that are known (chunked, gzip with any number of members, deflate) undone; a cut or broken one stays as it is."""
     payload = _joined(body) if "chunked" in _value(headers, "transfer-encoding").lower() else body
     for coding in reversed([c.strip().lower() for c in _value(headers, "content-encoding").split(",")]):
         if coding in ("gzip", "x-gzip", "deflate"):
             for bits in (47, -15):
                 try:
-                    payload = zlib.decompressobj(bits).decompress(payload)
+                    payload = _inflated(payload, bits)
                     break
                 except zlib.error:
                     continue
     return payload
 
 
+def title_and_links(page: str) -> tuple[str, list[str]]:
+    """The first closed title and the targets of all links, as the page's tags give them: comments, scripts and other raw text have none. One pass, linear in the page."""
+    title, links, at, closed = "", [], 0, True
+    while found := _TOKEN.search(page, at):
+        at, name = found.end(), (found[2] or "").lower()
+        if found[1] or not name:
+            continue
+        if name == "a":
+            targets = (a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(found[3]) if a[1].lower() == "href" and a[0] != a[1])
+            links += [entities.unescape(t) for t in (next(targets, None),) if t is not None]
+        elif name == "title":
+            end = _RAW[name].search(page, at) if closed else None
+            closed = end is not None
+            if end and not title:
+                title = " ".join(entities.unescape(page[at : end.start()]).split())
+            at = end.start() if end else at
+        elif name in _RAW:
+            end = _RAW[name].search(page, at)
+            at = end.start() if end else len(page)
+    return title, links
+
+
 def decoded(payload: bytes, content_type: str) -> str:
     """Text by the byte order mark, the header's charset or the page's own, else UTF-8."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
@@ -166,11 +204,11 @@ def derive(records: DataFrame) -> DataFrame:
                     page = decoded(payload_of(http, body), _value(http, "content-type"))
                     payload_digest = payload_digest or digest(body)
                     text = plain_text(page).encode("utf-8", "replace")
-                    title = _TITLE.search(page)
+                    title, links = title_and_links(page)
                     carried = [(h["key"], h["value"]) for h in given or [] if (h["key"] or "").lower() != "warc-concurrent-to"]
                     fields = [("source-status", status), *((f"source-{k.lower()}", v) for k, v in [*http, *carried])]
-                    fields += [("source-payload-digest", payload_digest), ("title", " ".join(entities.unescape(title[1]).split()) if title else ""), ("text-length", str(len(text)))]
-                    fields += [("outlink", f"{entities.unescape(''.join(link))} L a/@href") for link in _LINK.findall(page)]
+                    fields += [("source-payload-digest", payload_digest), ("title", title), ("text-length", str(len(text)))]
+                    fields += [("outlink", f"{link} L a/@href") for link in links]
                     about = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v).encode("utf-8", "replace")
                     ids = [record_id(kind_of, source, digest(b)) for kind_of, b in (("metadata", about), ("conversion", text))]
                     for j, (kind_of, mime, b) in enumerate((("metadata", "application/warc-fields", about), ("conversion", "text/plain", text))):
@@ -227,14 +265,15 @@ class _Chunks(io.RawIOBase):
         return 0
 
 
-def parse_warc(data: bytes | pa.Buffer) -> Iterator[tuple]:
+def parse_warc(data: bytes | pa.Buffer, onward: bool = False) -> Iterator[tuple]:
     """The records of a WARC file, gzipped or not, as tuples of SCHEMA's columns, unpacked as they are read.
 
-    A cut record, or one whose Content-Length is no number, ends the file: what follows can't be told from its block.
+    A record whose Content-Length is no number ends the file, as its block can't be told from what follows; with onward it is given as UNREADABLE, with its headers and
+    without a block, so that what is lost can be counted, and reading goes on at the next line that starts a record. One that the file's end cuts is left out.
     """
     stream = io.BufferedReader(_Chunks(data), READ)
     known = {"warc-type": 0, "warc-record-id": 1, "warc-refers-to": 2, "warc-target-uri": 3, "warc-date": 4, "content-type": 5, "warc-block-digest": 6, "warc-payload-digest": 7}
-    while line := stream.readline():
+    while line := stream.readline(READ):
         if not line.startswith(b"WARC/"):
             continue
         row, headers, length = [None] * 8, [], "0"
@@ -247,7 +286,10 @@ def parse_warc(data: bytes | pa.Buffer) -> Iterator[tuple]:
             else:
                 headers.append({"key": key, "value": value})
         if not (length.isascii() and length.isdigit()):
-            return
+            if not onward:
+                return
+            yield (UNREADABLE, *row[1:], headers, None)
+            continue
         block = stream.read(int(length))
         if len(block) < int(length):
             return
@@ -261,7 +303,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
-                for held in _bounded(parse_warc(data.as_buffer())):
+                for held in _bounded(parse_warc(data.as_buffer(), onward=True)):
                     yield _batch(held)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parsed, SCHEMA)

@@ -215,6 +215,37 @@ def test_warc_files_are_read_in_parts(monkeypatch):
 # op4
 
 
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<title>" * 100_000, "<a href='" * 50_000, "<script>" * 100_000, "<a '\"" * 50_000, "<a" + " href" * 100_000 + ">", "<!--" * 100_000])
+def test_hostile_markup_takes_linear_time(page):
+    import time
+
+    start = time.process_time()
+    assert len(warc.title_and_links(page)[1]) <= 1 and time.process_time() - start < 5
+
+
+def test_title_and_links_of_tags_alone():
+    page = '<html><title> A &amp; b </title><title>no</title><!-- <a href="no"> --><a class=x HREF="/a?b&amp;c">t</a><a data-x=" href=q" href=\'z\'><script>"<a href=n>"</script><a name=k><a href><A\nhref=plain>İ<style><a href=s></STYLE><a href="">'
+    assert warc.title_and_links(page) == ("A & b", ["/a?b&c", "z", "plain", ""])
+    assert warc.title_and_links("<title>open <a href=x>") == ("", ["x"]) and warc.title_and_links("") == ("", [])
+
+
+def test_all_members_of_a_packed_body():
+    import gzip
+    import zlib
+
+    coded, one, two = [("Content-Encoding", "gzip")], gzip.compress(b"<p>one</p>"), gzip.compress(b"<p>two</p>")
+    assert warc.payload_of(coded, one + two + one) == b"<p>one</p><p>two</p><p>one</p>"
+    assert warc.payload_of(coded, one + b"\0\0") == b"<p>one</p>" and warc.payload_of([("content-encoding", "deflate")], zlib.compress(b"x")) == b"x"
+    for broken in (one[:-3], one + two[:-9], b"plain", b""):
+        assert warc.payload_of(coded, broken) == broken
+
+
+def test_reading_goes_on_after_an_unreadable_record():
+    record = lambda n, length: b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: %s\r\n\r\nblock %d\r\n\r\n" % (n, length, n)
+    got = list(warc.parse_warc(record(1, b"7") + record(2, b"seven") + record(3, b"7") + record(4, b"-7") + record(5, b"7"), onward=True))
+    assert [(r[0], r[1], r[-1]) for r in got] == [("resource", "<1>", b"block 1"), (warc.UNREADABLE, "<2>", None), ("resource", "<3>", b"block 3"), (warc.UNREADABLE, "<4>", None), ("resource", "<5>", b"block 5")]
+
+
 def test_slices_add_up():
     rng = np.random.default_rng(2)
     for bits in (1, 4, 11):
