@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,3 +134,38 @@ def top_share(scored: DataFrame, by: Sequence[str], share: float = 0.1) -> DataF
 def placed(df: DataFrame, within: Sequence[str], order: Sequence[Column], name: str = "place") -> DataFrame:
     """df with each row's place in its group by the whole order; rows that tie in all of it share a place."""
     return df.withColumn(name, F.rank().over(W.Window.partitionBy(*within).orderBy(*order)).cast("long"))
+
+
+def ranking_kept(scored: DataFrame, maps: Mapping[str, Column], tolerance: float = 1e-6) -> DataFrame:
+    """(map, average_precision, roc_auc, pr_delta, roc_delta, passed) for "raw" scores p and for each map of them: a calibration may move scores but not their order.
+
+    All maps are ranked in one pass, by map. A map that ties or turns scores moves a metric and fails; compare with refuse().
+    """
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("map"), c.cast("double").alias("p")) for n, c in {"raw": F.col("p"), **maps}.items()]))
+    metrics = ranking_metrics(scored.select("y", rows.alias("m")).select("y", "m.map", "m.p"), ["map"]).select("map", "average_precision", "roc_auc")
+    raw = metrics.where("map = 'raw'")
+    deltas = [F.abs(F.col(c) - raw.select(c).scalar()).alias(n) for c, n in (("average_precision", "pr_delta"), ("roc_auc", "roc_delta"))]
+    out = metrics.select("*", *deltas)
+    return out.withColumn("passed", F.coalesce((F.col("pr_delta") <= tolerance) & (F.col("roc_delta") <= tolerance), F.lit(False)))
+
+
+def refuse(kept: DataFrame, name: str) -> None:
+    """Raises unless a map of ranking_kept() passed; an unknown one hasn't."""
+    row = kept.where(F.col("map") == name).first()
+    if row is None or not row.passed:
+        raise ValueError(f"map {name} doesn't keep the ranking: {row}")
+
+
+def drift(scored: DataFrame, window: str, before: str, after: str) -> DataFrame:
+    """One row: how much of its margin over 0.5 the ROC AUC loses from one window to another, how much the calibration error grows, and which is more.
+
+    Null where a window is missing, its margin or its error is zero.
+    """
+    both = scored.where(F.col(window).isin(before, after))
+    ranks = ranking_metrics(both, [window]).select(window, "roc_auc")
+    cells = both.groupBy(window, score_bin(F.col("p")).alias("bin")).agg(F.count("*").alias("n"), F.abs(F.sum("p") - F.sum(F.col("y").cast("int"))).alias("gap"))
+    errors = cells.groupBy(window).agg(F.round(F.sum("gap") / F.sum("n"), 9).alias("ece"))
+    at = lambda name, column: F.max(F.when(F.col(window) == name, F.col(column)))
+    one = ranks.join(errors, window).agg(*[at(name, column).alias(f"{column}_{side}") for side, name in (("before", before), ("after", after)) for column in ("roc_auc", "ece")])
+    loss, growth = 1 - rate(F.col("roc_auc_after") - 0.5, F.col("roc_auc_before") - 0.5), rate(F.col("ece_after"), F.col("ece_before")) - 1
+    return one.select("*", F.round(loss, 4).alias("margin_loss"), F.round(growth, 4).alias("ece_growth"), (growth > loss).alias("calibration_decays_first"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lathe.functions.scalars import logit
 from lathe.operators.evaluate import ranking_metrics
+from lathe.session import materialise
 
 
 def time_split(df: DataFrame, day: str, cutoffs: Mapping[str, str]) -> DataFrame:
@@ -99,3 +101,33 @@ def search(train: DataFrame, validation: DataFrame, candidates: Mapping[str, Pip
     for row in rows[1:]:
         out = out.unionByName(row)
     return out.orderBy(F.desc("average_precision"), "candidate")
+
+
+def stops_early(pipeline: Pipeline, indicator: str, tolerance: float = 0.001) -> Pipeline:
+    """The same pipeline whose boosted last stage adds trees only while rows marked by `indicator` gain at least tolerance of the loss."""
+    *before, last = pipeline.getStages()
+    return Pipeline(stages=[*before, last.copy().setValidationIndicatorCol(indicator)._set(validationTol=tolerance)])
+
+
+def search_within(
+    train: DataFrame, validation: DataFrame, test: DataFrame, candidates: Mapping[str, Pipeline], seconds: float, clock: Callable[[], float] = time.monotonic
+) -> tuple[DataFrame, DataFrame]:
+    """(report, scored): candidates fitted in their order until the budget of seconds is spent, one at least; the best on validation rows alone scores the test rows.
+
+    report: candidate, n, average_precision, roc_auc (null where it wasn't fitted any more), fitted, chosen; of equals the first by name is chosen. scored: test with p of
+    the chosen model. Test rows are met once, by that model.
+    """
+    start, models, parts = clock(), {}, []
+    for name, pipeline in candidates.items():
+        if models and clock() - start >= seconds:
+            break
+        models[name] = pipeline.fit(train)
+        scored = probabilities(models[name], validation).select("p", (F.col("label") == 1).alias("y"))
+        parts.append(materialise(ranking_metrics(scored).select(F.lit(name).alias("candidate"), "n", "average_precision", "roc_auc"), "search"))
+    report = parts[0]
+    for part in parts[1:]:
+        report = report.unionByName(part)
+    best = report.orderBy(F.desc_nulls_last("average_precision"), "candidate").first().candidate
+    names = train.sparkSession.createDataFrame([(n,) for n in candidates], "candidate string")
+    out = names.join(report, "candidate", "left").withColumns({"fitted": F.col("n").isNotNull(), "chosen": F.col("candidate") == best})
+    return out, probabilities(models[best], test)

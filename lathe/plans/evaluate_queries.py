@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lathe.operators import evaluate as e
 from lathe.operators.measures import rate
-from lathe.plans.adapters import LEGS_LINEITEM, legs_lineitem
+from lathe.functions.scalars import platt
+from lathe.plans.adapters import CUTOFF, LEGS_LINEITEM, legs_lineitem
 from lathe.plans.base import query
 
 SCORED = LEGS_LINEITEM + ", s AS (SELECT *, del15 AS y, arr_delay AS delay FROM flown WHERE del15 IS NOT NULL)"
@@ -159,3 +160,28 @@ def drift_by_carrier(spark, d):
     base = s.agg(F.avg("v")).scalar()
     out = s.groupBy("carrier").agg(F.count("*").alias("n"), before.alias("b"), after.alias("a"), F.avg("v").alias("m")).where("n >= 1000")
     return out.select("carrier", F.round("b", 9).alias("before"), F.round("a", 9).alias("after"), F.round(F.col("a") - F.col("b"), 9).alias("drift"), F.round(rate(F.col("m"), base), 9).alias("lift"))
+
+
+_MAPPED = SCORED.replace(", s AS (", ", s0 AS (") + ", s AS (SELECT map, y, CASE map WHEN 'coarse' THEN floor(p * 10) / 10 WHEN 'turned' THEN 1 - p ELSE p END AS p FROM s0, (VALUES ('raw'), ('platt'), ('coarse'), ('turned')) v(map))"
+
+
+@query(f"""SELECT m.map, m.average_precision, m.roc_auc, round(abs(m.average_precision - r.average_precision), 6) AS pr_delta, round(abs(m.roc_auc - r.roc_auc), 6) AS roc_delta, abs(m.average_precision - r.average_precision) <= 1e-6 AND abs(m.roc_auc - r.roc_auc) <= 1e-6 AS passed
+FROM ({_ranking("map").replace(f"WITH {SCORED}", f"WITH {_MAPPED}")}) m, ({_ranking("map").replace(f"WITH {SCORED}", f"WITH {_MAPPED}")}) r WHERE r.map = 'raw'""")
+def calibration_gate(spark, d):
+    """A rising map keeps the ranking; one that ties scores and one that turns them don't."""
+    maps = {"platt": platt(F.col("p"), 1.3, -0.4), "coarse": F.floor(F.col("p") * 10) / 10, "turned": 1 - F.col("p")}
+    return e.ranking_kept(scored(spark, d), maps).withColumns({c: F.round(c, 6) for c in ("pr_delta", "roc_delta")})
+
+
+_DRIFT = SCORED.replace(", s AS (", ", s0 AS (") + f", s AS (SELECT CASE WHEN service_date < DATE '{CUTOFF}' THEN 'old' ELSE 'new' END AS part, y, CASE WHEN service_date < DATE '{CUTOFF}' THEN 0.5 * p + 0.5 * y::INT ELSE 0.8 * p + 0.2 * y::INT END AS p FROM s0)"
+
+
+@query(f"""WITH k AS ({_ranking("part").replace(f"WITH {SCORED}", f"WITH {_DRIFT}")}),
+x AS (WITH {_DRIFT} SELECT part, round(sum(gap) / sum(n), 9) AS ece FROM (SELECT part, count(*) AS n, abs(sum(p) - sum(y::INT)) AS gap FROM s GROUP BY part, {_BIN}) GROUP BY part),
+w AS (SELECT a.roc_auc AS roc_auc_before, b.ece AS ece_before, c.roc_auc AS roc_auc_after, d.ece AS ece_after FROM k a, x b, k c, x d WHERE a.part = 'old' AND b.part = 'old' AND c.part = 'new' AND d.part = 'new')
+SELECT *, round(1 - (roc_auc_after - 0.5) / (roc_auc_before - 0.5), 4) AS margin_loss, round(ece_after / ece_before - 1, 4) AS ece_growth, ece_after / ece_before - 1 > 1 - (roc_auc_after - 0.5) / (roc_auc_before - 0.5) AS calibration_decays_first FROM w""")
+def drift_report(spark, d):
+    """What ranking and calibration lose between two windows of time."""
+    late, old = F.col("y").cast("int"), F.col("service_date") < F.lit(CUTOFF).cast("date")
+    s = scored(spark, d).select("y", F.when(old, "old").otherwise("new").alias("part"), F.when(old, 0.5 * F.col("p") + 0.5 * late).otherwise(0.8 * F.col("p") + 0.2 * late).alias("p"))
+    return e.drift(s, "part", "old", "new")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,3 +92,46 @@ def absent_parts(spark: SparkSession, folder: str, names: Sequence[str]) -> list
     root = jvm.org.apache.hadoop.fs.Path(folder)
     store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [n for n in names if not store.exists(jvm.org.apache.hadoop.fs.Path(root, n))]
+
+
+#: Written last: a folder that has it is a published run and never changes.
+MARKER = "_PUBLISHED.json"
+
+
+def publish(spark: SparkSession, run: str, target: str, required: Sequence[str]) -> DataFrame:
+    """Copies a run's files to target and writes MARKER there, with their sizes and digests; gives that manifest (name, bytes, sha256).
+
+    Refuses a run without one of the required files, and a target that is published. The copy is staged beside the target, read back and held against
+    the source's digests, and moved into place by one rename; what an interrupted copy left is replaced. Digests are taken where the files
+    are read, one file a task; names starting with _ or . are no part of a run. Any store that Spark's file system layer reaches will do.
+    """
+    absent = absent_parts(spark, run, required)
+    if absent:
+        raise ValueError(f"the run lacks {absent}")
+    if not absent_parts(spark, target, [MARKER]):
+        raise ValueError(f"{target} is published and doesn't change")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    source, final, staged = path(run), path(target), path(target.rstrip("/") + "-staged")
+    store, there = source.getFileSystem(conf), final.getFileSystem(conf)
+    there.delete(staged, True)
+    there.mkdirs(staged)
+    names = [f.getPath().getName() for f in store.listStatus(source) if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    for name in names:
+        jvm.org.apache.hadoop.fs.FileUtil.copy(store, path(source, name), there, path(staged, name), False, conf)
+
+    def digests(folder: str) -> list[tuple]:
+        read = spark.read.format("binaryFile").load(folder)
+        rows = read.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+        return sorted(map(tuple, rows.collect()))
+
+    manifest = digests(run)
+    if digests(staged.toString()) != manifest:
+        raise ValueError("the copy differs from the run")
+    there.delete(final, True)
+    if not there.rename(staged, final):
+        raise ValueError(f"{target} couldn't be put in place")
+    out = there.create(path(final, MARKER), False)
+    out.write(bytearray(json.dumps({"files": [dict(zip(("name", "bytes", "sha256"), r, strict=True)) for r in manifest], "required": sorted(required)}, indent=1).encode()))
+    out.close()
+    return spark.createDataFrame(manifest, "name string, bytes long, sha256 string")
