@@ -80,17 +80,25 @@ def trailing_counts(points: DataFrame, events: DataFrame, key: str, ts: str, wit
 def two_level_as_of(left: DataFrame, right: DataFrame, key: str, ts: str, issued: str, valid: str, values: Sequence[str], within: int) -> DataFrame:
     """For each left row: of issues at most `within` seconds old the latest that has a group valid by ts, and of it the latest group.
 
-    Falling back to an earlier issue and picking the group are one choice, the largest (issued, valid), so candidates meet by
-    key and span of time and one aggregation keeps one.
+    Falling back to an earlier issue and picking the group are one choice, the largest (issued, valid). A group is known from the later of both on, which is within the
+    same look-back, so as in trailing_counts() groups are copied to their own span of time and the next, and a running maximum by that instant finds the choice: no pair is listed.
     """
-    span = lambda c: F.floor(_seconds(F.col(c)) / within)
-    ours = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_span", span(ts))
-    theirs = right.select(F.col(key).alias("_key"), F.col(issued).alias("_issued"), F.col(valid).alias("_valid"), *[F.col(v).alias(f"_{v}") for v in values], F.explode(F.array(span(issued), span(issued) + 1)).alias("_in"))
-    on = (F.col(key) == F.col("_key")) & (F.col("_span") == F.col("_in")) & (F.col("_issued") <= F.col(ts)) & (_seconds(F.col("_issued")) >= _seconds(F.col(ts)) - within) & (F.col("_valid") <= F.col(ts))
-    pairs = ours.join(theirs, on, "left")
-    best = F.max(F.when(F.col("_issued").isNotNull(), F.struct("_issued", "_valid", *[f"_{v}" for v in values])))
-    out = pairs.groupBy("_row", *left.columns).agg(best.alias("_best"))
-    return out.select(*left.columns, F.col("_best._issued").alias(issued), F.col("_best._valid").alias(valid), *[F.col(f"_best._{v}").alias(v) for v in values])
+    known_at = F.greatest(_micros(F.col(issued)), _micros(F.col(valid)))
+    span = lambda micros: F.floor(micros / (within * 1_000_000))
+    usable = right.where(F.col(key).isNotNull() & F.col(issued).isNotNull() & F.col(valid).isNotNull())
+    theirs = usable.select(F.col(key).alias("_key"), known_at.alias("_at"), F.struct(F.col(issued).alias("issued"), F.col(valid).alias("valid"), *[F.col(v).alias(v) for v in values]).alias("_group"), F.explode(F.array(span(known_at), span(known_at) + 1)).alias("_span"))
+    # Rows without a key or an instant have no match, and skip the windows, so that they never meet in one task.
+    whole = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    ours = left.where(whole).withColumns({"_key": F.col(key), "_at": _micros(F.col(ts)), "_span": span(_micros(F.col(ts))), "_ours": F.lit(True)})
+    frame = W.Window.partitionBy("_key", "_span").orderBy("_at").rangeBetween(-within * 1_000_000, 0)
+    both = ours.unionByName(theirs, allowMissingColumns=True).withColumn("_best", F.max("_group").over(frame)).where("_ours")
+    best = F.when(_micros(F.col("_best.issued")) >= F.col("_at") - within * 1_000_000, F.col("_best"))
+    out = both.withColumn("_best", best).unionByName(left.where(~whole), allowMissingColumns=True)
+    return out.select(*left.columns, F.col("_best.issued").alias(issued), F.col("_best.valid").alias(valid), *[F.col(f"_best.{v}").alias(v) for v in values])
+
+
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0088) -> Column:
@@ -103,8 +111,9 @@ def nearest(points: DataFrame, sites: DataFrame, point: str, site: str, cell: fl
     """point, site, distance_km: each point's nearest site (ties to the smaller site); both have lat and lon.
 
     Sites are looked up by cells of `cell` degrees around the point. A find is final if it is nearer than anything outside the
-    cells searched can be; points without one look in cells three times as wide, and only those that are left after the
-    widenings (far from all sites, or at a pole) meet all sites, as a block. Coordinates that are null take no part.
+    cells searched can be; points without one look in cells three times as wide. Those that are left after the widenings (far from all sites, or at a pole) go by
+    the cubes of space that hold sites, of which there are some hundreds at most, however many sites: they meet the sites of the cubes that
+    may hold the nearest. Coordinates that are null take no part.
     """
     known = sites.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(site), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
     rest = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(point, "lat", "lon").distinct()
@@ -118,12 +127,35 @@ def nearest(points: DataFrame, sites: DataFrame, point: str, site: str, cell: fl
         sure = F.coalesce(F.col("b.km") <= sure_km, F.lit(False))
         found.append(close.where(sure))
         rest = close.where(~sure).drop("b")
-    out = rest.join(known, F.lit(True)).groupBy(point, "lat", "lon").agg(best)
+    out = _in_cubes(rest, known).groupBy(point, "lat", "lon").agg(best)
     for part in found:
         out = out.unionByName(part)
     return out.select(point, F.col("b.site").alias(site), F.round("b.km", 2).alias("distance_km"))
 
 
+def _in_cubes(points: DataFrame, known: DataFrame, edge: float = 0.2) -> DataFrame:
+    """points with the sites of every cube of space that may hold their nearest site, on a sphere of radius 1.
+
+    A site in a cube is within half a diagonal of the cube's middle, so the least distance to a middle plus that is a bound, and cubes whose middle is farther than
+    the bound plus half a diagonal hold no nearer site. A sphere touches at most 6 * (2 / edge + 2) ** 2 cubes, 864 here: that many middles are one row's array.
+    """
+    def space(lat: Column, lon: Column) -> list[Column]:
+        a, b = F.radians(lat), F.radians(lon)
+        return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+
+    def cube(at: list[Column]) -> Column:
+        return F.struct(*[F.floor(c / edge).cast("int").alias(n) for c, n in zip(at, "xyz", strict=True)])
+
+    half = edge * math.sqrt(3) / 2
+    sites = materialise(known.withColumn("_cube", cube(space(F.col("_lat"), F.col("_lon")))), "cubes")
+    held = sites.agg(F.collect_set("_cube").alias("c")).scalar()
+    at = points.withColumns(dict(zip(("_x", "_y", "_z"), space(F.col("lat"), F.col("lon")), strict=True)))
+    away = lambda c: F.sqrt(sum((F.pow((c[n] + 0.5) * edge - F.col(f"_{n}"), 2) for n in "yz"), F.pow((c["x"] + 0.5) * edge - F.col("_x"), 2)))
+    measured = at.withColumn("_held", held).withColumn("_far", F.transform("_held", lambda c: F.struct(away(c).alias("d"), c.alias("c")))).withColumn("_most", F.array_min("_far")["d"] + 2 * half + 1e-9)
+    asked = measured.withColumn("_cube", F.explode(F.filter("_far", lambda f: f["d"] <= F.col("_most")))).withColumn("_cube", F.col("_cube.c"))
+    return asked.drop("_x", "_y", "_z", "_held", "_far", "_most").join(sites, "_cube").drop("_cube")
+
+
 def _in_cells(points: DataFrame, known: DataFrame, cell: float) -> DataFrame:
     """points with the sites of their own and the eight neighbouring cells of `cell` degrees, or none."""
     columns = int(360 // cell)

@@ -103,3 +103,45 @@ def test_settlement_counts_every_event_once(spark):
         assert counts == replayed(risks, outcomes, dt.timedelta(hours=6))
         pairs = sum(counts.get(c, 0) for c in ("warmup", "cancelled", "unlabelled", "scored"))
         assert 2 * pairs + sum(v for c, v in counts.items() if c.startswith(("risk", "orphan", "dup"))) == len(risks) + len(outcomes)
+
+
+def test_nearest_of_far_points_needs_no_product(spark):
+    """Sites on one side of the globe, points everywhere and at the poles: all that the cells leave goes by cubes."""
+    import math
+
+    rng = random.Random(6)
+    sites = [(i, rng.uniform(-5, 5), rng.uniform(-5, 5)) for i in range(60)] + [(70, 90.0, 0.0), (71, 3.0, 180.0), (72, 3.0, -180.0)]
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(150)] + [(900, 90.0, 77.0), (901, -90.0, 0.0), (902, 3.0, 179.9)]
+
+    def km(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(math.sqrt(min(1, h)))
+
+    out = j.nearest(spark.createDataFrame(points, "point long, lat double, lon double"), spark.createDataFrame(sites, "site long, lat double, lon double"), "point", "site", cell=2.0, widenings=0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    got = {r.point: r for r in out.collect()}
+    assert len(got) == len(points) and all(abs(got[p[0]].distance_km - min(km(p, s) for s in sites)) < 0.01 and abs(km(p, next(s for s in sites if s[0] == got[p[0]].site)) - got[p[0]].distance_km) < 0.01 for p in points)
+
+
+def test_two_level_as_of_against_brute_force(spark):
+    from datetime import datetime, timedelta
+
+    rng, start, within = random.Random(2), datetime(2024, 1, 1), 6 * 3600
+    at = lambda h: None if h is None else start + timedelta(minutes=30 * h)
+    left = [(n, rng.choice(["a", "b", None]), rng.choice([None, *range(60)])) for n in range(150)] + [(500, "a", 20)] * 2
+    right = [(rng.choice(["a", "b", None]), rng.choice([None, *range(60)]), rng.choice([None, *range(70)]), n) for n in range(120)]
+    out = j.two_level_as_of(
+        spark.createDataFrame([(n, k, at(t)) for n, k, t in left], "n long, k string, ts timestamp_ntz"),
+        spark.createDataFrame([(k, at(i), at(v), n) for k, i, v, n in right], "k string, issued timestamp_ntz, valid timestamp_ntz, value long"), "k", "ts", "issued", "valid", ["value"], within,
+    )
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    want = []
+    for n, k, t in left:
+        found = [(i, v, x) for kk, i, v, x in right if k is not None and kk == k and None not in (t, i, v) and i <= t and v <= t and t - i <= 12]
+        best = max(found, default=(None, None, None))
+        want.append((n, at(best[0]), at(best[1]), best[2]))
+    key = lambda r: str(r)
+    assert sorted(((r.n, r.issued, r.valid, r.value) for r in out.collect()), key=key) == sorted(want, key=key)
