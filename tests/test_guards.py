@@ -118,3 +118,20 @@ def test_grid_at_an_instant(spark):
     assert grid_at(spark, {"temperature": layer("wmoUnit:degF", ("2024-01-01T00:00:00+00:00/P1D", 1.0))}, "2024-01-01T01:00:00Z")["has_weather"] == 0.0
     calm = grid_at(spark, {"temperature": layer(None, ("2024-01-01T00:00:00+00:00/P1D", 0.0)), "quantitativePrecipitation": layer("wmoUnit:mm", ("2024-01-01T00:00:00+00:00/PT30M", 25.4))}, "2024-01-01T00:10:00Z")
     assert (calm["temp_f"], calm["gust_kn"], calm["gust_reported"], calm["visibility_mi"], calm["precip_1h_in"], calm["had_fog"]) == (32.0, 0.0, 0.0, 10.0, 1.0, 0.0)
+
+
+def test_a_sound_whole_mart_breaks_no_rule(spark):
+    from lathe.operators import features
+    from lathe.plans import whole_mart_queries as whole
+
+    mart = whole.whole_mart(spark, SF)
+    assert features.mart_violations(mart, whole.CUT).count() == 0
+    assert quality.not_unique(mart, ["event_id"]).count() == 0 and 0 < mart.where("has_origin_weather").count() < mart.count()
+
+
+def test_holidays_reach_days_outside_of_the_table(spark):
+    from lathe.operators import features
+
+    days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-05')) AS day")
+    got = {str(r.day): (r.is_holiday, r.is_day_before, r.is_day_after) for r in features.holidays_padded(days, "day", F.dayofmonth("day").isin(1, 2, 4)).collect()}
+    assert got == {"2023-12-31": (False, True, False), "2024-01-01": (True, True, False), "2024-01-02": (True, False, True), "2024-01-03": (False, True, True), "2024-01-04": (True, False, False), "2024-01-05": (False, False, True)}
