@@ -35,6 +35,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas select head".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
 # Words of class and id names that usually mark what isn't the article, and words beside which the weaker of them don't.
 STRONG_WORDS = frozenset("ad ads adv advert adverts advertisement advertising comment comments commentlist commentform disqus cookie cookies newsletter promo related respond responses share sharing sidebar social sponsor sponsored subscribe".split())
@@ -92,12 +93,17 @@ def _names_aside(tag: str, names: list[list[str]]) -> bool:
     return bool(words & ASIDE_WORDS) and not words & ARTICLE_WORDS
 
 
-def parse(page: str, judge: bool = True) -> Node:
+def _surely(names: list[list[str]]) -> list[list[str]]:
+    """The names that are one word and a strong one: what `ad-free`, `related-work` or `login-wall-off` say of an element isn't sure."""
+    return [words for words in names if len(words) == 1 and words[0] in STRONG_WORDS]
+
+
+def parse(page: str, judge: bool = True, surely: bool = False) -> Node:
     """The tree of block elements with their text, mending unclosed and stray tags the way browsers do; time grows with the length.
 
     With judge, buttons, hidden elements and adverts inside a line leave no text, and blocks are marked as aside: navigation,
     footers, forms, headers outside the article, and what is named so. Names on what holds an article, a main or an h1, and a form
-    around one, are about the page and mark nothing.
+    around one, are about the page and mark nothing. With surely, names of several words and the weaker words mark nothing either.
     """
     root = Node("html")
     stack: list[tuple[str, Node]] = [("html", root)]
@@ -168,7 +174,7 @@ def parse(page: str, judge: bool = True) -> Node:
         if tag not in BLOCKS:
             if judge and not muted and tag not in VOID and not found[3].endswith("/"):
                 hidden, _, names = _attributes(found[3]) if found[3] else (False, "", [])
-                if tag == "button" or hidden or _names_aside(tag, names):
+                if tag == "button" or hidden or _names_aside(tag, _surely(names) if surely else names):
                     held.append(" ")
                     muted, nested = (tag, len(stack)), 1
             continue
@@ -187,7 +193,7 @@ def parse(page: str, judge: bool = True) -> Node:
         hidden, kind, names = _attributes(found[3]) if found[3] else (False, "", [])
         inside = parent.inside or tag in ("article", "main")
         sure = hidden or bool(muted) or (tag in ASIDE_TAGS and tag != "form") or (tag == "header" and not inside)
-        node = Node(f"{tag}.{kind}" if kind else tag, sure, inside, named=tag == "form" or _names_aside(tag, names), holds=tag in ("article", "main", "h1"))
+        node = Node(f"{tag}.{kind}" if kind else tag, sure, inside, named=tag == "form" or _names_aside(tag, _surely(names) if surely else names), holds=tag in ("article", "main", "h1"))
         parent.children.append(node)
         open_at[tag].append(len(stack))
         stack.append((tag, node))
@@ -383,11 +389,20 @@ def _in_order(root: Node) -> list[tuple[Node, str]]:
 def extract(page: str | None, wrapper: list | tuple | None = None) -> str:
     """The article: text of the varying slots that no name marks as something else.
 
-    Where article and main elements hold as much of that text as is outside of them, h1 apart, what is outside is left out.
+    Where article and main elements hold as much of that text as is outside of them, h1 apart, what is outside is left out. Names aren't believed against a
+    whole page: where they leave no text but headings, only those that are sure mark anything, if that leaves more.
     """
     if not page:
         return ""
-    tree = parse(page)
+    text, body = _article(parse(page), wrapper)
+    if not body:
+        more, body = _article(parse(page, surely=True), wrapper)
+        text = more if body else text
+    return text
+
+
+def _article(tree: Node, wrapper: list | tuple | None) -> tuple[str, bool]:
+    """The text of a parsed page, and whether it is more than headings."""
     dropped: set[int] = set()
     if wrapper:
         dropped = _template(folded(tree), _grown(wrapper) if isinstance(wrapper, list) else wrapper)
@@ -395,7 +410,8 @@ def extract(page: str | None, wrapper: list | tuple | None = None) -> str:
     inside = sum(len(n.text) for n, _ in kept if n.inside)
     outside = sum(len(n.text) for n, label in kept if not n.inside and label.split(".")[0] != "h1")
     narrow = 0 < outside <= inside
-    return "\n\n".join(n.text for n, label in kept if n.inside or not narrow or label.split(".")[0] == "h1")
+    shown = [(n, label.split(".")[0]) for n, label in kept if n.inside or not narrow or label.split(".")[0] == "h1"]
+    return "\n\n".join(n.text for n, _ in shown), any(label not in HEADINGS for _, label in shown)
 
 
 def main_text(pages: DataFrame, exemplars: int = EXEMPLARS) -> DataFrame:

@@ -108,6 +108,16 @@ def test_what_names_decide(html, text):
     assert wrapper.extract(html) == text
 
 
+@pytest.mark.parametrize("names", ['class="ad-free-content"', 'class="social-science"', 'id="related-work"', 'class="notice-text"', 'id="search"', 'class="page login-wall-off"'])
+@pytest.mark.parametrize("tag", ["div", "section"])
+def test_names_are_not_believed_against_a_whole_page(names, tag):
+    body = f'<nav>Home</nav><{tag} {names}><h2>Part</h2><p>One<div class="ad">Buy</div><p>Two</{tag}><footer>F</footer>'
+    assert wrapper.extract(f"<h1>T</h1>{body}") == "T\n\nPart\n\nOne\n\nTwo"
+    assert wrapper.extract(f"<h1>T</h1><p>Text{body}") == "T\n\nText"
+    for other in ("ad", "comments", "sidebar"):
+        assert wrapper.extract(f'<h1>T</h1><div class="{other}">no</div>') == "T"
+
+
 @pytest.mark.parametrize("kind", ["nested", "siblings", "classes"])
 def test_deep_and_wide_pages(kind):
     n = 30_000
