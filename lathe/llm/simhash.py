@@ -242,7 +242,7 @@ def similar(classes: DataFrame, apart: int, words: int = WORDS, segment: int = S
 
     Linked are fingerprints that differ in `apart` bits or fewer and in one bit at most of some segment: the low `segment` bits of
     a half of a word; and of these only those that verify() keeps of the pairs (a, b and any others) it is given. Values of segments meet in the one-wildcard index (neighbours()). First each fingerprint is compared with
-    the smallest id of its own and of each neighbouring value, which joins nearly all of a group however large by a row each. Then only
+    the smallest id of its own and all neighbouring values, at most one for each segment, which joins nearly all of a group however large by few rows each. Then only
     fingerprints whose groups still differ are compared, all with all but for those of a value's largest group with each other, so that
     groups are exactly those of all links though the pairs of a group are never listed.
     """
@@ -252,9 +252,9 @@ def similar(classes: DataFrame, apart: int, words: int = WORDS, segment: int = S
     values = materialise(places.groupBy("side", "value").agg(F.count("*").alias("n"), F.min("id").alias("first")), "simhash-values")
     near = materialise(neighbours(values.drop("first"), segment).select("side", "low", "high"), "simhash-neighbours")
     ways = near.select("side", F.col("low").alias("value"), F.col("high").alias("other")).unionByName(near.where("low < high").select("side", F.col("high").alias("value"), F.col("low").alias("other")))
-    targets = ways.join(values.select("side", F.col("value").alias("other"), F.col("first").alias("to")), ["side", "other"])
+    targets = ways.join(values.select("side", F.col("value").alias("other"), F.col("first")), ["side", "other"]).groupBy("side", "value").agg(F.min("first").alias("to"))
     seen = classes.select(F.col("id").alias("to"), *[F.col(f"f{k}").alias(f"t{k}") for k in range(words)])
-    targets = materialise(targets.drop("other").join(seen, "to"), "simhash-targets")
+    targets = materialise(targets.join(seen, "to"), "simhash-targets")
     members = materialise(places.join(ways.select("side", "value"), ["side", "value"], "left_semi").join(classes, "id"), "simhash-members")
     stars = members.join(targets, ["side", "value"]).where((F.col("id") != F.col("to")) & (_far(words, "f", "t") <= apart))
     asked = stars.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct()
@@ -264,7 +264,7 @@ def similar(classes: DataFrame, apart: int, words: int = WORDS, segment: int = S
 
     of = members.join(groups, members["id"] == groups["node"], "left").select("id", *f, "side", "value", F.coalesce("root", "id").alias("root"))
     shares = of.groupBy("side", "value", "root").agg(F.count("*").alias("n"))
-    mains = materialise(shares.groupBy("side", "value").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max_by("root", "n").alias("main")).where("n > 1"), "simhash-mains")
+    mains = materialise(shares.groupBy("side", "value").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max_by("root", "n").alias("main")), "simhash-mains")
     low, high = (mains.select("side", *[F.col(c).alias(f"{end}_{c}" if c != "value" else end) for c in ("value", "roots", "n", "main")]) for end in ("low", "high"))
     open_pairs = near.join(low, ["side", "low"]).join(high, ["side", "high"])
     open_pairs = open_pairs.where("NOT (low_main = high_main AND low_roots = 1 AND high_roots = 1)").withColumn("main", F.expr("if(low_main = high_main, low_main, -1)"))
