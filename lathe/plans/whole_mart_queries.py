@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lathe.operators import features, quality
+from lathe.operators import chain, features, quality, rates, requests
 from lathe.plans.adapters import legs_events, table
 from lathe.plans.base import query
 from lathe.plans.chain_queries import CHAIN_SQL
@@ -13,9 +13,14 @@ from lathe.session import materialise
 CUT = "2024-01-16"
 
 
+def outcome_legs(spark, d):
+    i = F.col("event_id")
+    return legs_events(spark, d).withColumns({"cancelled": i % 13 == 0, "del15": F.when(i % 8 > 0, i % 5 < 2), "arr_delay": (i % 120 - 40).cast("double")})
+
+
 def whole_mart(spark, d):
     i = F.col("event_id")
-    legs = legs_events(spark, d).withColumns({"cancelled": i % 13 == 0, "del15": F.when(i % 8 > 0, i % 5 < 2), "arr_delay": (i % 120 - 40).cast("double")})
+    legs = outcome_legs(spark, d)
     seen = table(spark, d, "events").where("event_type IN ('view', 'click')")
     readings = [F.round(F.col("value") + 20, 6).alias("temp_f"), F.round(F.col("value") / 4, 6).alias("wind_kn"), F.when(i % 3 == 0, F.round(F.col("value") / 2, 6)).alias("gust_kn"), (i % 3 == 0).alias("gust_reported"), F.round(F.col("value") / 3, 6).alias("visibility_mi"), F.round(F.col("value") / 100, 6).alias("precip_in"), (i % 4 == 0).alias("had_fog"), (i % 6 == 0).alias("had_rain")]
     observations = seen.select((10 + i % 2).alias("station"), "ts", *readings)
@@ -65,3 +70,54 @@ def check_whole_mart(spark, d):
         "is_training_row": F.when(i == 6, ~F.col("is_training_row")).otherwise(F.col("is_training_row")), "hist_carrier_rate": F.when(i == 7, F.col("hist_carrier_rate") + 1).otherwise(F.col("hist_carrier_rate")),
     }
     return quality.counts_of(features.mart_violations(mart.withColumns(faults), CUT))
+
+
+_ASKED = """asked AS (SELECT event_id AS request_id, carrier, CASE WHEN event_id % 23 = 0 THEN 9 ELSE origin END AS origin, dest, service_date + 30 AS flight_date, strftime(dep_ts, '%H:%M') AS dep_time, strftime(dep_ts + INTERVAL 2 HOUR, '%H:%M') AS arr_time,
+  CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN -5.0 WHEN 2 THEN 'nan'::DOUBLE ELSE distance::DOUBLE END AS distance, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'nan'::DOUBLE WHEN 2 THEN 0.0 ELSE 3.0 END AS density,
+  CASE WHEN event_id % 3 > 0 THEN 1 + event_id % 7 END AS rotation_position, CASE WHEN event_id % 6 <> 1 THEN event_id % 4 END AS legs_today, CASE WHEN event_id % 7 > 0 THEN event_id % 10 * 100 END AS turnaround_min,
+  CASE WHEN event_id % 11 > 0 THEN event_id % 9 * 100 END AS inbound_distance, CASE WHEN event_id % 13 > 0 THEN 60 END AS inbound_elapsed_min FROM legs)"""
+_USE = "CASE WHEN {0} > 0 AND isfinite({0}) THEN {0} ELSE {1} END"
+_PAST = {"route": ("route", "a.route"), "carrier": ("carrier", "a.carrier"), "origin": ("airport", "CAST(a.origin AS VARCHAR)"), "dest": ("airport", "CAST(a.dest AS VARCHAR)"), "band": ("band", "CASE WHEN turnaround_min IS NULL THEN 'no_inbound' WHEN turnaround_min < 35 THEN 'lt_35' WHEN turnaround_min < 60 THEN '35_60' WHEN turnaround_min < 120 THEN '60_120' ELSE 'ge_120' END"), "position": ("position", "coalesce(CAST(CAST(least(floor(rotation_position), 6) AS BIGINT) AS VARCHAR), '3')")}
+
+
+@query(f"""WITH {WHOLE_SQL}, {_ASKED},
+history AS (SELECT level, key, n, round((n * rate + 50 * g_rate) / (n + 50), 9) AS rate, round((n * delay + 50 * g_delay) / (n + 50), 9) AS delay FROM rates, prior),
+far AS (SELECT origin || '-' || dest AS route, min(distance)::DOUBLE AS d FROM legs GROUP BY 1),
+dens AS (SELECT origin, hour(dep_ts) AS h, isodow(service_date) AS wd, quantile_disc(density, 0.5)::DOUBLE AS m FROM (SELECT DISTINCT origin, service_date, date_trunc('hour', dep_ts) AS dep_ts, density FROM chain) GROUP BY 1, 2, 3),
+typ AS (SELECT quantile_disc(rotation_position, 0.5)::DOUBLE AS tp, quantile_disc(legs_today, 0.5)::DOUBLE AS tl, quantile_disc(turnaround_min, 0.5)::DOUBLE AS tt, quantile_disc(inbound_distance, 0.5)::DOUBLE AS td, quantile_disc(inbound_elapsed_min, 0.5)::DOUBLE AS te FROM chain),
+b AS (SELECT asked.*, origin || '-' || dest AS route, rotation_position IS NOT NULL AS given, typ.* FROM asked, typ),
+g AS (SELECT *, CASE WHEN given THEN turnaround_min ELSE tt END AS gap FROM b),
+a AS (SELECT request_id, carrier, g.origin, dest, flight_date, dep_time, arr_time, {_USE.format("g.distance", "far.d")} AS distance, {_USE.format("g.density", "dens.m")} AS density, g.route,
+  CASE WHEN given THEN rotation_position::DOUBLE ELSE tp END AS rotation_position, CASE WHEN given THEN greatest(coalesce(legs_today, tl), rotation_position)::DOUBLE ELSE tl END AS legs_today, CASE WHEN gap BETWEEN 0 AND 840 THEN gap::DOUBLE END AS turnaround_min,
+  CASE WHEN gap BETWEEN 0 AND 840 THEN nullif(CASE WHEN given THEN coalesce(inbound_distance, td) ELSE td END, 0)::DOUBLE END AS inbound_distance, CASE WHEN gap BETWEEN 0 AND 840 THEN (CASE WHEN given THEN coalesce(inbound_elapsed_min, te) ELSE te END)::DOUBLE END AS inbound_elapsed_min,
+  CAST(split_part(dep_time, ':', 1) AS INTEGER) AS dep_hour, CAST(split_part(arr_time, ':', 1) AS INTEGER) AS arr_hour, CAST(isodow(flight_date) AS INTEGER) AS weekday, CAST(month(flight_date) AS INTEGER) AS month, coalesce(gap BETWEEN 0 AND 840, false) AS has_inbound_leg,
+  CASE WHEN given THEN 'provided' ELSE 'typical' END AS rotation_context, CASE WHEN g.density > 0 AND isfinite(g.density) THEN 'provided' ELSE 'estimated' END AS density_source
+  FROM g LEFT JOIN far ON far.route = g.route LEFT JOIN dens ON dens.origin = g.origin AND dens.h = CAST(split_part(dep_time, ':', 1) AS INTEGER) AND dens.wd = isodow(flight_date))
+SELECT a.*, turnaround_min - 35 AS slack_min, coalesce(turnaround_min < 35, false) AS is_tight, {", ".join(f"h_{n}.n AS hist_{n}_n, h_{n}.rate AS hist_{n}_rate, h_{n}.delay AS hist_{n}_delay" for n in _PAST)}
+FROM a {" ".join(f"LEFT JOIN history h_{n} ON h_{n}.level = '{level}' AND h_{n}.key = {key}" for n, (level, key) in _PAST.items())}""")
+def request_batch(spark, d):
+    """Every event as a request, with values that can't be used and blocks that are given in part or not at all."""
+    i = F.col("event_id")
+    legs = outcome_legs(spark, d)
+    linked = materialise(chain.link(legs).withColumn("route", F.concat_ws("-", "origin", "dest")), "linked")
+    done = linked.where(~F.col("cancelled") & F.col("del15").isNotNull())
+    levels = {"route": F.col("route"), "carrier": F.col("carrier"), "airport": F.col("origin"), "band": F.col("band"), "position": F.col("position_key")}
+    known = materialise(rates.level_rates(done, levels, CUT), "rates")
+    prior = rates.global_rate(known, "carrier")
+    smooth = {c: F.round(rates.smoothed(F.col("n"), F.col(v), prior.select(g).scalar()), 9) for c, v, g in (("rate", "rate", "global_rate"), ("delay", "avg_delay", "global_delay"))}
+    history = known.select("level", "key", "n", *[c.alias(n) for n, c in smooth.items()])
+    distances = linked.groupBy("route").agg(F.min("distance").alias("distance"))
+    slots = linked.select("origin", "service_date", F.hour(F.col("dep_ts").cast("timestamp")).alias("dep_hour"), "density").distinct()
+    median = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})")
+    densities = slots.groupBy("origin", "dep_hour", (F.weekday("service_date") + 1).alias("weekday")).agg(median("density").alias("density"))
+    named = dict(zip(requests.TYPICAL, ("rotation_position", "legs_today", "turnaround_min", "inbound_distance", "inbound_elapsed_min"), strict=True))
+    typical = linked.agg(*[median(c).alias(n) for n, c in named.items()])
+    clock = lambda ts: F.date_format(ts, "HH:mm")
+    nan = F.lit(float("nan"))
+    asked = legs.select(
+        i.alias("request_id"), "carrier", F.when(i % 23 == 0, 9).otherwise(F.col("origin")).cast("long").alias("origin"), "dest", F.date_add("service_date", 30).alias("flight_date"), clock(F.col("dep_ts")).alias("dep_time"), clock(F.timestamp_add("HOUR", F.lit(2), F.col("dep_ts"))).alias("arr_time"),
+        F.when(i % 4 == 1, -5.0).when(i % 4 == 2, nan).when(i % 4 == 3, F.col("distance").cast("double")).alias("distance"), F.when(i % 5 == 1, nan).when(i % 5 == 2, 0.0).when(i % 5 > 2, 3.0).alias("density"),
+        F.when(i % 3 > 0, 1 + i % 7).alias("rotation_position"), F.when(i % 6 != 1, i % 4).alias("legs_today"), F.when(i % 7 > 0, i % 10 * 100).alias("turnaround_min"), F.when(i % 11 > 0, i % 9 * 100).alias("inbound_distance"), F.when(i % 13 > 0, 60).alias("inbound_elapsed_min"),
+    )
+    sides = (materialise(t, n) for t, n in ((history, "history"), (distances, "distances"), (densities, "densities"), (typical, "typical")))
+    return requests.assemble_requests(asked, *sides)
