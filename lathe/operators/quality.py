@@ -173,3 +173,19 @@ def _walk(one: Column, two: Column, kind: DataType, path: Column) -> Column:
         same_kind = F.when(one.isNotNull() & two.isNotNull(), inner).otherwise(_difference(path, shown(one), shown(two)))
         return F.when(one.isNull() & two.isNull(), _nothing()).otherwise(same_kind)
     return F.when(one.eqNullSafe(two), _nothing()).otherwise(_difference(path, one.cast("string"), two.cast("string")))
+
+
+def not_single(parents: DataFrame, key: str, rows: DataFrame, of: str) -> DataFrame:
+    """(key, rows) of the parents' keys that have no row, or more than one, in `of` of rows; null keys take no part."""
+    held = rows.groupBy(F.col(of).alias("_of")).agg(F.count("*").alias("rows"))
+    keys = parents.select(key).where(F.col(key).isNotNull()).distinct()
+    return keys.join(held, F.col(key) == F.col("_of"), "left").select(key, F.coalesce("rows", F.lit(0)).alias("rows")).where("rows <> 1")
+
+
+def months_of(df: DataFrame, day: str) -> DataFrame:
+    """(month, rows) of every month from the first to the last of a table, as its first day; months without a row have 0."""
+    month = F.trunc(F.col(day).cast("date"), "MM")
+    held = df.where(F.col(day).isNotNull()).groupBy(month.alias("month")).agg(F.count("*").alias("rows"))
+    span = held.agg(F.min("month").alias("lo"), F.max("month").alias("hi")).where("lo IS NOT NULL")
+    every = span.select(F.explode(F.expr("sequence(lo, hi, INTERVAL 1 MONTH)")).alias("month"))
+    return every.join(held, "month", "left").select("month", F.coalesce("rows", F.lit(0)).alias("rows"))

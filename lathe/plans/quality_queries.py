@@ -89,3 +89,18 @@ def check_months_complete(spark, d):
 def check_singleton(spark, d):
     one = table(spark, d, "orders").agg(F.median("o_totalprice"))
     return one.agg(F.count("*").alias("rows"), (F.count("*") == 1).alias("singleton"))
+
+
+@query("""WITH s AS (SELECT s_nationkey AS n, count(*) AS rows FROM supplier WHERE s_suppkey % 4 = 0 GROUP BY 1)
+SELECT n_nationkey, coalesce(rows, 0) AS rows FROM nation LEFT JOIN s ON n = n_nationkey WHERE coalesce(rows, 0) <> 1""")
+def check_one_per_nation(spark, d):
+    """Nations that don't have exactly one of some suppliers."""
+    return quality.not_single(table(spark, d, "nation"), "n_nationkey", table(spark, d, "supplier").where("s_suppkey % 4 = 0"), "s_nationkey")
+
+
+@query("""WITH l AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders WHERE o_custkey % 50 = 7 AND o_totalprice > 200000)
+SELECT CAST(g AS DATE) AS month, (SELECT count(*) FROM l WHERE m = CAST(g AS DATE)) AS rows FROM (SELECT unnest(generate_series((SELECT min(m) FROM l), (SELECT max(m) FROM l), INTERVAL 1 MONTH)) AS g)""")
+def months_of_large_orders(spark, d):
+    """Every month between the first and the last large order of some customers, also those without one."""
+    large = table(spark, d, "orders").where("o_custkey % 50 = 7 AND o_totalprice > 200000")
+    return quality.months_of(large, "o_orderdate")
