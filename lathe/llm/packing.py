@@ -18,8 +18,8 @@ from lathe.session import materialise
 
 #: Tokens of a sequence and the id that ends a document.
 WINDOW, END = 2048, 1
-#: Words whose ids a task keeps; once full, others are encoded again each time they come.
-CACHED = 50_000
+#: Words whose ids a task keeps, and characters of the longest it does, which bound the cache's bytes; once full, others are encoded again each time they come.
+CACHED, LONGEST = 50_000, 64
 _RUN = re.compile(r"\s\s")
 #: White space that the pattern takes as one piece; runs from here on are cut out, as the pattern's engine gives up on a million characters.
 _LONG = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
@@ -33,7 +33,7 @@ class _WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         ids = array("H", self.encode(" " + word)).tobytes()
-        if len(self) < self.most:
+        if len(self) < self.most and len(word) <= LONGEST:
             self[word] = ids
         return ids
 
@@ -94,14 +94,14 @@ def public_added() -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(whole)["added_tokens"]}
 
 
-def tokenise(docs: DataFrame, vocabulary: tuple[str, str] | None = None, end: int = END, added: Mapping[str, int] | None = None) -> DataFrame:
+def tokenise(docs: DataFrame, vocabulary: tuple[str, str] | None = None, end: int = END, added: Mapping[str, int] | None = None, cached: int = CACHED) -> DataFrame:
     """docs (doc_id, text) to doc_id, ids (16-bit binary, with the end id), part (task) and at (ids of the task before it)."""
     path, pattern = vocabulary or public_vocabulary()
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("at", pa.int64())])
     last = array("H", [end]).tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, at = encoder(path, pattern, added=added), 0
+        of, at = encoder(path, pattern, cached, added), 0
         for batch in batches:
             ids = [of(text or "") + last for text in batch.column("text").to_pylist()]
             starts = []
@@ -114,7 +114,7 @@ def tokenise(docs: DataFrame, vocabulary: tuple[str, str] | None = None, end: in
     return marked.mapInArrow(encoded, "doc_id long, ids binary, part int, at long")
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: tuple[str, str] | None = None, end: int = END, added: Mapping[str, int] | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: tuple[str, str] | None = None, end: int = END, added: Mapping[str, int] | None = None, cached: int = CACHED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (16-bit binary), ids_crc32, doc_tokens, sequence_id, offset.
 
     First pass: each task encodes its documents and counts ids; the result is a table in the shared scratch folder, so that
@@ -123,9 +123,9 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: tuple[str, str] | No
     boundary gives a record on either side. Every id is in exactly one piece, and only the last sequence is not full.
 
     Null and empty texts are the end id alone. Names in added become its ids wherever a text holds them; without it they are
-    plain text. A null doc_id and repeated rows are documents like others. No rows: no pieces. Extra columns are left out. The order of documents is that of the input's partitions.
+    plain text. cached words, some 160 bytes each, are kept by a task. A null doc_id and repeated rows are documents like others. No rows: no pieces. Extra columns are left out. The order of documents is that of the input's partitions.
     """
-    encoded = materialise(tokenise(docs, vocabulary, end, added), "pack-ids")
+    encoded = materialise(tokenise(docs, vocabulary, end, added, cached), "pack-ids")
     totals = encoded.groupBy("part").agg(F.max(F.col("at") + F.expr("octet_length(ids) div 2")).alias("tokens"))
     before = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
     offsets = materialise(totals.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("before")), "pack-offsets")

@@ -124,7 +124,7 @@ def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_concat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), added=packing.public_added())
+    pieces = packing.pack(table(spark, sf_dir, "documents"), added=packing.public_added(), cached=400_000)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
