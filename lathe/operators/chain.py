@@ -75,9 +75,9 @@ def exposure(legs: DataFrame, weight: Column, order: Sequence[str] = ("dep_ts",
     return out.unionByName(unnamed.withColumns({"later_legs": F.lit(0), "later_weight": F.lit(0), "later_unknown": F.lit(0)}), allowMissingColumns=True)
 
 
-def seams(legs: DataFrame, arrival_order: str, ts: str = "dep_ts") -> DataFrame:
-    """Legs that come, in order of arrival, no later than their tail's leg before them."""
-    w = W.Window.partitionBy("tail").orderBy(arrival_order)
+def seams(legs: DataFrame, arrival_order: str, ts: str = "dep_ts", row: str = "event_id") -> DataFrame:
+    """Legs that come, in order of arrival (of equals by row, which is unique), no later than their tail's leg before them."""
+    w = W.Window.partitionBy("tail").orderBy(arrival_order, row)
     return legs.where("tail IS NOT NULL").withColumn("_before", F.lag(ts).over(w)).where(F.col(ts) <= F.col("_before")).drop("_before")
 
 

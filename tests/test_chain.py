@@ -69,3 +69,11 @@ def test_partitions_do_not_matter(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     one = sorted(map(str, chain.link(df.coalesce(1)).collect()))
     assert one == sorted(map(str, chain.link(df.repartition(9)).collect()))
+
+
+def test_seams_of_equal_arrival_go_by_row(spark):
+    """Legs of one arrival come in the order of their ids, however the rows lie."""
+    rows = [(i, "t", DAY + dt.timedelta(minutes=m), 0) for i, m in ((1, 30), (2, 10), (3, 20), (4, 20))]
+    for laid in (rows, rows[::-1]):
+        df = spark.createDataFrame(laid, "event_id long, tail string, dep_ts timestamp_ntz, arrival long").coalesce(1)
+        assert sorted(r.event_id for r in chain.seams(df, "arrival").collect()) == [2, 4]
