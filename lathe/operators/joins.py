@@ -107,62 +107,87 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def nearest(points: DataFrame, sites: DataFrame, point: str, site: str, cell: float = 10.0, widenings: int = 1) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, point: str, site: str, cell: float = 10.0, widenings: int = 1, in_cell: float = 2.0) -> DataFrame:
     """point, site, distance_km: each point's nearest site (ties to the smaller site); both have lat and lon.
 
-    Sites are looked up by cells of `cell` degrees around the point. A find is final if it is nearer than anything outside the
-    cells searched can be; points without one look in cells three times as wide. Those that are left after the widenings (far from all sites, or at a pole) go by
-    the cubes of space that hold sites, of which there are some hundreds at most, however many sites: they meet the sites of the cubes that
+    Sites are looked up by cubes of space around the point, which are as wide at a pole as elsewhere. The first cubes are as narrow (as wide as `cell` degrees at most) as leaves `in_cell` places of sites to
+    one of those that hold any, so what a point meets doesn't grow with the sites. A find is final if it is nearer than anything outside the cubes searched can be; points without one look in cubes
+    three times as wide, up to `cell` and then `widenings` times more. Those that are left after that are far from all sites and go by
+    the cubes that hold sites, of which there are some hundreds at most, however many sites: they meet the sites of the cubes that
     may hold the nearest. Coordinates that are null take no part.
     """
-    known = sites.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(site), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    rest = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(point, "lat", "lon").distinct()
-    distance = haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
-    best = F.min(F.when(F.col(site).isNotNull(), F.struct(distance.alias("km"), F.col(site).alias("site")))).alias("b")
+    placed = sites.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col(site).isNotNull())
+    known = materialise(placed.groupBy(F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).agg(F.min(site).alias(site)), "sites")
+    edge = math.radians(cell)
+    n, held = known.agg(F.count("*"), F.count_distinct(_cube(F.col("_lat"), F.col("_lon"), edge))).first()
+    widths, widest = [min(edge, edge * math.sqrt(in_cell * held / n)) if n else edge], edge * 3**widenings
+    while widths[-1] < widest:
+        widths.append(min(widest, widths[-1] * 3))
+    rest = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(point, "lat", "lon")
+    best = F.min("_b").alias("b")
     found = []
-    for width in (cell * 3**i for i in range(widenings + 1)):
-        close = materialise(_in_cells(rest, known, width).groupBy(point, "lat", "lon").agg(best), "nearest")
-        # Outside its 3 x 3 cells a site is a cell's width away at least, which narrows towards the poles.
-        sure_km = F.lit(math.radians(width) * 6371.0088 * 0.95) * F.cos(F.radians(F.least(F.abs("lat") + width, F.lit(90.0))))
+    for width in widths:
+        close = materialise(_in_cells(rest, known, site, width).groupBy(point, "lat", "lon", "_cube").agg(best).drop("_cube"), "nearest")
+        # Outside its 3 x 3 x 3 cubes a site is a cube's width away at least, in a straight line.
+        sure_km = 2 * 6371.0088 * math.asin(min(1.0, width / 2)) * (1 - 1e-9)
         sure = F.coalesce(F.col("b.km") <= sure_km, F.lit(False))
         found.append(close.where(sure))
         rest = close.where(~sure).drop("b")
-    out = _in_cubes(rest, known).groupBy(point, "lat", "lon").agg(best)
-    for part in found:
+        if rest.isEmpty():
+            break
+    else:
+        found.append(_in_cubes(rest, known).withColumn("_b", _measured(F.col("_lat"), F.col("_lon"), F.col(site))).groupBy(point, "lat", "lon").agg(best))
+    out = found[0]
+    for part in found[1:]:
         out = out.unionByName(part)
     return out.select(point, F.col("b.site").alias(site), F.round("b.km", 2).alias("distance_km"))
 
 
+def _measured(lat: Column, lon: Column, site: Column) -> Column:
+    return F.struct(haversine_km(F.col("lat"), F.col("lon"), lat, lon).alias("km"), site.alias("site"))
+
+
 def _in_cubes(points: DataFrame, known: DataFrame, edge: float = 0.2) -> DataFrame:
     """points with the sites of every cube of space that may hold their nearest site, on a sphere of radius 1.
 
     A site in a cube is within half a diagonal of the cube's middle, so the least distance to a middle plus that is a bound, and cubes whose middle is farther than
     the bound plus half a diagonal hold no nearer site. A sphere touches at most 6 * (2 / edge + 2) ** 2 cubes, 864 here: that many middles are one row's array.
     """
-    def space(lat: Column, lon: Column) -> list[Column]:
-        a, b = F.radians(lat), F.radians(lon)
-        return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
-
-    def cube(at: list[Column]) -> Column:
-        return F.struct(*[F.floor(c / edge).cast("int").alias(n) for c, n in zip(at, "xyz", strict=True)])
-
     half = edge * math.sqrt(3) / 2
-    sites = materialise(known.withColumn("_cube", cube(space(F.col("_lat"), F.col("_lon")))), "cubes")
+    sites = materialise(known.withColumn("_cube", _cube(F.col("_lat"), F.col("_lon"), edge)), "cubes")
     held = sites.agg(F.collect_set("_cube").alias("c")).scalar()
-    at = points.withColumns(dict(zip(("_x", "_y", "_z"), space(F.col("lat"), F.col("lon")), strict=True)))
+    at = points.withColumns(dict(zip(("_x", "_y", "_z"), _space(F.col("lat"), F.col("lon")), strict=True)))
     away = lambda c: F.sqrt(sum((F.pow((c[n] + 0.5) * edge - F.col(f"_{n}"), 2) for n in "yz"), F.pow((c["x"] + 0.5) * edge - F.col("_x"), 2)))
     measured = at.withColumn("_held", held).withColumn("_far", F.transform("_held", lambda c: F.struct(away(c).alias("d"), c.alias("c")))).withColumn("_most", F.array_min("_far")["d"] + 2 * half + 1e-9)
     asked = measured.withColumn("_cube", F.explode(F.filter("_far", lambda f: f["d"] <= F.col("_most")))).withColumn("_cube", F.col("_cube.c"))
     return asked.drop("_x", "_y", "_z", "_held", "_far", "_most").join(sites, "_cube").drop("_cube")
 
 
-def _in_cells(points: DataFrame, known: DataFrame, cell: float) -> DataFrame:
-    """points with the sites of their own and the eight neighbouring cells of `cell` degrees, or none."""
-    columns = int(360 // cell)
-    row, col = (lambda c: F.floor(F.col(c) / cell)), (lambda c: F.pmod(F.floor((F.col(c) + 180) / cell), F.lit(columns)))
-    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> struct(a AS a, b AS b))))"))
-    asked = points.withColumn("_d", around).withColumns({"_r": row("lat") + F.col("_d.a"), "_c": F.pmod(col("lon") + F.col("_d.b"), F.lit(columns))}).drop("_d")
-    return asked.join(known.withColumns({"_r": row("_lat"), "_c": col("_lon")}), ["_r", "_c"], "left")
+def _space(lat: Column, lon: Column) -> list[Column]:
+    a, b = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
+
+
+def _cube(lat: Column, lon: Column, edge: float) -> Column:
+    """The cube of space, on a sphere of radius 1, that a place lies in."""
+    return F.struct(*[F.floor(c / edge).cast("int").alias(n) for c, n in zip(_space(lat, lon), "xyz", strict=True)])
+
+
+def _in_cells(points: DataFrame, known: DataFrame, site: str, edge: float, chunk: int = 1024) -> DataFrame:
+    """points with their cube (_cube) of `edge` and the nearest site (_b) of that and the cubes next to it, or none.
+
+    Sites are copied to the cubes next to theirs that the sphere meets and listed there in arrays of about `chunk`, so that a point is shuffled once, by its cube, and meets an array or a few; no pair is a row.
+    """
+    steps = F.expr("flatten(transform(sequence(-1, 1), a -> flatten(transform(sequence(-1, 1), b -> transform(sequence(-1, 1), c -> struct(a AS a, b AS b, c AS c))))))")
+    moved = lambda c, d: F.struct(*[(c[n] + d[m]).alias(n) for n, m in zip("xyz", "abc", strict=True)])
+    out = lambda c: F.sqrt(sum((F.pow((c[n] + 0.5) * edge, 2) for n in "yz"), F.pow((c["x"] + 0.5) * edge, 2)))
+    around = F.filter(F.transform(steps, lambda d: moved(F.col("_cube"), d)), lambda c: F.abs(out(c) - 1) <= edge * math.sqrt(3) / 2 + 1e-9)
+    near = known.withColumn("_cube", _cube(F.col("_lat"), F.col("_lon"), edge)).withColumn("_cube", F.explode(around))
+    crowd = F.count("*").over(W.Window.partitionBy("_cube"))
+    near = near.withColumn("_chunk", F.pmod(F.xxhash64(site), F.ceil(crowd / chunk)))
+    near = near.groupBy("_cube", "_chunk").agg(F.collect_list(F.struct(F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), F.col(site).alias("site"))).alias("_near")).drop("_chunk")
+    nearest_of = F.array_min(F.transform("_near", lambda s: _measured(s["lat"], s["lon"], s["site"])))
+    return points.withColumn("_cube", _cube(F.col("lat"), F.col("lon"), edge)).join(near, "_cube", "left").withColumn("_b", nearest_of)
 
 
 def band_join(df: DataFrame, value: Column, bands: Sequence[tuple[float, float, str]], name: str = "band") -> DataFrame:

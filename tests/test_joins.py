@@ -125,6 +125,35 @@ def test_nearest_of_far_points_needs_no_product(spark):
     assert len(got) == len(points) and all(abs(got[p[0]].distance_km - min(km(p, s) for s in sites)) < 0.01 and abs(km(p, next(s for s in sites if s[0] == got[p[0]].site)) - got[p[0]].distance_km) < 0.01 for p in points)
 
 
+def test_nearest_meets_no_more_sites_as_they_grow(spark, monkeypatch):
+    """Many places of sites, also copied ones: the first cells narrow, so a point meets some sites and not a share of all; no pair is a row."""
+    import math
+
+    rng = random.Random(8)
+    sites = [(i, rng.uniform(-85, 85), rng.uniform(-180, 180)) for i in range(3000)]
+    sites += [(9000 + i, *sites[i % 5][1:]) for i in range(500)]
+    points = [(i, rng.uniform(-89, 89), rng.uniform(-180, 180)) for i in range(120)]
+    met, plain_cells = [], j._in_cells
+
+    def watched(asked, known, *how):
+        out = plain_cells(asked, known, *how)
+        met.append((asked.count(), out.count(), out.agg(F.sum(F.size(F.coalesce("_near", F.array())))).first()[0]))
+        return out
+
+    monkeypatch.setattr(j, "_in_cells", watched)
+
+    def km(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(math.sqrt(min(1, h)))
+
+    out = j.nearest(spark.createDataFrame(points, "point long, lat double, lon double"), spark.createDataFrame(sites, "site long, lat double, lon double"), "point", "site")
+    got = {r.point: r.site for r in out.collect()}
+    assert got == {p[0]: min((km(p, s), s[0]) for s in sites)[1] for p in points}
+    assert met[0][0] == met[0][1] == 120 and met[0][2] < 120 * 40, "some sites a point, not 9 of 432 cells of all"
+    assert all(asked == rows for asked, rows, _ in met)
+
+
 def test_two_level_as_of_against_brute_force(spark):
     from datetime import datetime, timedelta
 
