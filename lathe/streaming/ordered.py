@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterable, Iterator
 from datetime import date
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -31,29 +32,40 @@ def _millis(micros: int) -> int:
 
 
 class InOrder(StatefulProcessor):
-    """Rows (at in epoch microseconds, then the rest of HELD) to fold() in the order of HELD's columns, once the watermark is at or past them."""
+    """Rows (at in epoch microseconds, then the rest of HELD) to fold() in the order of HELD's columns, once the watermark is at or past them.
+
+    An element of the list state is up to CHUNK rows, each column an array: an element costs a message and its own coding, a row nearly nothing.
+    """
 
     HELD = ""
+    CHUNK = 10_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.HELD)
         self.names = _names(self.HELD)
+        self.held = handle.getListState("held", ", ".join(f"{name} array<{kind}>" for name, kind in (column.split() for column in self.HELD.split(","))))
+
+    def _chunks(self, rows: list[tuple]) -> list[tuple]:
+        return [tuple(map(list, zip(*rows[i : i + self.CHUNK], strict=True))) for i in range(0, len(rows), self.CHUNK)]
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        new = [tuple(r[n] for n in self.names) for r in rows]
-        self.held.appendList(new)
+        places, new = None, []
+        for row in rows:
+            places = places or itemgetter(*map(row.__fields__.index, self.names))
+            new.append(places(tuple(row)))
+        self.held.appendList(self._chunks(new))
         self.handle.registerTimer(_millis(min(r[0] for r in new)))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         due, rest = [], []
-        for row in self.held.get() if self.held.exists() else ():
-            (due if row[0] <= passed else rest).append(tuple(row))
+        for chunk in self.held.get() if self.held.exists() else ():
+            for row in zip(*chunk, strict=True):
+                (due if row[0] <= passed else rest).append(row)
         if due:
             if rest:
-                self.held.put(rest)
+                self.held.put(self._chunks(rest))
                 self.handle.registerTimer(_millis(min(r[0] for r in rest)))
             else:
                 self.held.clear()
@@ -183,7 +195,7 @@ def advance(last: tuple | None, at: int, carrier: str, day: date, origin: int, d
 class Pressure(InOrder):
     """Departures of a place, each with how many late arrivals (side 1) and cancellations (side 2) were known there in the `within` seconds before it.
 
-    The state keeps what is younger than that, so it is bounded by what one place sees in a window, however long the stream is.
+    The state keeps what is younger than that, so it is bounded by what one place sees in a window, however long the stream is; a timer clears what no departure asked for.
     """
 
     HELD = "at long, side int, event_id long"
@@ -213,6 +225,7 @@ class Pressure(InOrder):
         kept = [r for r in recent if r[0] > passed - self.within]
         if kept:
             self.recent.put(kept)
+            self.handle.registerTimer(_millis(kept[-1][0] + self.within))
         elif recent or rows:
             self.recent.clear()
         return out
@@ -252,6 +265,12 @@ def rotation_stream(legs: DataFrame, schedule: DataFrame, late_by: str = "0 seco
 
 
 def pressure_stream(moves: DataFrame, within: int, late_by: str = "0 seconds") -> DataFrame:
-    """moves (place, ts, side, event_id) to a row for each departure (side 0): late arrivals (side 1) and cancellations (side 2) of its place in [ts - within, ts) seconds."""
+    """moves (place, ts, side, event_id) to a row for each departure (side 0): late arrivals (side 1) and cancellations (side 2) of its place in [ts - within, ts) seconds.
+
+    A key is a place in a span of four times `within`, so that a few places with very many moves are spread over the spans; what is known late in a span is sent to the next one too.
+    """
     timed = moves.withWatermark("ts", late_by).select("place", "ts", _at("ts"), "side", "event_id")
-    return timed.groupBy("place").transformWithState(Pressure(within), Pressure.OUT, "append", "eventTime")
+    span = lambda at: F.floor(at / (4 * within * 1_000_000))
+    own, last = span(F.col("at")), span(F.col("at") + within * 1_000_000)
+    spread = timed.withColumn("span", F.explode(F.when(F.col("side") > 0, F.array_distinct(F.array(own, last))).otherwise(F.array(own))))
+    return spread.groupBy("place", "span").transformWithState(Pressure(within), Pressure.OUT, "append", "eventTime")

@@ -158,6 +158,34 @@ def test_pressure_bounds():
     assert (one.late_arrivals, one.cancellations) == (1, 1)
 
 
+def test_held_rows_are_few_elements_and_what_is_left_is_cleared():
+    handle, processor = Handle(), ordered.Pressure(3 * HOUR)
+    processor.init(handle)
+    processor.CHUNK = 40
+    from pyspark.sql import Row
+
+    list(processor.handleInputRows((1,), (Row(at=1000 * n, side=1, event_id=None) for n in range(100)), Clock(0)))
+    assert [len(chunk[0]) for chunk in processor.held.get()] == [40, 40, 20]
+    list(processor.handleExpiredTimer((1,), Clock(50), None))
+    assert [len(chunk[0]) for chunk in processor.held.get()] == [40, 9] and len(processor.recent.get()) == 51
+    list(processor.handleExpiredTimer((1,), Clock(200), None))
+    (last,) = [t for t in handle.timers if t >= 3 * HOUR * 1000 + 99]
+    list(processor.handleExpiredTimer((1,), Clock(last), None))
+    assert not processor.held.exists() and not processor.recent.exists(), "no departure asks for it any more"
+
+
+def test_pressure_of_one_place_is_spread_over_spans(spark):
+    rnd = random.Random(3)
+    rows = [("p", START + timedelta(minutes=30 * rnd.randrange(120)), rnd.randrange(3), n) for n in range(200)]
+    df = spark.createDataFrame(rows, "place string, ts timestamp, side int, event_id long")
+    stream = replay.source(spark, replay.write_replay(df, "ts", 3, closing="1 second"), df.schema)
+    out = ordered.pressure_stream(stream, 3 * HOUR)
+    assert "span" in out._jdf.queryExecution().analyzed().toString()
+    got = {r.event_id: (r.late_arrivals, r.cancellations) for r in replay.run_once(out, "spans", provider=ordered.PROVIDER).collect()}
+    within = timedelta(hours=3)
+    assert got == {n: tuple(sum(1 for _, t, s, _ in rows if s == kind and at - within <= t < at) for kind in (1, 2)) for _, at, side, n in rows if side == 0}
+
+
 @pytest.mark.parametrize(
     ("last", "at", "leg", "want"),
     [
