@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lathe.operators import chain
+from lathe.streaming import replay, stateful
 from lathe.streaming.stateful import advance
 
 DAY = dt.datetime(2024, 3, 1)
@@ -77,3 +78,15 @@ def test_seams_of_equal_arrival_go_by_row(spark):
     for laid in (rows, rows[::-1]):
         df = spark.createDataFrame(laid, "event_id long, tail string, dep_ts timestamp_ntz, arrival long").coalesce(1)
         assert sorted(r.event_id for r in chain.seams(df, "arrival").collect()) == [2, 4]
+
+
+def test_tails_that_share_a_group_keep_chains_of_their_own(spark, monkeypatch):
+    """Two groups hold the last legs of many tails over several batches; links are those of the batch."""
+    monkeypatch.setattr(stateful, "GROUPS", 2)
+    rows = [(i, i * 7 % 23 or None, "X", (DAY + dt.timedelta(minutes=37 * i)).date(), DAY + dt.timedelta(minutes=37 * i), i % 3, i // 3 % 3, None if i % 19 == 0 else 30.0 * (i % 70), i) for i in range(300)]
+    legs = spark.createDataFrame(rows, "event_id long, tail long, carrier string, service_date date, dep_ts timestamp, origin long, dest long, elapsed_min double, distance long")
+    stream = replay.source(spark, replay.write_replay(legs, "dep_ts", 4), legs.schema)
+    out = stateful.chain_stream(stream)
+    assert "group#" in out._jdf.queryExecution().analyzed().toString()
+    got = {r.event_id: (r.tail, r.link_class, r.turnaround_min) for r in replay.run_once(out, "shared").collect()}
+    assert got == {r.event_id: (r.tail, r.link_class, r.turnaround_min) for r in chain.link(legs).collect()}
