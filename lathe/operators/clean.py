@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lathe.functions import scalars as s
+from lathe.session import materialise
 
 #: How a raw string column becomes a typed one, by the name of the kind.
 KINDS = {
@@ -71,3 +72,17 @@ def harmonised(df: DataFrame, hidden: Sequence[str], limits: Mapping[str, tuple[
 def allowed(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """The named columns that df has, in the order of the names; all others are left out."""
     return df.select(*[n for n in names if n in df.columns])
+
+
+def smallest_digests(df: DataFrame, group: str, digest: str, n: int, head: int = 3) -> DataFrame:
+    """Of each group the distinct rows with the n smallest digests (hex text; a row without one takes no part).
+
+    Each first `head` digits that occur stand for a row at least, so the n smallest that occur hold all that is wanted: only rows with those are made distinct and sorted, a
+    share of n / 16 ** head of a large group's. What is gathered before that is a row for each group and head.
+    """
+    first = F.substring(digest, 1, head)
+    order = W.Window.partitionBy(group).orderBy("_head")
+    heads = df.select(group, first.alias("_head")).distinct().withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n)
+    highest = materialise(heads.groupBy(F.col(group).alias("_group")).agg(F.max("_head").alias("_most")), "heads")
+    low = df.join(highest, F.col(group).eqNullSafe(F.col("_group")) & (first <= F.col("_most"))).drop("_group", "_most").distinct()
+    return low.withColumn("_k", F.row_number().over(W.Window.partitionBy(group).orderBy(digest))).where(F.col("_k") <= n).drop("_k")

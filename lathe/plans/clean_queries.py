@@ -140,9 +140,9 @@ def hash_ordered_sample(spark, d):
 @query(f"""WITH {LEGS_LINEITEM}, b AS (SELECT flight_number, line, carrier, CAST(least(floor(round(p * 10, 9)), 9) AS INTEGER) AS band, md5(flight_number || '|' || line || '|' || carrier || '|' || service_date) AS h FROM (SELECT DISTINCT flight_number, line, carrier, service_date, p FROM flown))
 SELECT band, flight_number, line, carrier FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY h) AS k FROM b) WHERE k <= 5""")
 def stratified_sample(spark, d):
-    legs = legs_lineitem(spark, d).select("flight_number", "line", "carrier", "service_date", "p").distinct()
+    legs = legs_lineitem(spark, d).select("flight_number", "line", "carrier", "service_date", "p")
     keyed = legs.withColumns({"band": F.least(F.floor(F.round(F.col("p") * 10, 9)), F.lit(9)).cast("int"), "h": F.md5(F.concat_ws("|", "flight_number", "line", "carrier", "service_date"))})
-    return keyed.withColumn("k", F.row_number().over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("band").orderBy("h"))).where("k <= 5").select("band", "flight_number", "line", "carrier")
+    return clean.smallest_digests(keyed, "band", "h", 5).select("band", "flight_number", "line", "carrier")
 
 
 @query(f"""WITH {LEGS_LINEITEM} SELECT carrier, service_date, count(*) AS legs FROM flown WHERE origin IN (1, 2, 3) AND (dest = 4 OR dest IS NULL OR dest NOT IN (5, 6)) AND dep_hour BETWEEN 6 AND 12 AND starts_with(CAST(flight_number AS VARCHAR), '1') GROUP BY ALL HAVING count(*) > 1""")

@@ -105,3 +105,20 @@ def test_channels_and_round_trips_take_every_row(spark):
     assert {r.channel: r.legs for r in QUERIES["stream_all_channels"](spark, sf).collect()} == want and len(want) == 6
     for name, column, rows in (("string_round_trip_all", "orders", "orders"), ("json_round_trip_all", "rows", "events")):
         assert sum(r[column] for r in QUERIES[name](spark, sf).collect()) == spark.read.parquet(f"{sf}/{rows}.parquet").count()
+
+
+def test_smallest_digests_sort_a_share_of_the_rows(spark, monkeypatch):
+    """Copies, small groups and a null group against a plain version; what is sorted whole is few rows of many."""
+    import hashlib
+
+    from lathe.operators import clean
+
+    rows = [(None if i % 7 == 0 else i % 3, i // 2 % 9000, hashlib.md5(str((i % 21, i // 2 % 9000)).encode()).hexdigest()) for i in range(40_000)] + [(99, 1, "ff01"), (99, 2, "ff02")]
+    df = spark.createDataFrame(rows, "band int, item long, h string")
+    heads, plain = [], clean.materialise
+    monkeypatch.setattr(clean, "materialise", lambda found, name: heads.append(plain(found, name)) or heads[-1])
+    got = clean.smallest_digests(df, "band", "h", 5).collect()
+    want = {b: sorted({(h, x) for g, x, h in rows if g == b})[:5] for b in {r[0] for r in rows}}
+    assert {b: sorted((r.h, r.item) for r in got if r.band == b) for b in want} == want and len(got) == sum(map(len, want.values()))
+    most = {r._group: r._most for r in heads[0].collect()}
+    assert sum(r[2][:3] <= most[r[0]] for r in rows) < 400
