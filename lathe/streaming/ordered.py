@@ -20,6 +20,8 @@ from lathe.operators.chain import DUTY_MIN, TIGHT_MIN
 #: The state store that keyed timers and typed states need.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _MINUTE = 60_000_000
+#: Groups that keys are dealt to: the messages to the state store go by group and batch, not by key and batch.
+GROUPS = 256
 
 
 def _names(schema: str) -> list[str]:
@@ -35,15 +37,39 @@ class InOrder(StatefulProcessor):
     """Rows (at in epoch microseconds, then the rest of HELD) to fold() in the order of HELD's columns, once the watermark is at or past them.
 
     An element of the list state is up to CHUNK rows, each column an array: an element costs a message and its own coding, a row nearly nothing.
+    With an identity (a column of each row) a key of the stream is a group of identities, whose states are kept together; without one it is one identity itself.
     """
 
     HELD = ""
+    KEPT = ""
     CHUNK = 10_000
 
+    def __init__(self, identity: str = ""):
+        self.identity = identity
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.names = _names(self.HELD)
-        self.held = handle.getListState("held", ", ".join(f"{name} array<{kind}>" for name, kind in (column.split() for column in self.HELD.split(","))))
+        self.names = _names(self.HELD) + self._own()
+        self.held = handle.getListState("held", self._arrays(self.HELD))
+        self.kept = handle.getListState("kept", self._arrays(self.KEPT)) if self.KEPT else None
+
+    def _own(self) -> list[str]:
+        return _names(self.identity) if self.identity else []
+
+    def _arrays(self, schema: str) -> str:
+        columns = (column.split() for column in ", ".join(filter(None, (schema, self.identity))).split(","))
+        return ", ".join(f"{name} array<{kind}>" for name, kind in columns)
+
+    def states(self) -> dict[tuple, tuple]:
+        """What is kept of each identity of the group."""
+        n = len(_names(self.KEPT))
+        return {row[n:]: row[:n] for chunk in (self.kept.get() if self.kept.exists() else ()) for row in zip(*chunk, strict=True)}
+
+    def keep(self, states: dict[tuple, tuple]) -> None:
+        if states:
+            self.kept.put(self._chunks([(*state, *identity) for identity, state in states.items()]))
+        else:
+            self.kept.clear()
 
     def _chunks(self, rows: list[tuple]) -> list[tuple]:
         return [tuple(map(list, zip(*rows[i : i + self.CHUNK], strict=True))) for i in range(0, len(rows), self.CHUNK)]
@@ -85,28 +111,25 @@ class Settlement(InOrder):
     HELD = "at long, side int, flag boolean, late boolean"
     KEPT = "phase string, opened long, warmup boolean, cancelled boolean, late boolean"
 
-    def __init__(self, ttl: int):
+    def __init__(self, ttl: int, identity: str = ""):
+        super().__init__(identity)
         self.ttl = ttl * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.kept = handle.getValueState("kept", self.KEPT)
-
     def fold(self, key: tuple, rows: list[tuple], passed: int) -> Iterable[Row]:
-        before = tuple(self.kept.get()) if self.kept.exists() else (None,) * 5
-        phase, opened, warmup, cancelled, late = before
+        states, none = self.states(), (None,) * 5
         changes: dict[str, int] = {}
 
         def add(counter: str, n: int = 1) -> None:
             changes[counter] = changes.get(counter, 0) + n
 
-        def settled() -> str:
+        def settled(warmup: bool, cancelled: bool, late: bool | None) -> str:
             add("warmup" if warmup else "cancelled" if cancelled else "unlabelled" if late is None else "scored")
             return "settled"
 
-        for at, side, flag, label in rows:
+        for at, side, flag, label, *whose in rows:
             if side is None:
                 continue
+            phase, opened, warmup, cancelled, late = states.get(tuple(whose), none)
             if phase == "open" and opened + self.ttl < at:
                 phase = None
                 add("risk_ttl")
@@ -117,7 +140,7 @@ class Settlement(InOrder):
                 opened, warmup = at, flag
                 if phase == "pending":
                     add("orphan_outcome", -1)
-                    phase = settled()
+                    phase = settled(warmup, cancelled, late)
                 else:
                     phase = "open"
                     add("risk_end_of_stream")
@@ -125,20 +148,21 @@ class Settlement(InOrder):
                 cancelled, late = flag, label
                 if phase == "open":
                     add("risk_end_of_stream", -1)
-                    phase = settled()
+                    phase = settled(warmup, cancelled, late)
                 else:
                     phase = "pending"
                     add("orphan_outcome")
-        if phase == "open" and opened + self.ttl < passed:
-            phase = None
+            states[tuple(whose)] = (phase, opened, warmup, cancelled, late)
+        gone = [i for i, (phase, opened, *_) in states.items() if phase == "open" and opened + self.ttl < passed]
+        for identity in gone:
+            del states[identity]
             add("risk_ttl")
             add("risk_end_of_stream", -1)
-        if phase == "open" and (phase, opened) != before[:2]:
-            self.handle.registerTimer(_millis(opened + self.ttl + 1))
-        if phase is None:
-            self.kept.clear()
-        elif (phase, opened, warmup, cancelled, late) != before:
-            self.kept.update((phase, opened, warmup, cancelled, late))
+        waiting = [opened for phase, opened, *_ in states.values() if phase == "open"]
+        if waiting:
+            self.handle.registerTimer(_millis(min(waiting) + self.ttl + 1))
+        if rows or gone:
+            self.keep(states)
         return [Row(counter=c, events=n) for c, n in changes.items() if n]
 
 
@@ -149,19 +173,16 @@ class Rotation(InOrder):
     KEPT = "carrier string, service_date date, position long, dest long, arrival long, distance long, elapsed_min long, overlapped boolean"
     OUT = "event_id long, tail long, service_date date, link_class string, reason string, position long, turnaround_min long, inbound_distance long, inbound_elapsed_min long"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.kept = handle.getValueState("kept", self.KEPT)
-
     def fold(self, key: tuple, rows: list[tuple], passed: int) -> Iterable[Row]:
-        last = tuple(self.kept.get()) if self.kept.exists() else None
-        out = []
-        for at, event_id, *leg in rows:
+        states, n, out = self.states() if rows else {}, len(_names(self.HELD)), []
+        for row in rows:
+            at, event_id, *leg = row[:n]
             if event_id is not None:
-                row, last = advance(last, at, *leg)
-                out.append(Row(event_id=event_id, tail=key[0], service_date=leg[1], **row))
+                whose = row[n:]
+                found, states[whose] = advance(states.get(whose), at, *leg)
+                out.append(Row(event_id=event_id, tail=(whose or key)[0], service_date=leg[1], **found))
         if out:
-            self.kept.update(last)
+            self.keep(states)
         return out
 
 
@@ -202,6 +223,7 @@ class Pressure(InOrder):
     OUT = "event_id long, late_arrivals long, cancellations long"
 
     def __init__(self, within: int):
+        super().__init__()
         self.within = within * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -235,14 +257,19 @@ def _at(ts: str) -> Column:
     return F.unix_micros(F.col(ts)).alias("at")
 
 
+def _group(*key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(GROUPS)).alias("group")
+
+
 def settle_stream(risks_and_outcomes: DataFrame, identity: list[str], ttl: int, late_by: str = "0 seconds") -> DataFrame:
     """A stream of identity, ts, side (0 risk, 1 outcome; null: neither, it only moves time), flag (warm-up of a risk, cancellation of an outcome) and late to changes of counters.
 
     Summed by counter at any time these are the counts as if the stream ended there. Rows that come later than late_by behind the latest are dropped by the watermark;
     count them apart with replay.run_counted().
     """
-    timed = risks_and_outcomes.withWatermark("ts", late_by).select(*identity, "ts", _at("ts"), "side", "flag", "late")
-    return timed.groupBy(*identity).transformWithState(Settlement(ttl), "counter string, events long", "append", "eventTime")
+    own = F.to_json(F.array(*[F.col(c).cast("string") for c in identity]), {"ignoreNullFields": "false"}).alias("identity")
+    timed = risks_and_outcomes.withWatermark("ts", late_by).select(_group(*identity), own, "ts", _at("ts"), "side", "flag", "late")
+    return timed.groupBy("group").transformWithState(Settlement(ttl, "identity string"), "counter string, events long", "append", "eventTime")
 
 
 def rotation_stream(legs: DataFrame, schedule: DataFrame, late_by: str = "0 seconds") -> DataFrame:
@@ -252,7 +279,7 @@ def rotation_stream(legs: DataFrame, schedule: DataFrame, late_by: str = "0 seco
     meet in one task. Rows without an event_id only move time.
     """
     timed = legs.withWatermark("dep_ts", late_by).select("tail", "dep_ts", _at("dep_ts"), *_names(Rotation.HELD)[1:])
-    known = timed.where("tail IS NOT NULL OR event_id IS NULL").groupBy("tail").transformWithState(Rotation(), Rotation.OUT, "append", "eventTime")
+    known = timed.where("tail IS NOT NULL OR event_id IS NULL").withColumn("group", _group("tail")).groupBy("group").transformWithState(Rotation("tail long"), Rotation.OUT, "append", "eventTime")
     unknown = timed.where("tail IS NULL AND event_id IS NOT NULL").select("event_id", "tail", "service_date", F.lit("c").alias("link_class"), F.lit("unknown tail").alias("reason"))
     placed = known.unionByName(unknown, allowMissingColumns=True).join(schedule.select("tail", "service_date", "legs"), ["tail", "service_date"], "left")
     linkable, turnaround = F.col("link_class") != "c", F.col("turnaround_min")

@@ -186,6 +186,18 @@ def test_pressure_of_one_place_is_spread_over_spans(spark):
     assert got == {n: tuple(sum(1 for _, t, s, _ in rows if s == kind and at - within <= t < at) for kind in (1, 2)) for _, at, side, n in rows if side == 0}
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_identities_of_a_group_settle_apart(spark, monkeypatch, groups):
+    """Many identities, a null one too, share a group's state over several batches; equal ids of different parts stay apart."""
+    monkeypatch.setattr(ordered, "GROUPS", groups)
+    moves = [((i, n % 2), at, side, flag, late if side else None) for n, (i, at, side, flag, late) in enumerate(some_moves(11))]
+    rows = [(i, part, START + timedelta(seconds=at), side, flag, late) for (i, part), at, side, flag, late in moves]
+    df = spark.createDataFrame(rows, "id long, part int, ts timestamp, side int, flag boolean, late boolean")
+    stream = replay.source(spark, replay.write_replay(df, "ts", 4, closing="1 millisecond"), df.schema)
+    changes = replay.run_once(ordered.settle_stream(stream, ["id", "part"], 5 * HOUR), "groups", provider=ordered.PROVIDER)
+    assert counts(changes) == plain_settlement(moves, 5 * HOUR)
+
+
 @pytest.mark.parametrize(
     ("last", "at", "leg", "want"),
     [
