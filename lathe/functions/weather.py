@@ -66,16 +66,40 @@ def holds(iso: Column, at: Column) -> Column:
     return (at >= start) & (F.unix_micros(at) < F.unix_micros(start) + duration_seconds(iso) * 1_000_000)
 
 
+def timed(grid: Column) -> Column:
+    """A parsed grid (GRID) whose intervals are read: start and end in epoch microseconds and seconds in place of texts, so that instants that are looked up later only compare numbers.
+
+    Intervals that hold no instant, and values that are null, are left out; all others keep their order.
+    """
+    def layer(name: str) -> Column:
+        start = lambda v: F.unix_micros(instant_of(v["validTime"]))
+        read = F.transform(grid[name]["values"], lambda v: F.struct(v["value"].alias("value"), start(v).alias("start"), duration_seconds(v["validTime"]).alias("seconds")))
+        usable = F.filter(read, lambda v: v["start"].isNotNull() & (v["seconds"] > 0) & v["value"].isNotNull())
+        ends = F.transform(usable, lambda v: F.struct(v["value"].alias("value"), v["start"].alias("start"), (v["start"] + v["seconds"] * 1_000_000).alias("end"), v["seconds"].alias("seconds")))
+        return F.struct(grid[name]["uom"].alias("uom"), ends.alias("values")).alias(name)
+
+    return F.struct(*map(layer, (*UNITS, "weather")))
+
+
+def _holding(values: Column, at: Column) -> Column:
+    micros = F.unix_micros(at.cast("timestamp"))
+    return F.filter(values, lambda v: F.coalesce((v["start"] <= micros) & (micros < v["end"]), F.lit(False)))
+
+
 def value_at(layer: Column, at: Column, unit: str | None = None) -> Column:
-    """struct(value, seconds) of the first value of a layer whose interval holds an instant; null if none does, or if the layer names another unit."""
-    usable = F.filter(layer["values"], lambda v: v["value"].isNotNull() & F.coalesce(holds(v["validTime"], at), F.lit(False)))
-    first = F.get(usable, F.lit(0))
+    """struct(value, seconds) of the first value of a timed() layer whose interval holds an instant; null if none does, or if the layer names another unit."""
+    first = F.get(_holding(layer["values"], at), F.lit(0))
     known = F.lit(True) if unit is None else F.coalesce(layer["uom"] == unit, F.lit(True))
-    return F.when(known & first.isNotNull(), F.struct(first["value"].alias("value"), duration_seconds(first["validTime"]).alias("seconds")))
+    return F.when(known & first.isNotNull(), F.struct(first["value"].alias("value"), first["seconds"].alias("seconds")))
 
 
 def grid_features(grid: Column, at: Column) -> dict[str, Column]:
-    """The weather features of an instant from a parsed grid (GRID), by name; all null, and has_weather 0, where it has no temperature then.
+    """timed_features() of a parsed grid (GRID) whose intervals are still texts."""
+    return timed_features(timed(grid), at)
+
+
+def timed_features(grid: Column, at: Column) -> dict[str, Column]:
+    """The weather features of an instant from a timed() grid, by name; all null, and has_weather 0, where it has no temperature then.
 
     No gust is calm, no visibility unrestricted, and precipitation over some hours is shared out to one.
     """
@@ -83,7 +107,7 @@ def grid_features(grid: Column, at: Column) -> dict[str, Column]:
     there = met["temperature"].isNotNull()
     fahrenheit = lambda v: v["value"] * 9 / 5 + 32
     gust, rain = met["windGust"], met["quantitativePrecipitation"]
-    now = F.flatten(F.transform(F.filter(grid["weather"]["values"], lambda v: F.coalesce(holds(v["validTime"], at), F.lit(False))), lambda v: F.coalesce(v["value"], F.array())))
+    now = F.flatten(F.transform(_holding(grid["weather"]["values"], at), lambda v: v["value"]))
     seen = F.coalesce(F.transform(now, lambda c: c["weather"]), F.array().cast("array<string>"))
     named = lambda test: F.coalesce(F.exists(seen, test), F.lit(False)).cast("double")
     found = {

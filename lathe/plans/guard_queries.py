@@ -161,7 +161,7 @@ def gridded_weather(spark, d):
     unit = lambda name: F.when((F.col("user_id") % 5 == 0) & F.lit(name == "windSpeed"), "wmoUnit:m_s-1").otherwise(weather.UNITS[name]).alias("uom")
     layers = [F.struct(unit(n), cells(F.col("layer") == k, F.col("value")).alias("values")).alias(n) for k, n in enumerate(_NAMES)]
     grids = parts.groupBy("user_id").agg(F.to_json(F.struct(*layers, F.struct(cells(F.col("told").isNotNull(), F.col("told")).alias("values")).alias("weather"))).alias("grid"))
-    parsed = materialise(grids.select("user_id", F.from_json("grid", weather.GRID).alias("grid")), "grids")
-    found = weather.grid_features(F.col("grid"), F.col("at"))
+    parsed = materialise(grids.select("user_id", weather.timed(F.from_json("grid", weather.GRID)).alias("grid")), "grids")
+    found = weather.timed_features(F.col("grid"), F.col("at"))
     whole = ("gust_reported", "had_fog", "had_rain", "had_snow", "had_thunder", "has_weather")
     return e.join(parsed, "user_id", "left").select("event_id", *[(c if n in whole else F.round(c, 6)).alias(n) for n, c in found.items()])

@@ -135,3 +135,12 @@ def test_holidays_reach_days_outside_of_the_table(spark):
     days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-05')) AS day")
     got = {str(r.day): (r.is_holiday, r.is_day_before, r.is_day_after) for r in features.holidays_padded(days, "day", F.dayofmonth("day").isin(1, 2, 4)).collect()}
     assert got == {"2023-12-31": (False, True, False), "2024-01-01": (True, True, False), "2024-01-02": (True, False, True), "2024-01-03": (False, True, True), "2024-01-04": (True, False, False), "2024-01-05": (False, False, True)}
+
+
+def test_gridded_weather_reads_each_interval_once(spark):
+    """What events are joined with holds numbers, not texts of intervals that every event would read again."""
+    from lathe.plans.guard_queries import gridded_weather
+
+    out = gridded_weather(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "validTime" not in plan and "gettimestamp" not in plan.lower()
