@@ -1,7 +1,12 @@
-"""Word splitting shared by the corpus operators, as native expressions."""
+"""Word splitting shared by the corpus operators, as native expressions, and the cutting of Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +34,13 @@ def fresh(names: list[str], wanted: str) -> str:
     while wanted.lower() in {n.lower() for n in names}:
         wanted = f"_{wanted}"
     return wanted
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, without copies, of up to `most` bytes of a string or binary column and one row at least; nulls have none."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, before = 0, 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start, before = end, int(ends[end - 1])

@@ -6,12 +6,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from edges import ROWS, documents, empty, prose
 from pyspark.sql import functions as F
 
 from lathe.llm import fair_mix, feistel, ngram_rules, packing, passage_mil, simhash
+from lathe.llm.text import slices
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SF = "/root/testdata/sf0.001"
@@ -544,6 +546,32 @@ def test_packing_round_trip(spark):
     assert packing.pack(empty(spark)).count() == 0
 
 
+class _Task:
+    """Stands for a table; gives back the function of its tasks."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, over, schema):  # noqa: N802
+        return over
+
+
+def test_tasks_of_packing_hand_on_parts_of_a_batch(spark):
+    texts = ["", None, "word " * 300_000, *(prose(n, 1000) for n in range(200))] * 5
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts), "part": pa.array([3] * len(texts), pa.int32())})
+    parts = list(packing.tokenise(_Task())(iter([batch, batch.slice(7, 400), batch.slice(0, 0)])))
+    assert [i for b in parts for i in b.column("doc_id").to_pylist()] == [*range(len(texts)), *range(7, 407)]
+    assert max(b.nbytes for b in parts) < 1 << 20 and all(b.column("part").unique().to_pylist() == [3] for b in parts)
+    sizes = [len(x) // 2 for b in parts for x in b.column("ids").to_pylist()]
+    assert [x for b in parts for x in b.column("at").to_pylist()] == [sum(sizes[:i]) for i in range(len(sizes))]
+
+
+def test_slices_are_bounded_and_whole():
+    batch = pa.RecordBatch.from_pydict({"n": list(range(6)), "x": ["aaa", None, "a", "aaaaaaaaa", "", "aa"]})
+    assert [s.column("n").to_pylist() for s in slices(batch, "x", 4)] == [[0, 1, 2], [3], [4, 5]]
+    assert [s.column("n").to_pylist() for s in slices(batch.slice(1), "x", 100)] == [[1, 2, 3, 4, 5]] and list(slices(batch.slice(0, 0), "x", 4)) == []
+
+
 @pytest.mark.parametrize("stage", ["op7_concat_pack", "pipeline"])
 def test_added_tokens_are_found_as_the_tokenizer_finds_them(spark, tmp_path, stage):
     import corpus_pipeline
