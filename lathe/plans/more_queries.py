@@ -143,7 +143,7 @@ def ordered_digest(spark, d):
 
 @query()
 def feature_importances(spark, d):
-    fit, *_ = _parts(spark, d)
+    (fit,) = _parts(spark, d, "fit")
     model = learn.classifier("forest", NUMBERS, CATEGORIES, numTrees=6, maxDepth=4).fit(fit)
     return spark.createDataFrame(learn.importances(model, NUMBERS, CATEGORIES), "feature string, importance double")
 
@@ -151,7 +151,7 @@ def feature_importances(spark, d):
 @query()
 def delay_regression(spark, d):
     """Boosted regression of the delay against the mean, on rows after the fit."""
-    fit, validation, _ = _parts(spark, d)
+    fit, validation = _parts(spark, d, "fit", "validation")
     model = learn.regressor(NUMBERS, CATEGORIES, "arr_delay", maxIter=4, maxDepth=3).fit(fit)
     off = F.col("prediction") - F.col("arr_delay")
     return model.transform(validation).agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(off * off)), 4).alias("rmse"), F.round(F.avg(F.abs(off)), 4).alias("mae"))

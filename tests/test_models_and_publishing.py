@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lathe.functions.scalars import platt, usable
 from lathe.operators import evaluate, learn
+from lathe.plans import adapters, learn_queries
 from lathe.sources import files
 
 
@@ -82,3 +83,17 @@ def test_a_run_is_published_once_and_whole(spark, tmp_path):
     assert [tuple(f.values()) for f in marker["files"]] == want and marker["required"] == ["model.bin"]
     with pytest.raises(ValueError, match="published"):
         files.publish(spark, f"file://{run}", f"file://{target}", ["model.bin"])
+
+
+def test_parts_of_the_mart_are_written_once_with_balanced_weights(spark):
+    d = "/root/testdata/sf0.001"
+    legs = learn.time_split(adapters.legs_lineitem(spark, d).where("del15 IS NOT NULL"), "service_date", learn_queries.CUTS)
+    want = {r.part: (r.n, r.late) for r in legs.groupBy("part").agg(F.count("*").alias("n"), F.count_if("del15").alias("late")).collect()}
+    for name, part in zip(("validation", "fit", "test"), learn_queries._parts(spark, d, "validation", "fit", "test"), strict=True):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+        n, late = want[name]
+        weights = {r.label: (r.n, r.weight, r.most) for r in part.groupBy("label").agg(F.count("*").alias("n"), F.min("weight").alias("weight"), F.max("weight").alias("most")).collect()}
+        assert {k: v[0] for k, v in weights.items()} == {1.0: late, 0.0: n - late}
+        assert all(low == most == pytest.approx(n / (2 * rows) if name == "fit" else 1.0) for rows, low, most in weights.values())
+    assert [c.count() for c in learn_queries._parts(spark, d, "none")] == [0]
