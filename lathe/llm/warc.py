@@ -30,7 +30,9 @@ _RAW = {name: re.compile(f"</{name}", re.I) for name in ("title", "script", "sty
 UNREADABLE = "unreadable"
 _CHUNK = re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]*\r?\n")
 #: Bytes of blocks after which a task hands on a batch of records, and bytes of a file that are read at once.
-BATCH, READ = 16 << 20, 1 << 20
+BATCH, READ = 4 << 20, 1 << 20
+#: Records of a file that write_warc() makes; a reader holds a file packed as it is.
+PER_FILE = 1000
 _CHARSET = re.compile(r"charset=[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
 
@@ -221,13 +223,13 @@ def derive(records: DataFrame) -> DataFrame:
     return records.where("record_type = 'response' AND block IS NOT NULL").mapInArrow(derived, f"{fields}, {SCHEMA}" if kept else SCHEMA)
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Writes records as WARC/1.1 files, one per partition, by Spark's own writer (lines that end as records do)."""
+def write_warc(records: DataFrame, path: str, compression: str = "gzip", per_file: int = PER_FILE) -> None:
+    """Writes records as WARC/1.1 files of up to per_file records, so that files don't grow with the input, by Spark's own writer (lines that end as records do)."""
     named = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest"}
     line = lambda key, value: F.when(value.isNotNull(), F.concat(F.lit(f"{key}: "), value, F.lit("\r\n"))).otherwise("")
     others = F.coalesce(F.array_join(F.transform("headers", lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")), F.lit("\r\n"))), ""), F.lit(""))
     head = F.concat(F.lit("WARC/1.1\r\n"), *[line(key, F.col(c)) for c, key in named.items()], others, F.lit("Content-Length: "), F.octet_length("block").cast("string"), F.lit("\r\n\r\n"))
-    records.select(F.concat(head.cast("binary"), F.col("block")).cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    records.select(F.concat(head.cast("binary"), F.col("block")).cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
 
 
 class _Chunks(io.RawIOBase):

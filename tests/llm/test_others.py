@@ -1,5 +1,6 @@
 """The operators on pages, vectors and conversations, and the pipeline."""
 
+import gzip
 import itertools
 
 import numpy as np
@@ -209,6 +210,15 @@ def test_source_headers_and_codings_are_kept(spark):
             assert "source-set-cookie: a=1\r\nsource-x-long: one two\r\nsource-set-cookie: b=2\r\n" in text and "title: T\r\n" in text and text.count("warc-protocol") == 2
 
 
+def test_warc_files_hold_so_many_records(spark, tmp_path):
+    pages = spark.range(2100).selectExpr("concat('http://h/', id) AS url", "concat('<p>', id, '</p>') AS html").coalesce(1)
+    for name, more, most in (("default", {}, warc.PER_FILE), ("fewer", {"per_file": 512}, 512)):
+        warc.write_warc(warc.responses(pages), f"{tmp_path}/{name}", **more)
+        sizes = [len(list(warc.parse_warc(gzip.decompress(p.read_bytes())))) for p in (tmp_path / name).glob("*.gz")]
+        assert sum(sizes) == 2100 and max(sizes) == most and len(sizes) == -(-2100 // most)
+        assert warc.read_warc(spark, f"{tmp_path}/{name}").select("record_id").distinct().count() == 2100
+
+
 def test_warc_files_are_read_in_parts(monkeypatch):
     import gzip
 
