@@ -8,7 +8,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -237,15 +237,8 @@ def _far(words: int, one: str, two: str) -> Column:
     return sum((F.bit_count(F.col(f"{one}{k}").bitwiseXOR(F.col(f"{two}{k}"))) for k in range(1, words)), F.bit_count(F.col(f"{one}0").bitwiseXOR(F.col(f"{two}0"))))
 
 
-def similar(classes: DataFrame, apart: int, words: int = WORDS, segment: int = SEGMENT, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, root) of the groups of distinct wide fingerprints (id, f0, f1, ...) that are linked; ids without a link are left out.
-
-    Linked are fingerprints that differ in `apart` bits or fewer and in one bit at most of some segment: the low `segment` bits of
-    a half of a word; and of these only those that verify() keeps of the pairs (a, b and any others) it is given. Values of segments meet in the one-wildcard index (neighbours()). First each fingerprint is compared with
-    the smallest id of its own and all neighbouring values, at most one for each segment, which joins nearly all of a group however large by few rows each. Then only
-    fingerprints whose groups still differ are compared, all with all but for those of a value's largest group with each other, so that
-    groups are exactly those of all links though the pairs of a group are never listed.
-    """
+def families(classes: DataFrame, apart: int, words: int = WORDS, segment: int = SEGMENT) -> tuple[DataFrame, DataFrame]:
+    """similar(), and the pairs (a, b) of which its stars consist."""
     f = [f"f{k}" for k in range(words)]
     cut = ", ".join(f"struct({2 * k + h} AS side, shiftrightunsigned(f{k}, {32 * h}) & {(1 << segment) - 1}L AS value)" for k in range(words) for h in range(2))
     places = classes.select("id", F.explode(F.expr(f"array({cut})")).alias("s")).select("id", "s.side", "s.value")
@@ -257,10 +250,8 @@ def similar(classes: DataFrame, apart: int, words: int = WORDS, segment: int = S
     targets = materialise(targets.join(seen, "to"), "simhash-targets")
     members = materialise(places.join(ways.select("side", "value"), ["side", "value"], "left_semi").join(classes, "id"), "simhash-members")
     stars = members.join(targets, ["side", "value"]).where((F.col("id") != F.col("to")) & (_far(words, "f", "t") <= apart))
-    asked = stars.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct()
-    if verify:
-        asked = materialise(asked, "simhash-asked")
-    groups = materialise(components(verify(asked) if verify else asked), "simhash-stars")
+    asked = materialise(stars.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct(), "simhash-asked")
+    groups = materialise(components(asked), "simhash-stars")
 
     of = members.join(groups, members["id"] == groups["node"], "left").select("id", *f, "side", "value", F.coalesce("root", "id").alias("root"))
     shares = of.groupBy("side", "value", "root").agg(F.count("*").alias("n"))
@@ -276,15 +267,77 @@ def similar(classes: DataFrame, apart: int, words: int = WORDS, segment: int = S
     rest = two.join(open_pairs, ["side", "low", "high"]).where("to_root != main").drop("main")
     keys = ["side", "low", "high"]
     others = one.where("root != main").join(two, keys).unionByName(one.where("root = main").join(rest, keys))
-    roots = [F.greatest("root", "to_root").alias("a"), F.least("root", "to_root").alias("b")]
-    if verify:
-        ends = [F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")]
-        pairs = others.where(close).groupBy(*ends).agg(F.any_value("root").alias("root"), F.any_value("to_root").alias("to_root"))
-        more = verify(materialise(pairs.join(asked, ["a", "b"], "left_anti"), "simhash-asked")).select(*roots).distinct()
-    else:
-        more = others.where(close).select(*roots).distinct()
+    more = others.where(close).select(F.greatest("root", "to_root").alias("a"), F.least("root", "to_root").alias("b")).distinct()
     joined = groups.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    return components(joined)
+    return components(joined), asked
+
+
+def similar(classes: DataFrame, apart: int, words: int = WORDS, segment: int = SEGMENT) -> DataFrame:
+    """(node, root) of the groups of distinct wide fingerprints (id, f0, f1, ...) that are linked; ids without a link are left out.
+
+    Linked are fingerprints that differ in `apart` bits or fewer and in one bit at most of some segment: the low `segment` bits of
+    a half of a word. Values of segments meet in the one-wildcard index (neighbours()). First each fingerprint is compared with
+    the smallest id of its own and all neighbouring values, at most one for each segment, which joins nearly all of a group however large by few rows each. Then only
+    fingerprints whose groups still differ are compared, all with all but for those of a value's largest group with each other, so that
+    groups are exactly those of all links though the pairs of a group are never listed.
+    """
+    return families(classes, apart, words, segment)[0]
+
+
+def _listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for packed in batches:
+        for start in range(0, len(packed), 256):
+            some = [_unpacked(x).view("<i4") for x in packed[start : start + 256].to_pylist()]
+            yield pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, some)]), pa.int32()), pa.array(np.concatenate(some), pa.int32()))
+
+
+def likely(sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links of texts of a family, and the pairs that may be further ones: (a, b) of roots, and (a, b, root, to_root) of ids.
+
+    sets: id, family, of (its members), root (what is linked already) and items, distinct numbers. Every pair of one family and different roots whose sets have `similarity` (Jaccard) or more
+    is joined by the links or among the pairs; nothing is lost. A family has a centre, the member nearest to what over half of the members have, and a member is what it
+    differs in from that: sets differ in as many items as these differences do. Two members that are alike but not both like the centre share over half of the smaller
+    difference, so they share one of its first items, rarest first: of texts that each have changes of their own none meet, however many they are.
+    """
+    counts = sets.where("of > 2").select("family", "of", F.explode("items").alias("item")).groupBy("family", "item").agg(F.count("*").alias("n"), F.any_value("of").alias("of"))
+    common = materialise(counts.where("2 * n > of").groupBy("family").agg(F.collect_list("item").alias("common")), "simhash-common")
+    off = F.size("items") + F.size("common") - 2 * F.size(F.array_intersect("items", "common"))
+    offs = sets.join(common, "family", "left").withColumn("common", F.coalesce("common", F.array().cast("array<int>"))).select("id", "family", off.alias("off"))
+    middle = materialise(offs, "simhash-off").groupBy("family").agg(F.min(F.struct("off", "id")).alias("m"))
+    centres = sets.join(middle.select(F.col("m.id").alias("id")), "id").select("family", F.col("root").alias("centre"), F.col("items").alias("there"))
+    centres = materialise(centres, "simhash-centres")
+    apart = F.concat(F.array_except("items", "there"), F.array_except("there", "items"))
+    told = sets.join(centres, "family").select("id", "family", "of", "root", "centre", F.size("items").alias("n"), F.size("there").alias("m"), apart.alias("apart"))
+    alike = F.expr("(n + m - size(apart)) / greatest(n + m + size(apart), 1)") >= similarity
+    told = materialise(told.withColumn("near", alike | (F.col("root") == F.col("centre"))), "simhash-differences")
+    links = materialise(told.where("near AND root != centre").select("root", F.col("centre").alias("main")).distinct(), "simhash-central")
+    told = told.join(links, "root", "left").withColumn("main", F.coalesce("main", "root"))
+
+    # Alike sets of n and m items differ in (n + m) * share items at most, and m is n / similarity at most.
+    share = (1 - similarity) / (1 + similarity)
+    # The two members of a family of two are compared by then.
+    items = told.where("of > 2").select("id", "family", "main", "n", F.size("apart").alias("d"), F.explode("apart").alias("item"))
+    items = materialise(items, "simhash-items")
+    have = materialise(items.groupBy("family", "item").agg(F.count("*").alias("have")).where("have > 1"), "simhash-have")
+    ranked = items.join(have, ["family", "item"], "left")
+    ranked = ranked.withColumn("at", F.row_number().over(W.Window.partitionBy("id").orderBy(F.col("have").asc_nulls_first(), "item")) - 1)
+    most = F.col("n") * ((1 - similarity) / similarity) + 1e-6
+    first = materialise(ranked.where((F.col("at") <= most) & (F.col("have") > 1)).withColumn("short", F.col("at") <= most / 2).drop("have"), "simhash-first")
+    shares = first.groupBy("family", "item", "main").agg(F.count("*").alias("n"))
+    mains = shares.groupBy("family", "item").agg(F.count("*").alias("mains"), F.max_by("main", "n").alias("most")).where("mains > 1").drop("mains")
+    mains = materialise(mains, "simhash-mains")
+    met = materialise(first.join(mains, ["family", "item"]), "simhash-met")
+    one = met.where("short").drop("short")
+    two = met.drop("short", "most").withColumnsRenamed({c: f"to_{c}" for c in ("id", "main", "n", "d", "at")})
+    fewer = met.where("main != most").drop("short", "most").withColumnsRenamed({c: f"to_{c}" for c in ("id", "main", "n", "d", "at")})
+    bound = f"((n + to_n) * {share!r} + 1e-6)"
+    able = F.expr(f"main != to_main AND (d < to_d OR d = to_d AND id < to_id) AND at <= ({bound} - (to_d - d)) / 2 AND to_at <= ({bound} + (to_d - d)) / 2")
+    keys = ["family", "item"]
+    pairs = one.where("main != most").join(two, keys).where(able).select("id", "to_id", "main", "to_main")
+    pairs = pairs.unionByName(one.where("main = most").join(fewer, keys).where(able).select("id", "to_id", "main", "to_main"))
+    ends = [F.greatest("id", "to_id").alias("a"), F.least("id", "to_id").alias("b")]
+    links = links.select(F.greatest("root", "main").alias("a"), F.least("root", "main").alias("b"))
+    return links, pairs.groupBy(*ends).agg(F.any_value("main").alias("root"), F.any_value("to_main").alias("to_root"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, words: int = WORDS, segment: int = SEGMENT) -> DataFrame:
@@ -316,7 +369,20 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WID
         alike = F.arrow_udf(_jaccard, "double")(F.col("of_a"), F.col("of_b")) >= similarity
         return materialise(pairs.join(one, "a").join(two, "b").where(alike).select(*pairs.columns), "simhash-verified")
 
-    grouped = materialise(similar(best.drop("best"), bits_apart(similarity, 64 * words), words, segment, verify), "simhash-components")
+    loose, stars = families(best.drop("best"), bits_apart(similarity, 64 * words), words, segment)
+    loose = materialise(loose, "simhash-families")
+    groups = materialise(components(verify(stars)), "simhash-groups")
+    parts = loose.join(groups.withColumnRenamed("root", "known"), "node", "left").select(F.col("node").alias("id"), F.col("root").alias("family"), F.coalesce("known", "node").alias("root"))
+    open_ones = parts.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("of")).where("low < high").select("family", "of")
+    open_ones = materialise(open_ones, "simhash-open-families")
+    parts = parts.join(open_ones, "family").join(best.select("id", F.col("best.row").alias("first")), "id")
+    held = parts.join(numbered.select(F.col(row).alias("first"), F.col(sets).alias("shingles")), "first")
+    held = materialise(held.select("id", "family", "of", "root", F.arrow_udf(_listed, "array<int>")("shingles").alias("items")), "simhash-parts")
+    links, pairs = likely(held, similarity)
+    roots = [F.greatest("root", "to_root").alias("a"), F.least("root", "to_root").alias("b")]
+    more = links.unionByName(verify(materialise(pairs, "simhash-asked")).select(*roots)).distinct()
+    joined = groups.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+    grouped = materialise(components(joined), "simhash-components")
     rooted = best.join(grouped, best["id"] == grouped["node"], "left").groupBy(F.coalesce("root", "id")).agg(F.min("best").alias("best"))
     kept = rooted.select(F.col("best.row").alias(row))
     dropped = materialise(numbered.select(row).join(kept, row, "left_anti"), "simhash-dropped")

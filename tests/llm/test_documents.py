@@ -483,6 +483,69 @@ def test_groups_of_near_copies_against_brute_force(spark):
     assert groups <= kept and len(kept - groups) <= 0.02 * len(groups) and len(groups) < len(rows) / 4
 
 
+def test_texts_just_below_the_threshold_are_not_listed_by_pairs(spark, monkeypatch):
+    """Half of a family are alike to its first text, half just aren't: what is asked grows with the rows, not with their pairs."""
+    rng, words, asked = np.random.default_rng(8), [f"w{x}" for x in range(150)], []
+    rows = [" ".join(words)]
+    for i in range(400):
+        own = list(words)
+        for at in rng.choice(np.arange(5, 145, 6), 1 if i % 2 else 4, replace=False):
+            own[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append(" ".join(own))
+    plain = simhash.materialise
+
+    def told(df, name, by=()):
+        out = plain(df, name, by)
+        asked.extend([out.count()] if name == "simhash-asked" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", told)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)).collect()}
+    sets, groups = [shingles_of(t) for t in rows], {0}
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    for i, some in enumerate(sets[1:], 1):
+        if not any(alike(some, other) for other in sets[:i]):
+            groups.add(i)
+    assert groups <= kept and len(kept - groups) <= 2 and len(groups) > 150
+    assert 0 < sum(asked) < 8 * len(rows), asked
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_likely_links_lose_none(spark, similarity):
+    """Members that share changes, some alike to the centre, some to each other alone, some to none; roots as stars might leave them."""
+    rng, rows = np.random.default_rng(5), []
+    for family in range(6):
+        base = {int(x) for x in rng.choice(10**6, [1, 3, 9, 40, 40, 90][family], replace=False)}
+        other = {x for x in base if rng.random() < 0.7} | {int(x) for x in rng.choice(10**6, len(base) // 4)}
+        shared = [int(x) for x in rng.choice(10**6, 12)]
+        for _ in range(40):
+            own = set(base if rng.random() < 0.6 else other)
+            own -= set(rng.choice(sorted(own), rng.integers(0, 1 + len(own) // 5), replace=False).tolist())
+            own |= set(rng.choice(shared, rng.integers(0, 6)).tolist()) | {int(x) for x in rng.choice(10**6, rng.integers(0, 1 + len(base) // 6))}
+            if own not in [r[3] for r in rows]:
+                rows.append((len(rows), family, len(rows), own))
+    alike = {(a[0], b[0]) for a in rows for b in rows if a[0] > b[0] and a[1] == b[1] and len(a[3] & b[3]) / len(a[3] | b[3]) >= similarity}
+    first = {a: b for a, b in sorted(alike) if rng.random() < 0.2}
+    roots = {}
+    for i in range(len(rows)):
+        roots[i] = roots[first[i]] if i in first else i
+    sets = spark.createDataFrame([(i, f, sum(r[1] == f for r in rows), roots[i], sorted(own)) for i, f, _, own in rows], "id long, family long, of long, root long, items array<int>")
+    links, pairs = simhash.likely(sets, similarity)
+    up = {i: i for i in range(len(rows))}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in links.collect():
+        up[find(a)] = find(b)
+    assert all(find(r.root) != find(r.to_root) for r in pairs.collect())
+    told = {(r.a, r.b) for r in pairs.collect()}
+    assert all((a, b) in told or find(roots[a]) == find(roots[b]) for a, b in alike)
+    assert len(alike) > 100 and any((a, b) in told for a, b in alike) and len(told) < 0.6 * 6 * 40 * 39 / 2
+
+
 def test_near_copies_by_shingles_go(spark):
     """Of copies with a Jaccard similarity of five-word shingles from 0.85 on nine in ten go at least; unlike texts all stay."""
     rng = np.random.default_rng(6)
