@@ -149,7 +149,8 @@ def neighbours(values: DataFrame, width: int) -> DataFrame:
     """
     zero, one = (values.select("side", _wiped("value", width, bit).alias("key"), F.col("n").alias(name)) for bit, name in ((0, "low_n"), (1, "high_n")))
     wiped = F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
-    apart = zero.join(one, ["side", "key"]).select("side", wiped.alias("low"), F.expr("(key & 4294967295L) | (1L << CAST(shiftright(key, 32) AS INT))").alias("high"), "low_n", "high_n")
+    # Both sides are many rows for each of values, by whose size the planner would broadcast one.
+    apart = zero.hint("merge").join(one, ["side", "key"]).select("side", wiped.alias("low"), F.expr("(key & 4294967295L) | (1L << CAST(shiftright(key, 32) AS INT))").alias("high"), "low_n", "high_n")
     same = values.where("n > 1").select("side", F.col("value").alias("low"), F.col("value").alias("high"), F.col("n").alias("low_n"), F.col("n").alias("high_n"))
     return apart.unionByName(same)
 
@@ -174,7 +175,8 @@ def links(fingerprints: DataFrame) -> DataFrame:
     near = materialise(neighbours(values, 32).withColumn("most", F.greatest("low_n", "high_n")), "simhash-neighbours")
 
     def members(pairs: DataFrame, end: str, name: str) -> DataFrame:
-        return pairs.withColumn("value", F.col(end)).join(halves, ["side", "value"]).withColumnRenamed("fp", name).drop("value")
+        # Not by the planner's size of halves, which leaves out that a fingerprint has two and what Parquet packs.
+        return pairs.withColumn("value", F.col(end)).join(halves.hint("merge"), ["side", "value"]).withColumnRenamed("fp", name).drop("value")
 
     few = near.where(F.col("most") <= DIRECT).select("side", "low", "high")
     direct = members(members(few, "low", "a"), "high", "b")
@@ -182,7 +184,7 @@ def links(fingerprints: DataFrame) -> DataFrame:
     one, two = (members(many, end, "fp").select("side", "low", "high", "salts", "fp", _parts().alias("part")) for end in ("low", "high"))
     left = one.withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).drop("salts").withColumnRenamed("fp", "a")
     right = two.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumnRenamed("fp", "b")
-    again = left.join(right, ["side", "low", "high", "part", "salt"])
+    again = left.hint("merge").join(right, ["side", "low", "high", "part", "salt"])
     close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS_APART) & ((F.col("low") != F.col("high")) | (F.col("a") > F.col("b")))
     found = [df.where(close).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")) for df in (direct, again)]
     return found[0].unionByName(found[1]).distinct()
@@ -248,7 +250,8 @@ def families(classes: DataFrame, apart: int, words: int = WORDS, segment: int =
     targets = ways.join(values.select("side", F.col("value").alias("other"), F.col("first")), ["side", "other"]).groupBy("side", "value").agg(F.min("first").alias("to"))
     seen = classes.select(F.col("id").alias("to"), *[F.col(f"f{k}").alias(f"t{k}") for k in range(words)])
     targets = materialise(targets.join(seen, "to"), "simhash-targets")
-    members = materialise(places.join(ways.select("side", "value"), ["side", "value"], "left_semi").join(classes, "id"), "simhash-members")
+    # The planner takes places for as large as classes, of which each has 2 * words.
+    members = materialise(places.join(ways.select("side", "value"), ["side", "value"], "left_semi").join(classes.hint("merge"), "id"), "simhash-members")
     stars = members.join(targets, ["side", "value"]).where((F.col("id") != F.col("to")) & (_far(words, "f", "t") <= apart))
     asked = materialise(stars.select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b")).distinct(), "simhash-asked")
     groups = materialise(components(asked), "simhash-stars")

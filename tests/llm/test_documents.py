@@ -341,6 +341,34 @@ def test_links_and_components(spark, monkeypatch, direct):
     assert sorted(map(sorted, by_brute.values())) == sorted(map(sorted, by_ours.values()))
 
 
+def broadcast(df):
+    """What the planner broadcasts in df, each with all below it, before anything has run."""
+    found = []
+
+    def walk(node):
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(node.initialPlan())
+        if node.getClass().getSimpleName() == "BroadcastExchangeExec":
+            found.append(node.toString())
+        return [walk(node.children().apply(i)) for i in range(node.children().size())]
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_no_side_that_an_explode_has_grown_is_broadcast(spark, monkeypatch):
+    """The planner takes such a side for as large as the table below, so one that fits below the limit came to fill the driver."""
+    written = []
+    monkeypatch.setattr(simhash, "materialise", lambda df, name, real=simhash.materialise: (written.append((name, broadcast(df))), real(df, name))[1])
+    many = spark.range(400).select(F.xxhash64("id").alias("fp"))
+    sides = broadcast(simhash.links(many))
+    wide = many.select(F.col("fp").alias("id"), *[F.xxhash64("fp", F.lit(k)).alias(f"f{k}") for k in range(2)])
+    simhash.similar(wide, 20, 2, 12).collect()
+    assert {"simhash-neighbours", "simhash-members", "simhash-targets"} <= {name for name, _ in written}
+    assert not [x for x in sides + [x for _, some in written for x in some] if "Generate explode" in x]
+    assert any(some for _, some in written)
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(300)], "a long, b long")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
