@@ -1,7 +1,7 @@
 """Keyed state in event time: rows are held until the watermark has passed them and then folded in their order.
 
 A batch brings the rows of a key in no order, and a late file brings rows that belong before others. So each processor holds rows in a list
-state and wakes by one timer a key; what it folds is complete and in order, whatever batches it came in.
+state and wakes by a timer; what it folds is complete and in order, whatever batches it came in.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ class InOrder(StatefulProcessor):
 
     An element of the list state is up to CHUNK rows, each column an array: an element costs a message and its own coding, a row nearly nothing.
     With an identity (a column of each row) a key of the stream is a group of identities, whose states are kept together; without one it is one identity itself.
+    A key always has a timer that comes no later than the first instant it waits for. It may have more of them; what they find folded up to the watermark they leave alone.
     """
 
     HELD = ""
@@ -52,6 +53,8 @@ class InOrder(StatefulProcessor):
         self.names = _names(self.HELD) + self._own()
         self.held = handle.getListState("held", self._arrays(self.HELD))
         self.kept = handle.getListState("kept", self._arrays(self.KEPT)) if self.KEPT else None
+        self.wakes: dict[tuple, int] = {}
+        self.folded: dict[tuple, int] = {}
 
     def _own(self) -> list[str]:
         return _names(self.identity) if self.identity else []
@@ -63,7 +66,7 @@ class InOrder(StatefulProcessor):
     def states(self) -> dict[tuple, tuple]:
         """What is kept of each identity of the group."""
         n = len(_names(self.KEPT))
-        return {row[n:]: row[:n] for chunk in (self.kept.get() if self.kept.exists() else ()) for row in zip(*chunk, strict=True)}
+        return {row[n:]: row[:n] for chunk in self.kept.get() or () for row in zip(*chunk, strict=True)}
 
     def keep(self, states: dict[tuple, tuple]) -> None:
         if states:
@@ -74,27 +77,35 @@ class InOrder(StatefulProcessor):
     def _chunks(self, rows: list[tuple]) -> list[tuple]:
         return [tuple(map(list, zip(*rows[i : i + self.CHUNK], strict=True))) for i in range(0, len(rows), self.CHUNK)]
 
+    def wake(self, key: tuple, at: int, passed: int | None = None) -> None:
+        """Sets a timer of the key at an instant, but not where one of this batch is still to come after what has passed and no later than that."""
+        known = self.wakes.get(key)
+        if passed is None or known is None or not passed < known * 1000 <= _millis(at) * 1000:
+            self.wakes[key] = _millis(at)
+            self.handle.registerTimer(self.wakes[key])
+
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         places, new = None, []
         for row in rows:
             places = places or itemgetter(*map(row.__fields__.index, self.names))
             new.append(places(tuple(row)))
         self.held.appendList(self._chunks(new))
-        self.handle.registerTimer(_millis(min(r[0] for r in new)))
+        self.wake(key, min(r[0] for r in new))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.folded.get(key) == passed:
+            return
+        self.folded[key] = passed
         due, rest = [], []
-        for chunk in self.held.get() if self.held.exists() else ():
+        for chunk in self.held.get() or ():
             for row in zip(*chunk, strict=True):
                 (due if row[0] <= passed else rest).append(row)
         if due:
-            if rest:
-                self.held.put(self._chunks(rest))
-                self.handle.registerTimer(_millis(min(r[0] for r in rest)))
-            else:
-                self.held.clear()
+            self.held.put(self._chunks(rest)) if rest else self.held.clear()
+        if rest:
+            self.wake(key, min(r[0] for r in rest), passed)
         yield from self.fold(key, sorted(due, key=lambda r: tuple((x is not None, x) for x in r)), passed)
 
     def fold(self, key: tuple, rows: list[tuple], passed: int) -> Iterable[Row]:
@@ -160,7 +171,7 @@ class Settlement(InOrder):
             add("risk_end_of_stream", -1)
         waiting = [opened for phase, opened, *_ in states.values() if phase == "open"]
         if waiting:
-            self.handle.registerTimer(_millis(min(waiting) + self.ttl + 1))
+            self.wake(key, min(waiting) + self.ttl + 1, passed)
         if rows or gone:
             self.keep(states)
         return [Row(counter=c, events=n) for c, n in changes.items() if n]
@@ -231,7 +242,7 @@ class Pressure(InOrder):
         self.recent = handle.getListState("recent", "at long, side int")
 
     def fold(self, key: tuple, rows: list[tuple], passed: int) -> Iterable[Row]:
-        recent = deque(map(tuple, self.recent.get() if self.recent.exists() else ()))
+        recent = deque(map(tuple, self.recent.get() or ()))
         seen = [0, 0, 0]
         for _, side in recent:
             seen[side] += 1
@@ -247,7 +258,7 @@ class Pressure(InOrder):
         kept = [r for r in recent if r[0] > passed - self.within]
         if kept:
             self.recent.put(kept)
-            self.handle.registerTimer(_millis(kept[-1][0] + self.within))
+            self.wake(key, kept[-1][0] + self.within, passed)
         elif recent or rows:
             self.recent.clear()
         return out

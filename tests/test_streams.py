@@ -268,3 +268,22 @@ def test_dropped_rows_are_counted(spark):
     changes, dropped = replay.run_counted(ordered.settle_stream(stream, ["id"], 5 * HOUR, "1 hour"), "dropped", provider=ordered.PROVIDER)
     kept = [(1, h * HOUR, 0, False, None) for h in (1, 20, 30, 31, 32)]
     assert dropped == 2 and counts(changes) == plain_settlement(kept, 5 * HOUR)
+
+
+def test_timers_of_one_watermark_fold_a_key_once():
+    """Whatever timers of a key are due at a watermark, its rows and states are read once; a timer that comes before what a key waits for does for it."""
+    from pyspark.sql import Row
+
+    handle, processor, folds = Handle(), ordered.Settlement(5 * HOUR), []
+    processor.init(handle)
+    fold = processor.fold
+    processor.fold = lambda key, rows, passed: folds.append(len(rows)) or fold(key, rows, passed)
+    arrive = lambda *seconds: list(processor.handleInputRows((1,), (Row(at=s * 1_000_000, side=0, flag=False, late=None) for s in seconds), Clock(0)))
+    fire = lambda at: {r.counter: r.events for r in processor.handleExpiredTimer((1,), Clock(at * 1000), None)}
+    arrive(10, 20)
+    arrive(15, 50)
+    assert [fire(30), fire(30)] == [{"risk_end_of_stream": 1, "duplicate_risk": 2}, {}] and folds == [3]
+    assert handle.timers == {10_000, 15_000, 50_000}, "the row at 50 s wakes the key before its risk runs out of time"
+    assert fire(60) == {"duplicate_risk": 1} and folds == [3, 1]
+    assert max(handle.timers) == 5 * HOUR * 1000 + 10_001
+    assert fire(5 * HOUR + 11) == {"risk_ttl": 1, "risk_end_of_stream": -1}
